@@ -28,10 +28,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions.lazy import arrow_udf
+from reviewlake.operators.skew import join_hot
 from reviewlake.session import cut
 
 HOT_SHARE = 1e-4
@@ -341,15 +342,12 @@ def segment_values(table: DataFrame, key: str, fields: list[str], rounds: int =
     paths = _with_counts(ambiguous, lexicon, total).select("tid", _make_viterbi(total, shapes)("arcs").alias("path"))
     decoded = texts.join(paths, "tid", "left").select("field_name", "text", "n", _items_udf("field_name", "text", "path").alias("items"))
 
-    # Back to the rows by a hash of 128 bits. A text that is in more than a thousandth of the rows (there are at
-    # most 1000 of those) is spread over slices, so that no task gets all of its rows.
+    # Back to the rows by a hash of 128 bits; a text that many rows repeat is spread over slices.
     rows_total = texts.agg(F.sum("n")).first()[0] or 0.0
-    decoded = decoded.select(h1.alias("h1"), h2.alias("h2"), "n", "items").withColumn("slices", F.when(F.col("n") * 1000 >= rows_total, F.least(F.lit(256), F.ceil(F.col("n") / 20000))).otherwise(1).cast("int"))
-    heavy = F.broadcast(texts.filter(F.col("n") * 1000 >= rows_total).select(h1.alias("h1"), h2.alias("h2"), F.least(F.lit(256), F.ceil(F.col("n") / 20000)).cast("int").alias("slices")))
-    rows = long.select("rk", "field_name", h1.alias("h1"), h2.alias("h2")).join(heavy, ["h1", "h2"], "left")
-    rows = rows.withColumn("s", F.pmod(F.xxhash64("rk"), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
-    decoded = decoded.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices", "n")
-    out = rows.join(decoded, ["h1", "h2", "s"]).select("rk", "field_name", F.size("items").alias("n_items"), F.posexplode("items").alias("at", "item"))
+    decoded = decoded.select(h1.alias("h1"), h2.alias("h2"), "n", "items")
+    rows = long.select("rk", "field_name", h1.alias("h1"), h2.alias("h2"))
+    met = join_hot(rows, decoded, ["h1", "h2"], "n", "rk", rows_total, per_slice=20_000)
+    out = met.select("rk", "field_name", F.size("items").alias("n_items"), F.posexplode("items").alias("at", "item"))
     return out.select(F.col("rk").alias(key), "field_name", (F.col("at") + 1).cast("long").alias("pos"), "item", "n_items")
 
 
@@ -381,7 +379,3 @@ def _items_udf(field: pd.Series, text: pd.Series, path: pd.Series) -> pd.Series:
         out.append([x for x in items if x.strip()])
     return pd.Series(out)
 
-
-def count_of_values(segmented: DataFrame) -> Column:
-    """The condition that a field holds two or more values."""
-    return segmented["n_items"] >= 2
