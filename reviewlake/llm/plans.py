@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewlake.llm.chunks import pieces_of_oversized
 from reviewlake.llm.formatting import copy_sets, one_record_each
+from reviewlake.llm.linkage import link
 from reviewlake.llm.packing import pack
 from reviewlake.llm.survivor import best_values, surviving_records
 from reviewlake.llm.tokens import encode_texts, length_column, vocabulary_file
@@ -57,6 +58,20 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
     return one_record_each(table(spark, d, "candidates"), "row_id")
 
 
+def p7_links(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a candidate and a library item that describe the same work, with a confidence."""
+    cand = table(spark, d, "candidates").select(F.col("row_id").alias("id"), "title", "authors", "year", F.col("source_id").alias("tail"), "source")
+    items = table(spark, d, "library_items").select(
+        F.col("item_id").alias("id"), F.col("heading").alias("title"), F.col("creators").alias("authors"), F.col("issued").alias("year"), F.col("accession_tail").alias("tail"), F.col("via").alias("source")
+    )
+    return link(cand, items).select(F.col("left_id").alias("row_id"), F.col("right_id").alias("item_id"), "confidence")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs alone."""
+    return p7_links(spark, d).select("row_id", "item_id")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
     return encode_texts(table(spark, d, "documents"))
@@ -70,7 +85,7 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     return pack(sized, capacity, "doc_id", "tokens")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_normalized, p3_found, p3_records, p4_found, p4_pieces, p6_found, p6_records, p8_ids, p9_packed)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_normalized, p3_found, p3_records, p4_found, p4_pieces, p6_found, p6_records, p7_found, p7_links, p8_ids, p9_packed)}
 ORACLE_SQL = {
     "p4_found": "SELECT f.text_id FROM fulltexts f JOIN size_limits l ON f.limit_name = l.limit_name AND l.unit = 'characters' WHERE length(f.fulltext) > l.max_size",
 }
