@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewlake.llm.abuse import rates_by_source, score_documents
 from reviewlake.llm.chunks import pieces_of_oversized
 from reviewlake.llm.formatting import copy_sets, one_record_each
 from reviewlake.llm.linkage import link
@@ -85,7 +86,22 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     return pack(sized, capacity, "doc_id", "tokens")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_normalized, p3_found, p3_records, p4_found, p4_pieces, p6_found, p6_records, p7_found, p7_links, p8_ids, p9_packed)}
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every document and what it is for."""
+    return score_documents(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with a passage that is abusive, hateful or sexual."""
+    return p10_scores(spark, d).filter("score >= 0.5").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The rate of such documents per source."""
+    return rates_by_source(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_normalized, p3_found, p3_records, p4_found, p4_pieces, p6_found, p6_records, p7_found, p7_links, p8_ids, p9_packed, p10_found, p10_scores, p10_rates)}
 ORACLE_SQL = {
     "p4_found": "SELECT f.text_id FROM fulltexts f JOIN size_limits l ON f.limit_name = l.limit_name AND l.unit = 'characters' WHERE length(f.fulltext) > l.max_size",
 }
