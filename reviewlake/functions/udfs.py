@@ -1,0 +1,234 @@
+"""Functions that the JVM has no expression for: Unicode forms, ratios, entities, nested text, XML rendering."""
+
+from __future__ import annotations
+
+import difflib
+import html
+import json
+import re
+import unicodedata
+import xml.etree.ElementTree as ET
+
+import pandas as pd
+
+from reviewlake.functions.lazy import arrow_udf
+
+
+def normalize_title_text(title: str | None) -> str:
+    """NFKC, case-folded, other characters than letters and digits as single spaces."""
+    folded = unicodedata.normalize("NFKC", title or "").casefold()
+    return " ".join("".join(ch if ch.isalnum() else " " for ch in folded).split())
+
+
+@arrow_udf("string")
+def normalize_title_exact(title: pd.Series) -> pd.Series:
+    """The full-fidelity form of a title for text that is not in NFKC form."""
+    return title.map(normalize_title_text)
+
+
+def ratio(a: str, b: str) -> float:
+    """The matching-block ratio of two strings, order of arguments kept."""
+    return difflib.SequenceMatcher(None, a, b).ratio()
+
+
+@arrow_udf("double")
+def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The ratio of two normalised titles."""
+    return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b)])
+
+
+@arrow_udf("string")
+def nfkc(text: pd.Series) -> pd.Series:
+    """The NFKC form; null stays null."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def flatten_value(value: object) -> str:
+    """Nested JSON as text: lists joined by semicolons, objects by their first naming member, entities and tags undone."""
+    if value is None:
+        return ""
+    if isinstance(value, list):
+        return "; ".join(x for x in map(flatten_value, value) if x)
+    if isinstance(value, dict):
+        return next((t for k in ("name", "value", "text", "label") if (t := flatten_value(value.get(k)))), "")
+    return " ".join(re.sub(r"<[^>]+>", " ", html.unescape(str(value))).split())
+
+
+@arrow_udf("string")
+def clean_nested(text: pd.Series) -> pd.Series:
+    """Cleans plain or JSON-encoded values (see :func:`flatten_value`)."""
+
+    def one(t: str | None) -> str:
+        if t and t[:1] in "[{":
+            try:
+                return flatten_value(json.loads(t))
+            except ValueError:
+                pass
+        return flatten_value(t)
+
+    return text.map(one)
+
+
+def duplicate_keys(text: str) -> list[str]:
+    """The keys that occur twice in one object of a JSON text; raises ValueError for no JSON."""
+    found: list[str] = []
+
+    def hook(pairs: list[tuple[str, object]]) -> dict:
+        seen: set[str] = set()
+        for k, _ in pairs:
+            if k in seen:
+                found.append(k)
+            seen.add(k)
+        return dict(pairs)
+
+    json.loads(text, object_pairs_hook=hook)
+    return found
+
+
+@arrow_udf("array<string>")
+def json_duplicate_keys(text: pd.Series) -> pd.Series:
+    """Duplicate keys of JSON texts; null for what is no JSON."""
+
+    def one(t: str | None) -> list[str] | None:
+        try:
+            return duplicate_keys(t) if t is not None else None
+        except ValueError:
+            return None
+
+    return pd.Series([one(t) for t in text], dtype=object)
+
+
+def local(tag: str) -> str:
+    """The name of a tag without its namespace."""
+    return tag.rpartition("}")[2]
+
+
+def flat_text(node: ET.Element | None) -> str:
+    """All text of a node, white space collapsed."""
+    return " ".join("".join(node.itertext()).split()) if node is not None else ""
+
+
+def child(node: ET.Element | None, *path: str) -> ET.Element | None:
+    """The first child at a path of local names."""
+    for name in path:
+        node = next((x for x in node if local(x.tag) == name), None) if node is not None else None
+    return node
+
+
+def descendants(node: ET.Element, name: str) -> list[ET.Element]:
+    """All descendants of a local name."""
+    return [x for x in node.iter() if local(x.tag) == name]
+
+
+def pubmed_year(article: ET.Element) -> str:
+    """Article date, issue year, year in a free-form date, electronic or print history date, any year."""
+    art = next(iter(descendants(article, "Article")), article)
+    steps = [child(art, "ArticleDate", "Year"), child(art, "Journal", "JournalIssue", "PubDate", "Year")]
+    for s in steps:
+        if s is not None and flat_text(s):
+            return flat_text(s)
+    m = re.search(r"\b(1[89]|2[01])\d{2}\b", flat_text(child(art, "Journal", "JournalIssue", "PubDate", "MedlineDate")))
+    if m:
+        return m[0]
+    for d in descendants(article, "PubMedPubDate"):
+        if d.get("PubStatus") in ("epublish", "ppublish") and flat_text(child(d, "Year")):
+            return flat_text(child(d, "Year"))
+    years = [flat_text(y) for y in descendants(article, "Year") if flat_text(y)]
+    return years[0] if years else ""
+
+
+def pubmed_record(xml: str) -> dict[str, str]:
+    """The record of one PubMed article: title, DOI, id, year, abstract and the address of its open copy."""
+    root = ET.fromstring(xml)
+    art = root if local(root.tag) == "PubmedArticle" else next(iter(descendants(root, "PubmedArticle")), root)
+    ids = child(art, "PubmedData", "ArticleIdList")
+    by_type = {x.get("IdType"): flat_text(x) for x in (ids if ids is not None else [])}
+    elocation = next((flat_text(x) for x in descendants(art, "ELocationID") if x.get("EIdType") == "doi"), "")
+    parts = []
+    for a in descendants(art, "AbstractText"):
+        label = a.get("Label")
+        parts.append(f"{label}: {flat_text(a)}" if label else flat_text(a))
+    pmid = flat_text(child(art, "MedlineCitation", "PMID"))
+    pmc = by_type.get("pmc", "")
+    return {
+        "title": flat_text(next(iter(descendants(art, "ArticleTitle")), None)),
+        "doi": by_type.get("doi", "") or elocation,
+        "source_id": f"PMID:{pmid}" if pmid else "",
+        "year": pubmed_year(art),
+        "abstract": " ".join(p for p in parts if p),
+        "oa_url": f"https://pmc.ncbi.nlm.nih.gov/articles/{pmc}/" if pmc else "",
+    }
+
+
+@arrow_udf("struct<title:string,doi:string,source_id:string,year:string,abstract:string,oa_url:string>")
+def parse_pubmed(xml: pd.Series) -> pd.DataFrame:
+    """The records of PubMed articles; all fields null for what is no XML."""
+
+    def one(x: str | None) -> dict:
+        try:
+            return pubmed_record(x or "")
+        except ET.ParseError:
+            return dict.fromkeys(("title", "doi", "source_id", "year", "abstract", "oa_url"))
+
+    return pd.DataFrame([one(x) for x in xml], columns=["title", "doi", "source_id", "year", "abstract", "oa_url"])
+
+
+def jats_to_markdown(xml: str, least: int = 500) -> str | None:
+    """A JATS article as Markdown: title, abstracts, nested sections, paragraphs, lists. Null if the body has at most ``least`` characters."""
+    root = ET.fromstring(xml)
+    out: list[str] = []
+
+    def add(line: str) -> None:
+        # The same line twice in a row is one.
+        if line and (not out or out[-1] != line):
+            out.append(line)
+
+    def section(node: ET.Element, level: int) -> None:
+        for x in node:
+            name = local(x.tag)
+            if name == "title":
+                add("#" * min(level, 6) + " " + flat_text(x))
+            elif name == "p":
+                add(flat_text(x))
+            elif name == "list":
+                for item in descendants(x, "list-item"):
+                    add("- " + flat_text(item))
+            elif name == "sec":
+                section(x, level + 1)
+
+    meta = child(root, "front", "article-meta") or next(iter(descendants(root, "article-meta")), None)
+    title = flat_text(child(meta, "title-group", "article-title"))
+    if title:
+        add("# " + title)
+    for a in (x for x in (meta if meta is not None else []) if local(x.tag) == "abstract"):
+        add("## Abstract")
+        section(a, 2)
+    body = next(iter(descendants(root, "body")), None)
+    start = len(out)
+    if body is not None:
+        section(body, 1)
+    if sum(map(len, out[start:])) <= least:
+        return None
+    return "\n\n".join(out)
+
+
+@arrow_udf("string")
+def jats_to_md(xml: pd.Series) -> pd.Series:
+    """JATS articles as Markdown; null for no XML and for bodies that are too short."""
+
+    def one(x: str | None) -> str | None:
+        try:
+            return jats_to_markdown(x or "")
+        except ET.ParseError:
+            return None
+
+    return xml.map(one)
+
+
+def jats_ids(xml: str) -> dict[str, str]:
+    """DOI, PMC number and title of the main article only."""
+    root = ET.fromstring(xml)
+    meta = child(root, "front", "article-meta") or next(iter(descendants(root, "article-meta")), None)
+    ids = {x.get("pub-id-type"): flat_text(x) for x in (meta if meta is not None else []) if local(x.tag) == "article-id"}
+    pmc = ids.get("pmcid") or ids.get("pmc") or ""
+    return {"doi": ids.get("doi", ""), "pmcid": pmc if not pmc or pmc.startswith("PMC") else f"PMC{pmc}", "title": flat_text(child(meta, "title-group", "article-title"))}
