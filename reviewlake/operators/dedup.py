@@ -140,9 +140,10 @@ def similar_title_pairs(rows: DataFrame, key: str = "row_id", threshold: float =
 
     def side(n: int) -> DataFrame:
         on = F.col("x.y").eqNullSafe(F.col(f"p.y{n}")) & (F.col("x.b") == F.col(f"p.b{n}")) & (F.col("x.tile") == F.col(f"p.t{n}"))
-        return tiled.alias("x").join(plan.alias("p"), on).select("p.task", "x.k", "x.t", "x.y")
+        return tiled.alias("x").join(plan.alias("p"), on).select(F.col("p.task").alias(f"task{n}"), F.col("x.k").alias(f"k{n}"), F.col("x.t").alias(f"t{n}"), F.col("x.y").alias(f"y{n}"))
 
     def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left.columns = right.columns = ["task", "k", "t", "y"]
         # Within one tile a pair is met once; between tiles either side may be first in row order.
         one = _similar_in_tile(left, right, threshold)
         if set(left["k"]) == set(right["k"]):
@@ -150,7 +151,7 @@ def similar_title_pairs(rows: DataFrame, key: str = "row_id", threshold: float =
         two = _similar_in_tile(right, left, threshold)
         return pd.concat([one, two]) if len(two) else one
 
-    return side(1).groupBy("task").cogroup(side(2).groupBy("task")).applyInPandas(both, "a long, b long, ratio double")
+    return side(1).groupBy("task1").cogroup(side(2).groupBy("task2")).applyInPandas(both, "a long, b long, ratio double")
 
 
 def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:

