@@ -165,7 +165,9 @@ def reconstruct_abstract(inverted: Column | str) -> Column:
     """The text of an inverted index (word to positions); of two words at one position the later one by name wins."""
     flat = F.flatten(F.transform(F.map_entries(c(inverted)), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
     ordered = F.array_sort(flat)
-    last = F.filter(ordered, lambda x, i: (i == F.size(ordered) - 1) | (F.element_at(ordered, (F.least(i + 2, F.size(ordered))).cast("int"))["p"] != x["p"]))
+    following = F.concat(F.slice(ordered, 2, 1 << 30), F.array(F.lit(None).cast("struct<p:int,w:string>")))
+    paired = F.zip_with(ordered, following, lambda x, y: F.struct(x["p"].alias("p"), x["w"].alias("w"), y["p"].alias("next")))
+    last = F.filter(paired, lambda x: x["next"].isNull() | (x["next"] != x["p"]))
     return F.array_join(F.transform(last, lambda x: x["w"]), " ")
 
 

@@ -196,7 +196,8 @@ def jats_to_markdown(xml: str, least: int = 500) -> str | None:
             elif name == "sec":
                 section(x, level + 1)
 
-    meta = child(root, "front", "article-meta") or next(iter(descendants(root, "article-meta")), None)
+    meta = child(root, "front", "article-meta")
+    meta = meta if meta is not None else next(iter(descendants(root, "article-meta")), None)
     title = flat_text(child(meta, "title-group", "article-title"))
     if title:
         add("# " + title)
@@ -228,7 +229,8 @@ def jats_to_md(xml: pd.Series) -> pd.Series:
 def jats_ids(xml: str) -> dict[str, str]:
     """DOI, PMC number and title of the main article only."""
     root = ET.fromstring(xml)
-    meta = child(root, "front", "article-meta") or next(iter(descendants(root, "article-meta")), None)
+    meta = child(root, "front", "article-meta")
+    meta = meta if meta is not None else next(iter(descendants(root, "article-meta")), None)
     ids = {x.get("pub-id-type"): flat_text(x) for x in (meta if meta is not None else []) if local(x.tag) == "article-id"}
     pmc = ids.get("pmcid") or ids.get("pmc") or ""
     return {"doi": ids.get("doi", ""), "pmcid": pmc if not pmc or pmc.startswith("PMC") else f"PMC{pmc}", "title": flat_text(child(meta, "title-group", "article-title"))}

@@ -107,10 +107,10 @@ def _sentence_round_trip(s: SparkSession, d: str) -> DataFrame:
 def _inverted(s: SparkSession, d: str) -> DataFrame:
     """Abstracts turned into inverted indexes and rebuilt from them."""
     words = F.filter(F.split(F.coalesce("abstract", F.lit("")), r"\s+"), lambda x: x != "")
-    at = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    keys = F.array_distinct(words)
-    index = F.map_from_arrays(keys, F.transform(keys, lambda k: F.transform(F.filter(at, lambda x: x["w"] == k), lambda x: x["i"])))
-    return _c(s, d).select("row_id", X.reconstruct_abstract(index).alias("abstract_text"))
+    placed = _c(s, d).select("row_id", F.posexplode(words).alias("p", "w")).groupBy("row_id", "w").agg(F.collect_list("p").alias("ps"))
+    index = placed.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("i"))
+    rebuilt = index.select("row_id", X.reconstruct_abstract("i").alias("abstract_text"))
+    return _c(s, d).select("row_id").join(rebuilt, "row_id", "left").select("row_id", F.coalesce("abstract_text", F.lit("")).alias("abstract_text"))
 
 
 # ---- identity and merging --------------------------------------------------------------------------------------------
