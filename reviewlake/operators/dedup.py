@@ -14,6 +14,8 @@ from reviewlake.session import cut
 
 THRESHOLD = 0.90
 TILE = 1500
+#: Titles are laid out in cells of so many years and characters.
+YEARS, BAND = 4, 16
 
 
 def quality() -> Column:
@@ -114,21 +116,22 @@ def similar_title_pairs(rows: DataFrame, key: str = "row_id", threshold: float =
     """
     spark = rows.sparkSession
     reps = rows.select(key, normalize_title("title").alias("t"), parse_year("year").alias("y")).filter("t <> ''").groupBy("t", "y").agg(F.min(key).alias("k"))
-    reps = cut(reps.withColumn("len", F.length("t")))
-    sizes = {(r["y"], r["b"]): r["n"] for r in reps.groupBy("y", F.floor(F.col("len") / 8).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    # Cells are (year, length band); both are bounded, so this table is small whatever the data.
+    reps = cut(reps.withColumn("c", F.floor(F.col("y") / YEARS).cast("int")).withColumn("b", F.floor(F.length("t") / BAND)))
+    sizes = {(r["c"], r["b"]): r["n"] for r in reps.groupBy("c", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Cells are (block of years, length band); both are bounded, so this table is small whatever the data.
     slices = {cell: max(1, -(-n // TILE)) for cell, n in sizes.items()}
     cells = sorted(slices, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-    spread = spark.createDataFrame([(y, b, s) for (y, b), s in slices.items()] or [(None, -1, 1)], "y int, b long, n int")
-    tiled = reps.withColumn("b", F.floor(F.col("len") / 8)).alias("r").join(F.broadcast(spread).alias("s"), F.col("r.y").eqNullSafe(F.col("s.y")) & (F.col("r.b") == F.col("s.b")))
-    tiled = tiled.select("r.k", "r.t", "r.y", "r.b", F.pmod(F.xxhash64("r.k"), F.col("s.n")).cast("int").alias("tile"))
+    spread = spark.createDataFrame([(y, b, s) for (y, b), s in slices.items()] or [(None, -1, 1)], "c int, b long, n int")
+    tiled = reps.alias("r").join(F.broadcast(spread).alias("s"), F.col("r.c").eqNullSafe(F.col("s.c")) & (F.col("r.b") == F.col("s.b")))
+    tiled = tiled.select("r.k", "r.t", "r.y", "r.c", "r.b", F.pmod(F.xxhash64("r.k"), F.col("s.n")).cast("int").alias("tile"))
     tasks = []
     for i, (y, b) in enumerate(cells):
         for y2, b2 in cells[i:]:
             years_fit = y is None or y2 is None or abs(y - y2) <= 1
             short, long = sorted((b, b2))
             # The longest of the short band against the shortest of the long one.
-            lengths_fit = 2 * min(short * 8 + 7, long * 8) >= threshold * (min(short * 8 + 7, long * 8) + long * 8)
+            most = min(short * BAND + BAND - 1, long * BAND)
+            lengths_fit = 2 * most >= threshold * (most + long * BAND)
             if years_fit and lengths_fit:
                 same = (y, b) == (y2, b2)
                 for t1 in range(slices[(y, b)]):
@@ -139,7 +142,7 @@ def similar_title_pairs(rows: DataFrame, key: str = "row_id", threshold: float =
     plan = cut(spark.createDataFrame(tasks, "task long, y1 int, b1 long, t1 int, y2 int, b2 long, t2 int"))
 
     def side(n: int) -> DataFrame:
-        on = F.col("x.y").eqNullSafe(F.col(f"p.y{n}")) & (F.col("x.b") == F.col(f"p.b{n}")) & (F.col("x.tile") == F.col(f"p.t{n}"))
+        on = F.col("x.c").eqNullSafe(F.col(f"p.y{n}")) & (F.col("x.b") == F.col(f"p.b{n}")) & (F.col("x.tile") == F.col(f"p.t{n}"))
         return tiled.alias("x").join(plan.alias("p"), on).select(F.col("p.task").alias(f"task{n}"), F.col("x.k").alias(f"k{n}"), F.col("x.t").alias(f"t{n}"), F.col("x.y").alias(f"y{n}"))
 
     def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
