@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from re import _parser
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -114,17 +115,69 @@ HIDDEN_WORDS = sorted(
     )
 )
 
-_INSULT = re.compile(_words_alternation(INSULTS) + "|" + "|".join(INSULT_PHRASES))
-_STRONG = re.compile(rf"\b(?:{STRONG})\b")
-_GROUP = re.compile(rf"\b(?:{GROUPS})\b")
-_DEHUMAN = re.compile(rf"(?:{DEHUMANISING})")
-_THREAT = re.compile(rf"\b(?:{THREATS})\b")
-_SEX = re.compile(rf"\b(?:{SEX_ACTS})\b")
-_TRADE = re.compile(rf"\b(?:{SEX_TRADE})\b")
+
+def _needed(parsed: object) -> frozenset[str]:
+    """Letter runs of which every match of a parsed pattern has at least one; none if there are no such runs."""
+    best: frozenset[str] = frozenset()
+    runs = {""}
+
+    def offer(found: frozenset[str]) -> None:
+        nonlocal best
+        if all(found) and min(map(len, found), default=0) >= min(map(len, best), default=1):
+            best = found
+
+    for op, arg in parsed:
+        if op is _parser.LITERAL:
+            runs = {x + chr(arg) for x in runs}
+            continue
+        if op is _parser.IN and len(runs) * len(arg) <= 8 and all(x is _parser.LITERAL for x, _ in arg):
+            runs = {x + chr(c) for x in runs for _, c in arg}
+            continue
+        offer(frozenset(runs))
+        runs = {""}
+        if op is _parser.SUBPATTERN:
+            offer(_needed(arg[3]))
+        elif op is _parser.BRANCH:
+            parts = [_needed(x) for x in arg[1]]
+            offer(frozenset().union(*parts) if all(parts) else frozenset())
+        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and arg[0] > 0:
+            offer(_needed(arg[2]))
+    offer(frozenset(runs))
+    return best
+
+
+class Gated:
+    """A pattern that is only tried on texts with a letter run that each of its matches needs. The runs are read off the parsed pattern."""
+
+    def __init__(self, pattern: str) -> None:
+        self.pattern, self.compiled = pattern, re.compile(pattern)
+        needed = _needed(_parser.parse(pattern))
+        self.needed = sorted(w for w in needed if not any(v != w and v in w for v in needed))
+
+    def possible(self, text: str) -> bool:
+        """Whether there may be a match."""
+        return not self.needed or any(w in text for w in self.needed)
+
+    def count(self, text: str) -> int:
+        """The number of matches."""
+        return len(self.compiled.findall(text)) if self.possible(text) else 0
+
+
+_INSULT = Gated(_words_alternation(INSULTS) + "|" + "|".join(INSULT_PHRASES))
+_STRONG = Gated(rf"\b(?:{STRONG})\b")
+_GROUP = Gated(rf"\b(?:{GROUPS})\b")
+_DEHUMAN = Gated(rf"(?:{DEHUMANISING})")
+_THREAT = Gated(rf"\b(?:{THREATS})\b")
+_SEX = Gated(rf"\b(?:{SEX_ACTS})\b")
+_TRADE = Gated(rf"\b(?:{SEX_TRADE})\b")
 _SECOND, _ADDRESS, _STUDY = re.compile(SECOND_PERSON), re.compile(ADDRESSING), re.compile(STUDY)
-_OTHER = re.compile("|".join(rf"(?<!\w)(?:{x})" if x[0] not in "(死くバ馬クゴキ消殺ぶ間" else x for x in OTHER_ABUSE))
-_OTHER_HATE = re.compile("|".join(OTHER_HATE))
+_OTHER = Gated("|".join(rf"(?<!\w)(?:{x})" if x[0] not in "(死くバ馬クゴキ消殺ぶ間" else x for x in OTHER_ABUSE))
+_OTHER_HATE = Gated("|".join(OTHER_HATE))
 _QUOTED = re.compile(r"“[^”]{0,400}”|„[^“”]{0,400}[“”]|«[^»]{0,400}»|\"[^\"\n]{0,400}\"|「[^」]{0,400}」|‘[^’\n]{0,200}’(?!\w)")
+#: The patterns without which no passage scores more than ``FLOOR``; a group by itself adds nothing.
+_SCORING = (_INSULT, _STRONG, _DEHUMAN, _THREAT, _SEX, _TRADE, _OTHER, _OTHER_HATE)
+#: The score of a passage in which nothing is found.
+FLOOR = 1 / (1 + math.exp(4.0))
 _PASSAGE = re.compile(r"(?<=[.!?…。！？])\s+|(?<=[。！？])|\n+")
 _LEAD = re.compile(r"^\s*(?:>+|[-*•]|re:|@\w+|lol|haha)+\s*", re.I)
 
@@ -287,7 +340,7 @@ def restore(text: str, model: CharModel) -> tuple[str, int]:
 _HIDDEN = frozenset(HIDDEN_WORDS)
 
 
-def passage_score(passage: str, other: bool = True) -> dict[str, float]:
+def passage_score(passage: str) -> dict[str, float]:
     """The scores of a restored passage for abuse, hate and sexual content, each a probability from 0 to 1."""
     p = _LEAD.sub("", passage)
     own = _QUOTED.sub(" ", p)
@@ -297,51 +350,27 @@ def passage_score(passage: str, other: bool = True) -> dict[str, float]:
     quoting = own != p
     second = bool(_SECOND.search(own))
     address = bool(_ADDRESS.search(own))
-    insults, strong, threats = len(_INSULT.findall(own)), len(_STRONG.findall(own)), len(_THREAT.findall(own))
-    groups, dehuman = len(_GROUP.findall(own)), len(_DEHUMAN.findall(own))
-    sex, trade = len(_SEX.findall(own)), len(_TRADE.findall(own))
+    insults, strong, threats = _INSULT.count(own), _STRONG.count(own), _THREAT.count(own)
+    groups, dehuman = _GROUP.count(own), _DEHUMAN.count(own)
+    sex, trade = _SEX.count(own), _TRADE.count(own)
     # Words of study count half where somebody is addressed.
     damp = (1.0 if second or address else 2.0) * min(study, 3) + 1.5 * quoting
     abuse = -4.0 - damp + (5.5 if insults and (second or address) else 2.0 * min(insults, 2)) + (5.5 if strong and (second or address) else 2.0 * min(strong, 1)) + (6.0 if threats else 0.0) + (1.5 if second and (insults + threats) else 0.0)
-    if other and _OTHER.search(own):
+    if _OTHER.count(own):
         abuse += 7.0
     hate = -4.5 - damp + (4.5 * min(groups, 1) * min(dehuman, 1)) * 1.3 + 1.0 * min(max(dehuman - 1, 0), 2) + (1.0 if groups and insults else 0.0)
     if dehuman and not groups and re.search(r"\b(?:them|they|their)\b", own) and re.search(r"put them down|subhuman|vermin|sick dogs|beat them|lock them|exterminat", own):
         hate += 6.0
-    if other and _OTHER_HATE.search(own):
+    if _OTHER_HATE.count(own):
         hate += 7.0
     sexual = -4.0 - damp + 5.5 * min(sex, 1) + 1.5 * min(max(sex - 1, 0), 2) + 4.2 * min(trade, 1) + 2.0 * min(max(trade - 1, 0), 2) + (1.5 if strong and sex else 0.0)
     return {k: 1 / (1 + math.exp(-v)) for k, v in (("abuse", abuse), ("hate", hate), ("sexual", sexual))}
 
 
-# Every pattern above has a word of its own besides function words; passages without any need no scoring.
-_FUNCTION = frozenset(
-    "the and you your yours for with that this not was were has her his him she they them their these those all out off one who get too own are but can from into our what when where which will would until like such only just more most over than then there here have had how its let may new now "
-    "another people".split()
-)
-_SOURCES = [*INSULTS, *INSULT_PHRASES, DEHUMANISING, THREATS, STRONG, SEX_ACTS, SEX_TRADE]
-_TRIGGERS = frozenset(w for x in _SOURCES for w in re.findall(r"[a-z]{3,}", x)) - _FUNCTION
-_STEMS = tuple(sorted({m for x in (STRONG, DEHUMANISING, SEX_ACTS) for m in re.findall(r"([a-z]{4,})\\w\*", x)}))
-_WORD_RE = re.compile(r"[a-z]{3,}")
-_PHRASE_ONLY = re.compile(r"\bon you\b|\bend you\b|\bin their\b|\bon cam\b|\bat it\b")
-
-
-# The starts of words, without accents, that the lists in other Latin languages build on.
-_OTHER_STEMS = tuple(
-    "imbecil gilipollas basura sirves mierda puta callate cabron maricon idiota estupid zorra muerete gueule espece connar connasse salope encul pute ordure merde dechet veut creve abruti debile nique "
-    "vollidiot fresse klappe schnauze verpiss dreck scheis schei arschloch wichser hurensohn fotze schlampe missgeburt fick dummkopf plaga escoria echar palos cancer ratas matar fuera "
-    "vermine dehors racaille parasit rats virer noyer bruler ungeziefer weggesperrt ballast abschaum ratten weg vergas raus ersaufen pack".split()
-)
-_NON_LATIN = re.compile(r"[\u0400-\u052f\u0600-\u06ff\u3040-\u30ff\u4e00-\u9fff]")
-_ACCENTS = str.maketrans("àáâäãåçèéêëìíîïñòóôöõùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-
-
-def _needs_scoring(passage: str) -> tuple[bool, bool]:
-    """Whether a passage has a word of the English lists, and of the others."""
-    words = _WORD_RE.findall(passage if passage.isascii() else passage.translate(_ACCENTS))
-    own = not _TRIGGERS.isdisjoint(words) or any(w.startswith(_STEMS) for w in words) or bool(_PHRASE_ONLY.search(passage))
-    other = any(w.startswith(_OTHER_STEMS) for w in words) or (not passage.isascii() and bool(_NON_LATIN.search(passage)))
-    return own, other
+def _scores(passage: str) -> bool:
+    """Whether any scoring pattern matches. Taking out a quotation joins its surroundings, so passages with one always count."""
+    own = _LEAD.sub("", passage)
+    return any(x.possible(own) and x.compiled.search(own) for x in _SCORING) or bool(_QUOTED.search(own))
 
 
 def document_score(text: str | None, model: CharModel) -> tuple[float, str, int]:
@@ -351,10 +380,10 @@ def document_score(text: str | None, model: CharModel) -> tuple[float, str, int]
     restored, n = restore(text, model)
     best, kind = 0.0, ""
     for passage in _PASSAGE.split(restored):
-        own, other = _needs_scoring(passage) if len(passage) >= 2 else (False, False)
-        if not (own or other):
+        # Exact: without a match no passage beats a score that is there already.
+        if best >= FLOOR and not _scores(passage):
             continue
-        for name, s in passage_score(passage, other).items():
+        for name, s in passage_score(passage).items():
             if s > best:
                 best, kind = s, name
     return best, kind if best >= 0.5 else "", n

@@ -169,3 +169,16 @@ def test_abuse_scores(spark):
     assert got == set(range(len(bad)))
     rates = {r["source"]: (r["documents"], r["flagged"]) for r in abuse.rates_by_source(df).collect()}
     assert rates == {"s": (7, 3), None: (8, 3)}
+
+
+def test_no_passage_is_left_unscored():
+    model = abuse.CharModel({}, set())
+    bad = ["Migrants must be exterminated.", "Immigrants must be locked up.", "Refugees must be sterilised.", "Wipe out the muslims, they are wiped out.", "You are retarded.", "He was thrusting into her.", "Va te faire foutre."]
+    for t in bad:
+        assert abuse.document_score(t, model)[0] >= 0.5, t
+    rnd = random.Random(5)
+    words = sorted({w for x in abuse._SCORING for w in abuse.re.findall(r"[^\W\d_]{2,}", x.pattern)}) + ["you", "“", "”", "the", "study", "reported", "in", "them"]
+    for _ in range(3000):
+        t = " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 7)))
+        passages = abuse._PASSAGE.split(abuse.restore(t, model)[0])
+        assert abuse.document_score(t, model)[0] == max(max(abuse.passage_score(p).values()) for p in passages), t
