@@ -157,6 +157,24 @@ def test_linkage(spark):
     assert linkage.link(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema).limit(0)).count() == 0
 
 
+def met(left, right, counts, total=100_000):
+    """Whether a candidate and an item, each (title, authors, year), share a blocking key."""
+    spelling = linkage.Spelling(counts, total)
+    wide, narrow = (linkage.keys_of(linkage.parse(*x, None, None, spelling), spelling, w) for x, w in ((left, True), (right, False)))
+    return not set(wide).isdisjoint(narrow)
+
+
+def test_titles_of_rare_words_meet():
+    counts = {"reading": 900, "pupils": 800}
+    assert met(("Kaingang phonotactics", None, None), ("Kaingang phonotactics.", None, None), counts)
+    assert met(("Xylophagy", None, None), ("Xylophagy", None, None), counts)
+    assert met(("Kaingang phonotactics revisited by Wiesemann", None, None), ("Kaingang phonotactics revis...", None, None), counts)
+    assert met(("Kaingang reading", None, None), ("Kaingang reading in ...", None, None), counts)
+    assert met(("Kaingang verbs", None, "1999"), ("Kaingang vrbs", None, "2000"), counts)
+    assert met(("カインガング語の音韻", None, None), ("カインガング語の音韻", None, None), counts)
+    assert not met(("Kaingang verbs", None, None), ("Guarani nouns", None, None), counts)
+
+
 # ---- abuse ----
 
 
