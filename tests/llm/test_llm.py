@@ -175,6 +175,17 @@ def test_titles_of_rare_words_meet():
     assert not met(("Kaingang verbs", None, None), ("Guarani nouns", None, None), counts)
 
 
+def test_short_titles_meet():
+    counts = {"reading": 900, "fluency": 800, "pupils": 700, "coaching": 600, "anxiety": 500}
+    assert met(("Reading fluency", "Murq, J.", "2020"), ("Reading fluency", "J. Murq", "2021"), counts)
+    assert met(("Reading fluency of pupils", "Murq, J.", "2020"), ("Reading fl...", "J. Murq", "2020"), counts)
+    assert met(("Reading", "Murq, J.", "2020"), ("Reading fluency of pupils", "J. Murq", "2020"), counts)
+    assert met(("Reading fluency", None, None), ("Reading fluency", None, None), counts)
+    # The common start of four words, with a year but without a name.
+    assert met(("Coaching reading fluency pupils anxiety", None, "2020"), ("Coaching reading fluency pupils anx...", None, "2020"), counts)
+    assert not met(("Reading fluency", "Murq, J.", "2020"), ("Coaching anxiety", "J. Murq", "2020"), counts)
+
+
 # ---- abuse ----
 
 
