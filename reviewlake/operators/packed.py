@@ -157,7 +157,7 @@ def _sep_kind(sep: str) -> str:
 def shape(value: str) -> tuple[str, float]:
     """The shape of a value, and the log-probability of its words given the shape."""
     out, logp = [], 0.0
-    for tok in _TOKEN.findall(value)[:24]:
+    for tok in _TOKEN.findall(value):
         bare = tok.strip(".")
         if tok == ",":
             kind = ","
@@ -230,9 +230,9 @@ def _arcs_udf(field: pd.Series, text: pd.Series) -> pd.Series:
 
 def _log_p(arc: dict, c: float | None, total: float, shapes: dict[int, float]) -> float:
     lexical = LEXICAL_SHARE * max(0.0, (c or 0.0) - DISCOUNT) / total
-    # A shape never seen gets less the more separators it would swallow.
-    by_shape = (1 - LEXICAL_SHARE) * (shapes.get(arc["b"]) or 0.1 / total * math.exp(arc["a"])) * math.exp(max(arc["w"], -600.0))
-    return math.log(max(lexical + by_shape, 1e-300)) + arc["a"]
+    # A shape never seen gets less the more separators it would swallow. In logarithms, for long values too.
+    by_shape = math.log((1 - LEXICAL_SHARE) * (shapes.get(arc["b"]) or 0.1 / total * math.exp(arc["a"]))) + arc["w"]
+    return (float(np.logaddexp(math.log(lexical), by_shape)) if lexical > 0 else by_shape) + arc["a"]
 
 
 def _by_piece(arcs: list[dict]) -> dict[int, list[dict]]:

@@ -8,7 +8,7 @@ from reviewlake.functions import text as X
 from reviewlake.functions import udfs as U
 from reviewlake.operators import calibration, criteria, dedup, identity, journal, screening
 from reviewlake.operators.orphans import find_orphans, journal_orphans
-from reviewlake.operators.packed import _lattice, _pieces, segment_values
+from reviewlake.operators.packed import _arcs, _bucket, _lattice, _pieces, _viterbi, segment_values
 from reviewlake.sources import connectors as con
 
 CAND = "row_id long, title string, doi string, source_id string, year string, abstract string, oa_url string, source string, date string"
@@ -41,6 +41,13 @@ def test_segment_values_learns_where_values_end(spark):
     assert got[14] == ["Sleep"] and 15 not in got
 
 
+@pytest.mark.parametrize("words", [3, 4, 11, 30])
+def test_every_word_of_a_long_value_counts(words):
+    names = [" ".join(f"{'ABCDEFGHIJ'[i]}a{'abcdefghijklmnopqrstuvwxyzabcdefgh'[k]}" for k in range(words)) for i in range(8)]
+    arcs = [a | {"c": 0.0} for a in _arcs("f", ", ".join(names))]
+    assert [(i, j) for _, i, j in _viterbi(arcs, 1e5, {_bucket("f", names[0])[0]: 0.05})] == [(i, i) for i in range(8)]
+
+
 def test_segment_values_of_an_empty_table(spark):
     assert segment_values(spark.createDataFrame([], "id long, a string"), "id", ["a"]).count() == 0
 
