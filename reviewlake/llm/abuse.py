@@ -196,6 +196,11 @@ class CharModel:
         """The log-probability of a letter after two others."""
         return math.log((self.trigrams.get(two + ch, 0.0) + 0.05) / (self.total.get(two, 0.0) + 0.05 * 50))
 
+    def log_word(self, word: str) -> float:
+        """The log-probability of a word."""
+        p = f"^^{word}$"
+        return sum(self.log_p(p[i - 2 : i], p[i]) for i in range(2, len(p)))
+
     def read(self, lattice: list[list[tuple[str, float]]], width: int = 60) -> list[str]:
         """The likeliest readings of a lattice of (letters, cost) choices, best first."""
         beam: dict[str, float] = {"": 0.0}
@@ -235,15 +240,19 @@ def _choices(run: str, n: int, masked: bool) -> list[tuple[str, float]]:
 
 _SPACED = re.compile(r"(?<![\w'’])(?:[^\W\d_][ ]){2,}[^\W\d_](?![\w'’])|(?<![\w'’])(?:[^\W_][-._*~]){3,}[^\W_]?(?!\w)")
 _ODD = re.compile(
-    r"(?<![\w@$])(?=[^\W\d_'’]{0,24}(?:[\d@$!|*#%_€£+?(]|-[^\W\d_]{1,3}(?!\w)|(?<![^\W\d_])[^\W\d_]{1,3}-[^\W\d_]|([^\W\d_])\1))[\w@$!|+*#%€£()?-]*[\w@$*](?![\w@$])"
+    r"(?<![\w@$])(?=[^\W\d_'’]{0,24}(?:[\d@$!|*#%_€£+?(]|--|-[^\W\d_]{1,3}(?!\w)|(?<![^\W\d_])[^\W\d_]{1,3}-[^\W\d_]|([^\W\d_])\1))[\w@$!|+*#%€£()?-]*(?:[\w@$*]|[#%]{2}|--)(?![\w@$])"
 )
 _DOUBLE = re.compile(r"([^\W\d_])\1")
 _STRETCH = re.compile(r"([^\W\d_])\1\1")
+_LONG_RUN = re.compile(r"(.)\1{2,}")
+_MASK_RUN = re.compile(r"[*#%_-]{2,}")
+#: Words between equal runs of signs, which stress them.
+_STRESSED = re.compile(r"([*#%_-]+)[^*#%_-]+\1")
 
 
 def _suspicious(token: str) -> bool:
     core = token.strip("()?!-")
-    if len(core) < 2 or len(core) > 24:
+    if len(core) < 2 or len(_LONG_RUN.sub(r"\1\1", core)) > 24:
         return False
     if _STRETCH.search(core) or (core.isalpha() and _DOUBLE.search(core)):
         return True
@@ -277,9 +286,32 @@ def normalise(text: str) -> str:
     return out.lower()
 
 
+def _behind_masks(core: str, model: "CharModel") -> str | None:
+    """The likeliest word that a token with a run of mask signs hides, each sign standing for a letter."""
+    if not _MASK_RUN.search(core) or _STRESSED.fullmatch(core) or not any(c.isalpha() for c in core):
+        return None
+    parts = []
+    for m in re.finditer(r"(.)\1*", core):
+        ch, n = m[1], len(m[0])
+        if ch in MASKS:
+            parts.append(f"[{ALPHABET}]{{{n}}}")
+        else:
+            parts.append(f"[{re.escape(ch + STANDS_FOR.get(ch, ''))}]{{1,{min(n, 2)}}}")
+    fits = re.compile("".join(parts)).fullmatch
+    found = [w for w in _MASKED if fits(w)]
+    # What is masked is offensive by itself more often than by its context.
+    return min(found, key=lambda w: (not _STRONG.count(w), w not in INSULTS, -model.log_word(w), w), default=None)
+
+
 def _restore_token(word: str, model: "CharModel") -> tuple[str, int]:
     """A written token as the word that it hides, and whether it hid one."""
-    if word in model.words or not _suspicious(word):
+    if word in model.words:
+        return word, 0
+    bare = word.strip("()?!")
+    behind = _behind_masks(bare, model)
+    if behind:
+        return word.replace(bare, behind), 1
+    if not _suspicious(word):
         return word, 0
     core = word.rstrip("?!-)").lstrip("(") if any(c in "!()" for c in word.strip("()?!-")) else word.strip("()?!-")
     if core in model.words:
@@ -338,6 +370,8 @@ def restore(text: str, model: CharModel) -> tuple[str, int]:
 
 
 _HIDDEN = frozenset(HIDDEN_WORDS)
+#: The words that runs of mask signs are matched with.
+_MASKED = sorted(_HIDDEN | set("faggot faggots nigger niggers tranny fuckers fuckin shits wankers pricks".split()))
 
 
 def passage_score(passage: str) -> dict[str, float]:

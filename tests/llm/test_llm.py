@@ -211,3 +211,13 @@ def test_no_passage_is_left_unscored():
         t = " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 7)))
         passages = abuse._PASSAGE.split(abuse.restore(t, model)[0])
         assert abuse.document_score(t, model)[0] == max(max(abuse.passage_score(p).values()) for p in passages), t
+
+
+def test_runs_of_masks_and_long_stretches_are_restored():
+    model = abuse.CharModel({}, set())
+    for text, word in [("f*** you", "fuck"), ("f***ing hell", "fucking"), ("you wh**e", "whore"), ("you b****", "bitch"), ("f### you", "fuck"), ("a--hole", "asshole"), ("you n*****", "nigger"), ("you idi" + "o" * 30 + "t", "idiot"), ("b" + "i" * 15 + "t" * 15 + "ch", "bitch")]:
+        assert word in abuse.restore(text, model)[0].split(), text
+    assert abuse.restore("you s**t", model)[0] in ("you shit", "you slut") and abuse.restore("you s***", model)[0] in ("you shit", "you slut")
+    assert abuse.document_score("f*** you", model)[0] >= 0.5
+    for text in ["**i** think", "0.05***", "women--and others", "__x__", "***"]:
+        assert abuse.restore(text, model) == (text, 0)
