@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.llm.visual import _fold_run
+from reviewlake.session import cut
 
 # What a written character may stand for.
 STANDS_FOR = {
@@ -182,6 +183,16 @@ _PASSAGE = re.compile(r"(?<=[.!?…。！？])\s+|(?<=[。！？])|\n+")
 _LEAD = re.compile(r"^\s*(?:>+|[-*•]|re:|@\w+|lol|haha)+\s*", re.I)
 
 
+# Words whose double letter is no stretch of a hidden word.
+DOUBLED = frozenset("root hoot looser".split())
+
+
+def _stretched_form(word: str) -> bool:
+    """Whether a word is a stretched spelling, however often it occurs."""
+    short = _REPEATS.sub(r"\1", word)
+    return bool(_STRETCH.search(word)) or (short != word and short in _HIDDEN and word not in _HIDDEN and word not in DOUBLED)
+
+
 class CharModel:
     """A trigram model of the letters of words, and the words themselves."""
 
@@ -189,7 +200,7 @@ class CharModel:
         total: dict[str, float] = {}
         for t, n in trigrams.items():
             total[t[:2]] = total.get(t[:2], 0.0) + n
-        self.trigrams, self.total, self.words = trigrams, total, words
+        self.trigrams, self.total, self.words = trigrams, total, {w for w in words if not _stretched_form(w)}
         self.restored: dict[str, tuple[str, int]] = {}
 
     def log_p(self, two: str, ch: str) -> float:
@@ -244,6 +255,7 @@ _ODD = re.compile(
 )
 _DOUBLE = re.compile(r"([^\W\d_])\1")
 _STRETCH = re.compile(r"([^\W\d_])\1\1")
+_REPEATS = re.compile(r"(.)\1+")
 _LONG_RUN = re.compile(r"(.)\1{2,}")
 _MASK_RUN = re.compile(r"[*#%_-]{2,}")
 #: Words between equal runs of signs, which stress them.
@@ -429,8 +441,10 @@ WORD_SHARE = 2e-6
 
 def learn_model(documents: DataFrame, text: str = "text") -> CharModel:
     """The character model of all documents: trigram counts over a fixed alphabet (a bounded table) and the words in common use."""
-    words = documents.filter(F.col(text).isNotNull()).select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("w")).filter(F.length("w").between(2, 24))
-    counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    # A text that is copied counts once.
+    texts = documents.filter(F.col(text).isNotNull()).select(text).distinct()
+    words = texts.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("w")).filter(F.length("w").between(2, 24))
+    counts = cut(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
     inside = counts.filter(F.col("w").rlike(f"^[{ALPHABET}]+$"))
     padded = inside.select(F.concat(F.lit("^^"), "w", F.lit("$")).alias("p"), "n")
     grams = padded.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("p") - 2), lambda i: F.substring(F.col("p"), i, F.lit(3)))).alias("g"), "n")

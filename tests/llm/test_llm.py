@@ -221,3 +221,15 @@ def test_runs_of_masks_and_long_stretches_are_restored():
     assert abuse.document_score("f*** you", model)[0] >= 0.5
     for text in ["**i** think", "0.05***", "women--and others", "__x__", "***"]:
         assert abuse.restore(text, model) == (text, 0)
+
+
+def test_frequent_stretched_spellings_are_restored(spark):
+    texts = ["You are stuuupid."] * 40 + [f"You are an idiiot, number {'abcdefghij'[i]}." for i in range(9)] + ["The root of the matter."] * 3
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = abuse.learn_model(df)
+    assert model.words.isdisjoint({"stuuupid", "idiiot"}) and "are" in model.words
+    assert abuse.restore("stuuupid idiiot", model) == ("stupid idiot", 2)
+    assert abuse.CharModel({}, {"root", "stuuupid", "hell"}).words == {"root", "hell"}
+    # One text, however often it is copied, makes no word known.
+    assert "matter" not in model.words
+    assert {r["doc_id"] for r in abuse.score_documents(df).filter("score >= 0.5").collect()} >= set(range(40, 49))
