@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewlake.functions.text import nonblank
 from reviewlake.operators.skew import join_hot
-from reviewlake.session import cut
+from reviewlake.session import cut, forget
 
 KINDS = ("doi", "source_id", "oa_url")
 
@@ -33,14 +33,19 @@ def latest_by_identity(rows: DataFrame, key: str = "row_id") -> DataFrame:
     return exploded_identities(rows, key).groupBy("kind", "value").agg(F.max(key).alias(key))
 
 
-def connected_components(rows: DataFrame, key: str = "row_id", max_rounds: int = 50) -> DataFrame:
+class NotConverged(RuntimeError):
+    """Labels still changed after the allowed number of rounds."""
+
+
+def connected_components(rows: DataFrame, key: str = "row_id", max_rounds: int = 200) -> DataFrame:
     """``key, component``: rows that share an identifier, directly or through others; the component is its smallest key.
 
     Labels travel over the two-sided graph of rows and identifiers: each identifier takes the smallest label of
     its rows, each row the smallest of its identifiers, then labels are replaced by the labels of the rows they name
     (pointer jumping), so the number of rounds grows with the logarithm of the longest chain. Each round is written to
-    the checkpoint folder. Minima combine before the shuffle, and an identifier that many rows share (a placeholder) is
-    spread over slices when labels come back. Rows without identifiers are components of their own.
+    the checkpoint folder. Minima combine before the shuffle, and an identifier or a label that many rows share (a placeholder, a
+    giant component) is spread over slices when labels come back. Rows without identifiers are components of their own. A graph that needs more than
+    ``max_rounds`` rounds raises :class:`NotConverged`; no unfinished labels are returned.
     """
     edges = cut(exploded_identities(rows, key).select(F.col(key).alias("k"), F.xxhash64("kind", "value").alias("v1"), F.xxhash64("value", "kind").alias("v2")).distinct())
     total = float(edges.count())
@@ -48,19 +53,21 @@ def connected_components(rows: DataFrame, key: str = "row_id", max_rounds: int =
     shared = edges.groupBy("v1", "v2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # Identifiers of one row join nothing: only shared ones matter from here on.
     live = cut(join_hot(edges, shared, ["v1", "v2"], "n", "k", total).select("k", "v1", "v2", "n"))
+    forget(edges)
     if live.isEmpty():
         return labels.select(F.col("k").alias(key), F.col("label").alias("component"))
     state = cut(live.select("k", F.col("k").alias("label")).distinct())
     for _ in range(max_rounds):
         by_value = live.join(state, "k").groupBy("v1", "v2").agg(F.min("label").alias("m"), F.count(F.lit(1)).alias("n"))
         back = join_hot(live.drop("n"), by_value, ["v1", "v2"], "n", "k", total)
-        near = back.groupBy("k").agg(F.min("m").alias("label"))
-        # The label of the row that a label names can only be smaller.
-        jumped = near.alias("a").join(near.select(F.col("k").alias("label"), F.col("label").alias("up")).alias("b"), "label", "left").select("k", F.least("label", F.coalesce("up", "label")).alias("label"))
-        new = cut(jumped)
-        changed = new.alias("n").join(state.alias("o"), "k").filter(F.col("n.label") != F.col("o.label"))
-        done = changed.isEmpty()
+        near = cut(back.groupBy("k").agg(F.min("m").alias("label")))
+        # The label of the row that a label names can only be smaller. All rows of a giant component may bear one label.
+        named = near.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(near.select(F.col("k").alias("label"), F.col("label").alias("up")), "label")
+        new = cut(join_hot(near, named, ["label"], "n", "k", total).select("k", F.least("label", "up").alias("label")))
+        forget(near)
+        done = new.join(state.withColumnRenamed("label", "old"), "k").filter("label <> old").isEmpty()
+        forget(state)
         state = new
         if done:
-            break
-    return labels.select("k").join(state, "k", "left").select(F.col("k").alias(key), F.coalesce("label", "k").alias("component"))
+            return labels.select("k").join(state, "k", "left").select(F.col("k").alias(key), F.coalesce("label", "k").alias("component"))
+    raise NotConverged(f"components still change after {max_rounds} rounds")

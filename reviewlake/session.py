@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: dict[str, tuple] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables under ``sf_dir``."""
@@ -34,9 +38,55 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` by a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of ``df``: write it once as a table in the shared folder and read that.
+
+    A reliable checkpoint would compute the last stage twice, once to count and once to write. The
+    table outlives lost executors and lets the optimizer see its size. :func:`forget` removes it early, the end of the session the rest.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    sc = spark.sparkContext
+    _WRITTEN[path] = (sc._jvm, sc._jsc.hadoopConfiguration())
+    return out
+
+
+def spread(df: DataFrame, key: str, rows_per_task: int = 20_000) -> DataFrame:
+    """``df`` in enough partitions for a costly step, by a hash of ``key``: small tables would otherwise be read by one task.
+
+    ``df`` should be a table that :func:`cut` wrote, so that counting it reads no data.
+    """
+    parts = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_per_task))
+    return df.repartition(parts, key)
+
+
+def parallel(scan: DataFrame, key: str) -> DataFrame:
+    """``scan``, a table with narrow steps only, in at least as many partitions as there are cores, for a costly step to come."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(2 * cores, key)
+
+
+def forget(df: DataFrame) -> None:
+    """Remove the table that :func:`cut` wrote for ``df``; nothing may read it afterwards."""
+    _remove(getattr(df, "_cut_path", ""))
+
+
+def _remove(path: str) -> None:
+    jvm, conf = _WRITTEN.pop(path, (None, None))
+    if jvm is not None:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_WRITTEN):
+        try:
+            _remove(path)
+        except Exception:  # noqa: BLE001 - the virtual machine may be gone already
+            return
 
 
 def local_session(name: str = "reviewlake", cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
