@@ -14,8 +14,8 @@ give expected counts. A Viterbi pass over the lattice takes the likeliest split.
 
 Distribution: every distinct text is worked on once. Value frequencies may be as
 many as there are values, so they are never collected: arcs meet them in a join by
-value hash. Values above a share of ``HOT_SHARE`` (at most ``1 / HOT_SHARE`` of them,
-whatever the data) travel by broadcast instead, and so no join key is hot. Shapes
+value hash that spreads hot values over slices. Only values counted more than ``DISCOUNT`` times are evidence, so only
+those go into that join, and of an arc only its number and value travel. Shapes
 are hashed to ``SHAPE_BUCKETS`` slots, so that table is bounded as well.
 """
 
@@ -33,12 +33,13 @@ from pyspark.sql import functions as F
 
 from reviewlake.functions.lazy import arrow_udf
 from reviewlake.operators.skew import join_hot
-from reviewlake.session import cut
+from reviewlake.session import cut, spread
 
-HOT_SHARE = 1e-4
 SHAPE_BUCKETS = 1 << 16
-#: The longest value, in atoms that weak separators divide.
-MAX_JOIN = 8
+#: Spans of up to so many atoms are possible values everywhere; longer ones where a value of that length is attested.
+SHORT_SPAN = 8
+#: Expected counts below this are rounding errors of the sums they go into.
+PRECISION = 1e-6
 #: What each weak separator inside a value costs, as a factor.
 JOIN_PRIOR = {",": 0.05, "and": 0.05, "/": 0.02}
 #: How much of the probability of a value is due to its own frequency rather than its shape.
@@ -198,89 +199,154 @@ def _joined(atoms: list[str], seps: list[str], i: int, j: int) -> str:
     return text.strip()
 
 
-def _arcs(field: str, text: str) -> list[dict]:
-    """The arcs of the lattices of ``text``: piece, first and last atom, value hash, shape, prior, and whether it is a first count."""
+def _arcs(field: str, text: str, lengths: frozenset[int] = frozenset()) -> dict[str, list]:
+    """The arcs of the lattices of ``text``, as parallel lists: piece, first and last atom, value hash, shape, log-probability of the words, prior, flags.
+
+    An arc spans up to ``SHORT_SPAN`` atoms, a number of atoms in ``lengths`` (those of longer values that are attested
+    somewhere), or its whole piece.
+    """
     pieces = _lattice(text)
     strong = sum(not closed for _, _, closed in pieces) > 1 and bool(_STRONG.search(text.strip())) and '"' not in text
-    rows = []
+    out: dict[str, list] = {c: [] for c in ARC_COLUMNS}
     for p, (atoms, seps, closed) in enumerate(pieces):
         n = len(atoms)
+        joins = [sum(math.log(JOIN_PRIOR[x]) for x in re.findall(",|and|/", _sep_kind(sep))) for sep in seps]
         for i in range(n):
-            for j in range(i, min(n, i + MAX_JOIN)):
+            ends = [i + k - 1 for k in range(1, SHORT_SPAN + 1)] + [i + k - 1 for k in lengths if k > SHORT_SPAN]
+            if i == 0 and n - 1 not in ends:
+                ends.append(n - 1)
+            for j in ends:
+                if j >= n:
+                    continue
                 value = _joined(atoms, seps, i, j)
                 if not value:
                     continue
                 bucket, logp = _bucket(field, value)
-                prior = sum(math.log(JOIN_PRIOR[x]) for k in range(i, j) for x in re.findall(",|and|/", _sep_kind(seps[k])))
                 # Without ambiguity: closed atoms, single atoms, and whole pieces of a text that strong separators divide.
                 sure = closed or n == 1 or (strong and i == 0 and j == n - 1 and not any("and" in _sep_kind(x) for x in seps))
                 # The span of a whole undivided text would only learn itself by heart, and its copies would confirm it.
                 whole = not strong and not closed and n > 1 and i == 0 and j == n - 1
-                rows.append({"p": p, "i": i, "j": j, "k": _key(field, value), "b": bucket, "w": logp, "a": prior, "sure": sure, "whole": whole})
-    return rows
-
+                for c, v in zip(ARC_COLUMNS, (p, i, j, _key(field, value), bucket, logp, sum(joins[i:j]), SURE * sure + WHOLE * whole)):
+                    out[c].append(v)
+    return out
 
-_ARC = "array<struct<p:int,i:int,j:int,k:bigint,b:int,w:double,a:double,sure:boolean,whole:boolean>>"
 
+#: Columns of the arcs of a text; flags of an arc.
+ARC_COLUMNS = ("p", "i", "j", "k", "b", "w", "a", "f")
+SURE, WHOLE = 1, 2
+_ARC = "struct<p:array<int>,i:array<int>,j:array<int>,k:array<bigint>,b:array<int>,w:array<float>,a:array<float>,f:array<tinyint>>"
 
-@arrow_udf(_ARC)
-def _arcs_udf(field: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([_arcs(f, t) for f, t in zip(field, text)])
 
+def _make_arcs(lengths: frozenset[int]):
+    @F.pandas_udf(_ARC)
+    def run(field: pd.Series, text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_arcs(f, t, lengths) for f, t in zip(field, text)], columns=list(ARC_COLUMNS))
 
-def _log_p(arc: dict, c: float | None, total: float, shapes: dict[int, float]) -> float:
-    lexical = LEXICAL_SHARE * max(0.0, (c or 0.0) - DISCOUNT) / total
-    # A shape never seen gets less the more separators it would swallow. In logarithms, for long values too.
-    by_shape = math.log((1 - LEXICAL_SHARE) * (shapes.get(arc["b"]) or 0.1 / total * math.exp(arc["a"]))) + arc["w"]
-    return (float(np.logaddexp(math.log(lexical), by_shape)) if lexical > 0 else by_shape) + arc["a"]
+    return run
 
 
-def _by_piece(arcs: list[dict]) -> dict[int, list[dict]]:
-    out: dict[int, list[dict]] = {}
-    for a in arcs:
-        out.setdefault(a["p"], []).append(a)
+@arrow_udf("array<int>")
+def _long_values(field: pd.Series, text: pd.Series) -> pd.Series:
+    """How many atoms the unambiguous values of a text have where those are more than ``SHORT_SPAN``."""
+    out = []
+    for t in text:
+        pieces = _lattice(t)
+        strong = len(pieces) > 1
+        sizes = set()
+        for atoms, seps, closed in pieces:
+            if closed:
+                sizes.add(len(_WEAK.findall(atoms[0])) + 1)
+            elif strong and not any("and" in _sep_kind(x) for x in seps):
+                sizes.add(len(atoms))
+        out.append(sorted(x for x in sizes if x > SHORT_SPAN))
+    return pd.Series(out, dtype=object)
+
+
+class _Model:
+    """What the arcs of a text are scored by: the total of counts and the probabilities of the shape slots."""
+
+    def __init__(self, total: float, shapes: dict[int, float]) -> None:
+        self.total = total
+        # An array of fixed size, whatever the data.
+        self.log_shape = np.full(SHAPE_BUCKETS, -np.inf, np.float32)
+        for b, x in shapes.items():
+            if x > 0:
+                self.log_shape[b] = math.log(x)
+
+    def log_p(self, arcs: dict[str, np.ndarray], counts: np.ndarray) -> np.ndarray:
+        """The log-probabilities of arcs whose values have the given counts."""
+        a = np.asarray(arcs["a"], float)
+        shape_p = self.log_shape[np.asarray(arcs["b"], int)].astype(float)
+        # A shape never seen gets less the more separators it would swallow.
+        shape_p = np.where(np.isfinite(shape_p), shape_p, math.log(0.1 / self.total) + a)
+        by_shape = math.log(1 - LEXICAL_SHARE) + shape_p + np.asarray(arcs["w"], float)
+        with np.errstate(divide="ignore"):
+            lexical = np.log(LEXICAL_SHARE * np.maximum(0.0, counts - DISCOUNT) / self.total)
+        return np.logaddexp(lexical, by_shape) + a
+
+
+def _counts(n: int, met: list | None) -> np.ndarray:
+    out = np.zeros(n)
+    for m in met if met is not None else ():
+        out[m["at"]] = m["c"]
     return out
 
 
-def _expect(arcs: list[dict], weight: float, total: dict[str, float], shapes: dict[int, float]) -> list[dict]:
-    """Forward-backward over the lattice: the expected count of every arc."""
-    out = []
-    for group in _by_piece(arcs).values():
-        n = max(a["j"] for a in group) + 1
-        logs = [_log_p(a, a["c"], total, shapes) for a in group]
+def _by_piece(p: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    pieces, starts = np.unique(p, return_index=True)
+    return [(int(x), np.arange(s, e)) for x, s, e in zip(pieces, starts, [*starts[1:], len(p)])]
+
+
+def _expect(arcs: dict[str, np.ndarray], met: list | None, weight: float, model: _Model) -> tuple[list[int], list[int], list[float]]:
+    """Forward-backward over the lattices of a text: value hashes, shapes and expected counts of its arcs."""
+    k, b, f = arcs["k"], arcs["b"], arcs["f"]
+    logs = model.log_p(arcs, _counts(len(k), met))
+    ks, bs, xs = [], [], []
+    for _, at in _by_piece(np.asarray(arcs["p"])):
+        first, last = arcs["i"][at].tolist(), arcs["j"][at].tolist()
+        n = max(last) + 1
         if n == 1:
-            out.extend((a, weight) for a in group)
+            ks.append(int(k[at[0]])), bs.append(int(b[at[0]])), xs.append(weight)
             continue
-        fwd, bwd = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        lp = logs[at].tolist()
+        fwd, bwd = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
         fwd[0] = bwd[n] = 0.0
-        by_end, by_start = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
-        for a, lp in zip(group, logs):
-            by_end[a["j"] + 1].append((a["i"], lp))
-            by_start[a["i"]].append((a["j"] + 1, lp))
-        for e in range(1, n + 1):
-            fwd[e] = np.logaddexp.reduce([fwd[s] + lp for s, lp in by_end[e]]) if by_end[e] else -np.inf
-        for s in range(n - 1, -1, -1):
-            bwd[s] = np.logaddexp.reduce([bwd[e] + lp for e, lp in by_start[s]]) if by_start[s] else -np.inf
+        order = sorted(range(len(at)), key=lambda x: last[x])
+        for x in order:
+            fwd[last[x] + 1] = _log_add(fwd[last[x] + 1], fwd[first[x]] + lp[x])
+        for x in sorted(order, key=lambda x: -first[x]):
+            bwd[first[x]] = _log_add(bwd[first[x]], bwd[last[x] + 1] + lp[x])
         z = fwd[n]
-        for a, lp in zip(group, logs):
-            p = math.exp(min(0.0, fwd[a["i"]] + lp + bwd[a["j"] + 1] - z)) if np.isfinite(z) else 0.0
-            if p > 1e-6 and not a["whole"]:
-                out.append((a, p * weight))
-    return [{"k": a["k"], "b": a["b"], "x": x} for a, x in out]
+        if z == -math.inf:
+            continue
+        for x, g in enumerate(at):
+            p = math.exp(min(0.0, fwd[first[x]] + lp[x] + bwd[last[x] + 1] - z)) * weight
+            # Below the precision of the counts that they are added to.
+            if p > PRECISION and not f[g] & WHOLE:
+                ks.append(int(k[g])), bs.append(int(b[g])), xs.append(p)
+    return ks, bs, xs
+
 
+def _log_add(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
 
-def _viterbi(arcs: list[dict], total: float, shapes: dict[int, float]) -> list[tuple[int, int, int]]:
+
+def _viterbi(arcs: dict[str, np.ndarray], met: list | None, model: _Model) -> list[tuple[int, int, int]]:
     """The likeliest path through each lattice, as (piece, first atom, last atom); of equally likely ones that with fewer values."""
+    logs = model.log_p(arcs, _counts(len(arcs["k"]), met))
     path = []
-    for p, group in sorted(_by_piece(arcs).items()):
-        n = max(a["j"] for a in group) + 1
+    for p, at in _by_piece(np.asarray(arcs["p"])):
+        first, last, lp = np.asarray(arcs["i"])[at].tolist(), np.asarray(arcs["j"])[at].tolist(), logs[at].tolist()
+        n = max(last) + 1
         best = [(-math.inf, 0, 0)] * (n + 1)
         best[0] = (0.0, 0, 0)
-        for a in sorted(group, key=lambda a: (a["j"], a["i"])):
-            score = best[a["i"]][0] + _log_p(a, a["c"], total, shapes)
-            cand = (score, best[a["i"]][1] - 1, a["i"])
-            if cand > best[a["j"] + 1]:
-                best[a["j"] + 1] = cand
+        for x in sorted(range(len(lp)), key=lambda x: (last[x], first[x])):
+            score = best[first[x]][0] + lp[x]
+            cand = (score, best[first[x]][1] - 1, first[x])
+            if cand > best[last[x] + 1]:
+                best[last[x] + 1] = cand
         e, steps = n, []
         while e > 0:
             s = best[e][2]
@@ -290,21 +356,6 @@ def _viterbi(arcs: list[dict], total: float, shapes: dict[int, float]) -> list[t
     return path
 
 
-def _with_counts(arcs: DataFrame, lexicon: DataFrame, total: float) -> DataFrame:
-    """The arcs of each text with the count of their value, hot values by broadcast and the rest by a join on the value hash."""
-    # At most 1 / HOT_SHARE values can have that share of all counts.
-    hot = F.broadcast(lexicon.filter(F.col("c") >= HOT_SHARE * total).select("k", F.col("c").alias("hot_c")))
-    cold = lexicon.filter(F.col("c") < HOT_SHARE * total).select(F.col("k").alias("cold_k"), F.col("c").alias("cold_c"))
-    flat = arcs.select("tid", "n", "field_name", F.explode("arcs").alias("arc")).select("tid", "n", "field_name", "arc.*")
-    flat = flat.join(hot, "k", "left")
-    # A hot arc must not meet its hot key in the shuffle: it gets a key of its own that no value has.
-    flat = flat.withColumn("cold_k", F.when(F.col("hot_c").isNull(), F.col("k")).otherwise(-1 - F.shiftrightunsigned(F.xxhash64("tid", "p", "i", "j"), 1)))
-    flat = flat.join(cold, "cold_k", "left").withColumn("c", F.coalesce("hot_c", "cold_c", F.lit(0.0)))
-    return flat.groupBy("tid").agg(
-        F.first("n").alias("n"), F.first("field_name").alias("field_name"), F.collect_list(F.struct("p", "i", "j", "k", "b", "w", "a", "c", "whole")).alias("arcs")
-    )
-
-
 def segment_values(table: DataFrame, key: str, fields: list[str], rounds: int = 2) -> DataFrame:
     """One row per row of ``table``, field and value: ``key, field_name, pos, item, n_items``.
 
@@ -312,38 +363,54 @@ def segment_values(table: DataFrame, key: str, fields: list[str], rounds: int =
     separators, enclosing quotes and escapes. Defined cases: null, empty and blank
     fields, and fields of separators only, give no rows; an unclosed quote is an
     ordinary character; a single value gives one row with ``n_items`` 1; repeated
-    values and rows are kept; other columns of ``table`` are ignored.
+    values and rows are kept; other columns of ``table`` are ignored. A value that weak separators
+    divide into more than ``SHORT_SPAN`` atoms comes out whole inside a longer field if a value of so many atoms is attested somewhere
+    (quoted, or between strong separators), and always if it fills its piece.
     """
     long = table.select(F.col(key).alias("rk"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("text")) for f in fields])).alias("x"))
     long = long.select("rk", "x.field_name", "x.text").filter(F.col("text").rlike(r"[^\s\p{Z}]"))
     h1, h2 = F.xxhash64("field_name", "text"), F.xxhash64("text", F.lit("second"), "field_name")
-    texts = cut(long.groupBy("field_name", "text").agg(F.count(F.lit(1)).cast("double").alias("n")).withColumn("tid", F.monotonically_increasing_id()).withColumn("arcs", _arcs_udf("field_name", "text")))
+    distinct = cut(long.groupBy("field_name", "text").agg(F.count(F.lit(1)).cast("double").alias("n")).withColumn("tid", F.monotonically_increasing_id()))
+    # Numbers of atoms: the list is as long as the longest value at most.
+    many = distinct.filter(F.regexp_count("text", F.lit(r"[,，&/]|\s(?:" + "|".join(w for w in AND_WORDS if w != "&") + r")\s")) >= SHORT_SPAN)
+    lengths = frozenset(r[0] for r in many.select(F.explode(_long_values("field_name", "text")).alias("x")).distinct().collect())
+    # The arcs of each distinct text are worked out once.
+    arcs = cut(spread(distinct, "tid").select("tid", "n", _make_arcs(lengths)("field_name", "text").alias("arcs")))
+    ambiguous = arcs.filter(F.exists("arcs.j", lambda j: j > 0))
 
     # First counts, from what is not ambiguous.
-    arcs = texts.select("tid", "n", "field_name", "arcs")
-    ambiguous = arcs.filter(F.exists("arcs", lambda a: a["j"] > 0))
-    sure = arcs.select("n", F.explode("arcs").alias("a")).filter("a.sure").select(F.col("a.k").alias("k"), F.col("a.b").alias("b"), F.col("n").alias("x"))
-    plain = cut(arcs.filter(~F.exists("arcs", lambda a: a["j"] > 0)).select("n", F.explode("arcs").alias("a")).groupBy("a.k", "a.b").agg(F.sum("n").alias("x")))
-
-    def model(counts: DataFrame) -> tuple[DataFrame, float, dict[int, float]]:
-        lexicon = cut(counts.groupBy("k").agg(F.sum("x").alias("c")))
-        total = max(lexicon.agg(F.sum("c")).first()[0] or 0.0, 1.0)
+    flat = arcs.select("n", F.explode(F.arrays_zip("arcs.k", "arcs.b", "arcs.f")).alias("a"))
+    sure = flat.filter(F.col("a.f").bitwiseAND(SURE) > 0).select("a.k", "a.b", F.col("n").alias("x"))
+    plain = cut(arcs.filter(~F.exists("arcs.j", lambda j: j > 0)).select("n", F.explode(F.arrays_zip("arcs.k", "arcs.b")).alias("a")).groupBy("a.k", "a.b").agg(F.sum("n").alias("x")))
+    # Which arc of which text has which value, and how many arcs have it.
+    keys = ambiguous.select("tid", F.posexplode("arcs.k").alias("at", "k"))
+    held = cut(keys.groupBy("k").agg(F.count(F.lit(1)).alias("m")))
+    arcs_total = float(held.agg(F.sum("m")).first()[0] or 0)
+
+    def model(counts: DataFrame) -> tuple[DataFrame, _Model]:
+        summed = cut(counts.groupBy("k", "b").agg(F.sum("x").alias("x")))
+        lexicon = summed.groupBy("k").agg(F.sum("x").alias("c"))
         # At most SHAPE_BUCKETS rows come back.
-        shapes = {r["b"]: r["x"] / total for r in counts.groupBy("b").agg(F.sum("x").alias("x")).collect()}
-        return lexicon, total, shapes
+        slots = {r["b"]: r["x"] for r in summed.groupBy("b").agg(F.sum("x").alias("x")).collect()}
+        total = max(math.fsum(slots.values()), 1.0)
+        return lexicon.filter(F.col("c") > DISCOUNT), _Model(total, {b: x / total for b, x in slots.items()})
+
+    def with_counts(lexicon: DataFrame) -> DataFrame:
+        """The ambiguous texts with the counts of those of their arcs that have more than the discount; the others are no evidence."""
+        once = lexicon.join(held, "k")
+        met = join_hot(keys, once, ["k"], "m", "tid", arcs_total).groupBy("tid").agg(F.collect_list(F.struct("at", "c")).alias("met"))
+        return ambiguous.join(met, "tid", "left")
 
-    lexicon, total, shapes = model(sure)
+    lexicon, scorer = model(sure)
     for _ in range(rounds):
-        counts_udf = _make_expect(total, shapes)
-        expected = _with_counts(ambiguous, lexicon, total).select(F.explode(counts_udf("arcs", "n")).alias("e")).select("e.k", "e.b", "e.x")
-        summed = cut(expected.groupBy("k", "b").agg(F.sum("x").alias("x")))
-        lexicon, total, shapes = model(summed.unionByName(plain.select("k", "b", "x")))
+        expected = with_counts(lexicon).select(F.explode(_make_expect(scorer)("arcs", "met", "n")).alias("e")).select("e.k", "e.b", "e.x")
+        lexicon, scorer = model(expected.unionByName(plain.select("k", "b", "x")))
 
-    paths = _with_counts(ambiguous, lexicon, total).select("tid", _make_viterbi(total, shapes)("arcs").alias("path"))
-    decoded = texts.join(paths, "tid", "left").select("field_name", "text", "n", _items_udf("field_name", "text", "path").alias("items"))
+    paths = with_counts(lexicon).select("tid", _make_viterbi(scorer)("arcs", "met").alias("path"))
+    decoded = distinct.join(paths, "tid", "left").select("field_name", "text", "n", _items_udf("field_name", "text", "path").alias("items"))
 
     # Back to the rows by a hash of 128 bits; a text that many rows repeat is spread over slices.
-    rows_total = texts.agg(F.sum("n")).first()[0] or 0.0
+    rows_total = distinct.agg(F.sum("n")).first()[0] or 0.0
     decoded = decoded.select(h1.alias("h1"), h2.alias("h2"), "n", "items")
     rows = long.select("rk", "field_name", h1.alias("h1"), h2.alias("h2"))
     met = join_hot(rows, decoded, ["h1", "h2"], "n", "rk", rows_total, per_slice=20_000)
@@ -351,18 +418,22 @@ def segment_values(table: DataFrame, key: str, fields: list[str], rounds: int =
     return out.select(F.col("rk").alias(key), "field_name", (F.col("at") + 1).cast("long").alias("pos"), "item", "n_items")
 
 
-def _make_expect(total: float, shapes: dict[int, float]):
+def _arc_rows(arcs: pd.DataFrame):
+    return ({c: np.asarray(v) for c, v in zip(ARC_COLUMNS, row)} for row in zip(*(arcs[c] for c in ARC_COLUMNS)))
+
+
+def _make_expect(model: _Model):
     @F.pandas_udf("array<struct<k:bigint,b:int,x:double>>")
-    def run(arcs: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([_expect(list(a), w, total, shapes) for a, w in zip(arcs, n)])
+    def run(arcs: pd.DataFrame, met: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([[{"k": k, "b": b, "x": x} for k, b, x in zip(*_expect(a, m, w, model))] for a, m, w in zip(_arc_rows(arcs), met, n)], dtype=object)
 
     return run
 
 
-def _make_viterbi(total: float, shapes: dict[int, float]):
+def _make_viterbi(model: _Model):
     @F.pandas_udf("array<struct<p:int,i:int,j:int>>")
-    def run(arcs: pd.Series) -> pd.Series:
-        return pd.Series([[{"p": p, "i": i, "j": j} for p, i, j in _viterbi(list(a), total, shapes)] for a in arcs])
+    def run(arcs: pd.DataFrame, met: pd.Series) -> pd.Series:
+        return pd.Series([[{"p": p, "i": i, "j": j} for p, i, j in _viterbi(a, m, model)] for a, m in zip(_arc_rows(arcs), met)], dtype=object)
 
     return run
 

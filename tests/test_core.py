@@ -8,7 +8,9 @@ from reviewlake.functions import text as X
 from reviewlake.functions import udfs as U
 from reviewlake.operators import calibration, criteria, dedup, identity, journal, screening
 from reviewlake.operators.orphans import find_orphans, journal_orphans
-from reviewlake.operators.packed import _arcs, _bucket, _lattice, _pieces, _viterbi, segment_values
+import numpy as np
+
+from reviewlake.operators.packed import _arcs, _bucket, _lattice, _Model, _pieces, _viterbi, segment_values
 from reviewlake.sources import connectors as con
 
 CAND = "row_id long, title string, doi string, source_id string, year string, abstract string, oa_url string, source string, date string"
@@ -44,8 +46,16 @@ def test_segment_values_learns_where_values_end(spark):
 @pytest.mark.parametrize("words", [3, 4, 11, 30])
 def test_every_word_of_a_long_value_counts(words):
     names = [" ".join(f"{'ABCDEFGHIJ'[i]}a{'abcdefghijklmnopqrstuvwxyzabcdefgh'[k]}" for k in range(words)) for i in range(8)]
-    arcs = [a | {"c": 0.0} for a in _arcs("f", ", ".join(names))]
-    assert [(i, j) for _, i, j in _viterbi(arcs, 1e5, {_bucket("f", names[0])[0]: 0.05})] == [(i, i) for i in range(8)]
+    arcs = {c: np.asarray(v) for c, v in _arcs("f", ", ".join(names)).items()}
+    assert [(i, j) for _, i, j in _viterbi(arcs, None, _Model(1e5, {_bucket("f", names[0])[0]: 0.05}))] == [(i, i) for i in range(8)]
+
+
+def test_a_value_of_nine_atoms_comes_out_whole(spark):
+    nine = "Ash, Birch, Cedar, Elm, Fir, Larch, Oak, Pine, and Yew Society"
+    rows = [f'"{nine}"; Sleep', f'Sleep; "{nine}"', f'"{nine}"; Memory'] * 3 + [f"Sleep, {nine}", "Sleep; Memory", "Memory; Sleep"]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, subjects string")
+    got = {(r["id"], r["pos"]): r["item"] for r in segment_values(df, "id", ["subjects"]).collect()}
+    assert got[(9, 1)] == "Sleep" and got[(9, 2)] == nine
 
 
 def test_segment_values_of_an_empty_table(spark):
