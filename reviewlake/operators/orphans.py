@@ -19,10 +19,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewlake.session import cut
+
 #: Identity kinds of a record, in order of precedence.
 IDENTITY_KINDS = ("doi", "source_id", "oa_url")
 
 PERIOD_FORMAT = "yyyy-MM"
+#: Sampled keys per range for the choice of the bounds.
+SAMPLES_PER_RANGE = 16
 
 
 def strip_blanks(value: Column) -> Column:
@@ -101,34 +105,31 @@ def find_orphans(references: DataFrame, candidates: DataFrame, withdrawn: DataFr
     parents = candidate_parents(candidates).join(withdrawn_keys(withdrawn).withColumn("gone", F.lit(True)), ["kind", "key"], "full").select(F.concat_ws("\u0001", "kind", "key").alias("key"), "first_day", F.coalesce("gone", F.lit(False)).alias("gone"))
     refs = references.filter("key is not null and key <> '' and kind is not null").select("ref_id", F.concat_ws("\u0001", "kind", "key").alias("key"), "ref_day")
 
-    # The number of ranges follows the number of parent keys.
-    parents = parents.persist()
-    try:
-        total = parents.count()
-        n = ranges or max(1, min(4096, -(-total // keys_per_range)))
-        bounds: list[str] = []
-        if n > 1:
-            # A bounded sample fixes where the ranges lie; any bounds give right results.
-            take = min(1.0, 64.0 * n / max(total, 1))
-            some = sorted(r[0] for r in parents.select("key").sample(take, seed=7).limit(128 * n).collect())
-            bounds = sorted({some[(i * len(some)) // n] for i in range(1, n)}) if some else []
-        place = _range_of(F.col("key"), bounds)
-        refs = refs.withColumn("r", place)
-        parents = parents.withColumn("r", place)
-        load = {row["r"]: row["n"] for row in refs.groupBy("r").agg(F.count(F.lit(1)).alias("n")).collect()}
-        slices = {r: -(-k // batch_rows) for r, k in load.items()}
-        width = F.lit(1)
-        hot = {r: s for r, s in slices.items() if s > 1}
-        if hot:
-            m = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])
-            width = F.coalesce(m[F.col("r")], F.lit(1))
-        refs = refs.withColumn("s", F.pmod(F.xxhash64("ref_id"), width).cast("int"))
-        parents_s = parents.withColumn("s", F.explode(F.sequence(F.lit(0), width.cast("int") - 1)))
-        kind = references.schema["ref_id"].dataType.simpleString()
-        return refs.groupBy("r", "s").cogroup(parents_s.groupBy("r", "s")).applyInPandas(_probe, f"ref_id {kind}, verdict string")
-    finally:
-        # The plan above reads the parents again when it runs; only the counts came from the cache.
-        parents.unpersist()
+    # Parents are computed once; the number of ranges follows the number of their keys, so no array grows with the data.
+    parents = cut(parents)
+    total = parents.count()
+    n = ranges or max(1, -(-total // keys_per_range))
+    bounds: list[str] = []
+    if n > 1:
+        # A few sampled keys per range fix where the ranges lie; any bounds give right results.
+        take = min(1.0, SAMPLES_PER_RANGE * n / max(total, 1))
+        some = sorted(r[0] for r in parents.select("key").sample(take, seed=7).limit(2 * SAMPLES_PER_RANGE * n).collect())
+        bounds = sorted({some[(i * len(some)) // n] for i in range(1, n)}) if some else []
+    place = _range_of(F.col("key"), bounds)
+    refs = refs.withColumn("r", place)
+    parents = parents.withColumn("r", place)
+    # One row per range: the list is as long as the parents are many keys divided by ``keys_per_range``.
+    load = {row["r"]: row["n"] for row in refs.groupBy("r").agg(F.count(F.lit(1)).alias("n")).collect()}
+    hot = {r: -(-k // batch_rows) for r, k in load.items() if k > batch_rows}
+    if hot:
+        sliced = F.broadcast(references.sparkSession.createDataFrame(sorted(hot.items()), "r int, width int"))
+        refs, parents = (side.join(sliced, "r", "left").withColumn("width", F.coalesce("width", F.lit(1))) for side in (refs, parents))
+    else:
+        refs, parents = (side.withColumn("width", F.lit(1)) for side in (refs, parents))
+    refs = refs.withColumn("s", F.pmod(F.xxhash64("ref_id"), F.col("width")).cast("int")).drop("width")
+    parents_s = parents.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("width") - 1))).drop("width")
+    kind = references.schema["ref_id"].dataType.simpleString()
+    return refs.groupBy("r", "s").cogroup(parents_s.groupBy("r", "s")).applyInPandas(_probe, f"ref_id {kind}, verdict string")
 
 
 def _range_of(key: Column, bounds: list[str]) -> Column:
