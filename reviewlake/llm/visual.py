@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.functions.lazy import arrow_udf
+from reviewlake.session import parallel
 
 # Letters of other scripts that look like a Latin letter, source then target.
 CYRILLIC_LOOKALIKES = (
@@ -30,6 +31,10 @@ GREEK_LOOKALIKES = "οo νv ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY
 # Greek letters in use as symbols, which count only inside an ordinary lower-case word.
 GREEK_SYMBOL_LOOKALIKES = "αa γy ιi κk ρp υu χx ωw τt ηn"
 OTHER_LOOKALIKES = "ɑa ɡg ɩi ʟL ʀR օo հh ոn սu ցg ℓl ꜱs ᴄc ᴏo ᴠv ᴡw ᴢz"
+# Letters of further scripts that look like a Latin letter: Cherokee, Lisu, Coptic, and a dotless one.
+CHEROKEE_LOOKALIKES = "ᎠD ᎡR ᎢT ᎪA ᎫJ ᎬE ᎳW ᎷM ᎻH ᎽY ᏀG ᏃZ ᏒR ᏔW ᏚS ᏙV ᏞL ᏟC ᏢP ᏦK ᏴB"
+LISU_LOOKALIKES = "ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU"
+COPTIC_LOOKALIKES = "ⲞO ⲟo ⲢP ⲣp ⲤC ⲥc ⲎH ⲒI ⲔK ⲘM ⲚN ⲦT ⲬX ȷj"
 # Cyrillic letters with no Latin look-alike in the list above; text that has them is really Cyrillic.
 TRUE_CYRILLIC = "бвгджзийлмнптфцчшщъыьэюяБГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯёЁїЇєЄ"
 # Invisible characters that are not of the format category.
@@ -41,19 +46,14 @@ STAND_IN_TAGS = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<initial>", "<med
 #: Blocks whose letters need zero-width joiners of their own.
 JOINING_SCRIPTS = ("ARABIC", "SYRIAC", "MONGOLIAN", "NKO", "MANDAIC", "DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM", "SINHALA", "KHMER", "MYANMAR", "TIBETAN")
 
-_SUSPECT = (
-    r"[\p{M}\p{Cf}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2011}\x{202f}\x{205f}\x{3000}\x{ff01}-\x{ffee}\x{fb00}-\x{fb06}"
-    r"\x{fb1d}-\x{fdfb}\x{fe70}-\x{fefc}\x{2150}-\x{2188}\x{2100}-\x{214f}\x{2e80}-\x{2fdf}\x{f900}-\x{faff}\x{250}-\x{2af}"
-    r"\x{17f}\x{132}\x{133}\x{13f}\x{140}\x{149}\x{1c4}-\x{1cc}\x{1f1}-\x{1f3}\x{1d00}-\x{1d7f}\x{a730}-\x{a7ff}\x{561}-\x{587}"
-    r"\x{1d400}-\x{1d7ff}\x{2f800}-\x{2fa1f}\x{b5}\x{1100}-\x{11ff}\x{34f}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180e}"
-    r"\x{2800}\x{3164}\x{ffa0}\x{fe00}-\x{fe0f}]"
-)
-
-
 def _pairs(text: str) -> dict[str, str]:
     return {p[0]: p[1] for p in text.split()}
 
 
+_CYR, _GRE, _SYM = map(_pairs, (CYRILLIC_LOOKALIKES, GREEK_LOOKALIKES, GREEK_SYMBOL_LOOKALIKES))
+_OTH = {k: v for group in (OTHER_LOOKALIKES, CHEROKEE_LOOKALIKES, LISU_LOOKALIKES, COPTIC_LOOKALIKES) for k, v in _pairs(group).items()}
+
+
 def _joins(ch: str) -> bool:
     name = unicodedata.name(ch, "")
     return name.startswith(JOINING_SCRIPTS)
@@ -66,7 +66,7 @@ def _cjk(ch: str) -> bool:
 def code_point_rows() -> list[tuple[str, str, str, int, bool]]:
     """The table of code points that are not in form: character, what it becomes, kind, combining class, whether it is a stand-in."""
     rows = []
-    look = {**_pairs(CYRILLIC_LOOKALIKES), **_pairs(GREEK_LOOKALIKES), **_pairs(GREEK_SYMBOL_LOOKALIKES), **_pairs(OTHER_LOOKALIKES)}
+    look = {**_CYR, **_GRE, **_SYM, **_OTH}
     for cp in range(0x80, sys.maxunicode + 1):
         ch = chr(cp)
         cat = unicodedata.category(ch)
@@ -96,6 +96,12 @@ def code_point_rows() -> list[tuple[str, str, str, int, bool]]:
     return rows
 
 
+@cache
+def suspects() -> str:
+    """Every character of the table for which a word must be examined by itself: all but Cyrillic and Greek letters, which count only among others."""
+    return "".join(r[0] for r in code_point_rows() if r[2] != "lookalike" or r[0] in _OTH)
+
+
 def code_point_table(spark: SparkSession) -> DataFrame:
     """The broadcast side of the code point join; bounded by the size of Unicode."""
     return spark.createDataFrame(code_point_rows(), "ch string, becomes string, kind string, ccc int, stand_in boolean")
@@ -112,7 +118,6 @@ def _script(ch: str) -> str:
     return "L" if name.startswith("LATIN") else "C" if name.startswith("CYRILLIC") else "G" if name.startswith("GREEK") else "O"
 
 
-_CYR, _GRE, _SYM, _OTH = map(_pairs, (CYRILLIC_LOOKALIKES, GREEK_LOOKALIKES, GREEK_SYMBOL_LOOKALIKES, OTHER_LOOKALIKES))
 _BACK = {v: k for k, v in reversed(list(_CYR.items())) if v.isalpha()}
 
 
@@ -258,7 +263,9 @@ def _examined(long: DataFrame, key: str) -> DataFrame:
     )
     word = F.col("word")
     mixed = _has(word, r"[\p{IsCyrillic}\p{IsGreek}]") & (_has(word, r"\p{IsLatin}") | (F.col("ml") & (~F.col("tc") | _has(word, r"[\p{IsGreek}]{2}"))))
-    words = texts.select(key, "field_name", "tc", "ml", F.posexplode(_words(F.col("text"))).alias("w", "word")).filter(_has(word, r"[^\x00-\x7f]") & (_has(word, _SUSPECT) | mixed))
+    words = texts.select(key, "field_name", "tc", "ml", F.posexplode(_words(F.col("text"))).alias("w", "word"))
+    # Taking out the characters of the table is a look-up per character; a word that becomes shorter holds one.
+    words = words.filter(_has(word, r"[^\x00-\x7f]") & ((F.translate(word, suspects(), "") != word) | mixed))
     points = words.select(key, "field_name", "tc", "ml", "w", F.posexplode(F.split("word", "")).alias("c", "ch"))
     known = points.join(F.broadcast(code_point_table(spark)), "ch", "left")
     whole = known.groupBy(key, "field_name").agg(
@@ -274,7 +281,7 @@ def find_disguised(table: DataFrame, key: str, fields: list[str]) -> DataFrame:
     digits, symbols, text in another script and joiners that a script needs are none either.
     ``key`` must be unique in ``table``.
     """
-    return _examined(long_fields(table, key, fields), key).filter("disguised").select(key, "field_name")
+    return _examined(long_fields(parallel(table.select(key, *fields), key), key, fields), key).filter("disguised").select(key, "field_name")
 
 
 def consistent_form(table: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -283,7 +290,7 @@ def consistent_form(table: DataFrame, key: str, fields: list[str]) -> DataFrame:
     A null field stays null and an empty one empty, neither is disguised. White space keeps its
     place; only characters that look like an ordinary space become one.
     """
-    long = long_fields(table, key, fields)
+    long = long_fields(parallel(table.select(key, *fields), key), key, fields)
     done = _examined(long, key).withColumn("fixed", F.map_from_entries("words"))
     both = long.join(done, [key, "field_name"], "left")
     rebuilt = F.array_join(F.transform(_words(F.col("text")), lambda w, i: F.coalesce(F.element_at("fixed", i), w)), "")
