@@ -1,20 +1,20 @@
 """Best representative of each duplicate group, field by field.
 
 For each field a value is usable or not, and usable values are ranked by how full they
-are and how current. Currency comes from the timestamps. Where a row has none it is
-reasoned: every value has a class (a preprint identifier, a journal identifier, a
-placeholder, ...); within the groups of the timestamped rows it is counted how often
-one class precedes another; the class order that those votes give puts an undated row
-behind the dated rows of its group whose class precedes or equals its own.
+are and how current. Currency is a partial order over the values of a group: dates order what is
+dated; for the rest it is learned from the timestamped rows of all groups which kind of value
+follows which (a preprint series is followed by a journal series, one host by another). The
+topologically latest value is the current one.
 """
 
 from __future__ import annotations
 
-from graphlib import CycleError, TopologicalSorter
-
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reviewlake.session import cut
+
 # What stands in an abstract field instead of an abstract, and page furniture around it.
 NOTICES = (
     r"no abstract( is)?( available)?|abstract (is )?(not|un)\s?available|\[?no abstract\]?|see (the )?full[ -]?text|r[ée]sum[ée] (non disponible|indisponible)|"
@@ -71,60 +71,26 @@ def usable_doi(doi: Column) -> Column:
     return F.when(text.rlike(r"(?i)^((https?://)?[\w.-]*\bdoi\b[\w.-]*/+|doi:?\s*)?10\.\d{4,9}(\.\d+)*/[^\s]*[\p{L}\p{N}][^\s]*$"), text)
 
 
-def _value_class(field: str, row: dict[str, Column]) -> Column:
-    """The class of a value, among a fixed few, for currency reasoning."""
+def value_kind(field: str, row: dict[str, Column]) -> Column:
+    """The kind of a value, between which transitions are learned: registrant and series of a DOI, host of an address, the year itself, whether a text is cut."""
     if field == "doi":
-        return F.when(row["doi_ok"].isNull(), "placeholder").when(row["doi_ok"].rlike(r"(?i)10\.\d{4,9}/(px|preprint|arxiv|ssrn|rs)\b"), "preprint").otherwise("journal")
+        return F.lower(F.regexp_extract(row["doi_ok"], r"(?i)10\.\d{4,9}(?:\.\d+)*/[a-z]*", 0))
     if field == "oa_url":
-        return F.when(row["oa_ok"].isNull(), "placeholder").when(row["oa_ok"].rlike(r"(?i)archive|preprint|repo"), "repository").otherwise("publisher")
+        return F.lower(F.regexp_extract(row["oa_ok"], r"^(?i:https?)://(?:www\.)?([^/:]+)", 1))
     if field == "year":
-        return F.when(row["year_ok"].isNull(), "placeholder").otherwise("year")
-    return F.when(row["full"].isNull(), "placeholder").when(row["cut"], "cut").otherwise("whole")
+        return row["year_ok"].cast("string")
+    return F.when(row["cut"], "cut").otherwise("whole")
 
 
-def class_order(votes: list[tuple[str, str, int]]) -> dict[str, int]:
-    """Ranks of classes such that one that mostly precedes another ranks lower. ``votes``: earlier class, later class, number of groups.
-
-    Majorities that form a circle are undone from the weakest on.
-    """
-    net: dict[tuple[str, str], int] = {}
-    for a, b, n in votes:
-        if a != b:
-            key = (a, b) if a < b else (b, a)
-            net[key] = net.get(key, 0) + (n if a < b else -n)
-    edges = sorted(((abs(n), *(k if n > 0 else k[::-1])) for k, n in net.items() if n), reverse=True)
-    classes = sorted({c for a, b, _ in votes for c in (a, b)})
-    while True:
-        graph: dict[str, set[str]] = {c: set() for c in classes}
-        for _, a, b in edges:
-            graph[b].add(a)
-        try:
-            order = list(TopologicalSorter(graph).static_order())
-            break
-        except CycleError:
-            edges.pop()
-    rank: dict[str, int] = {}
-    for c in order:
-        rank[c] = max((rank[p] + 1 for p in graph[c]), default=0)
-    return rank
-
-
-def best_values(members: DataFrame, rows: DataFrame, group: str = "group_id", key: str = "row_id") -> DataFrame:
-    """``group, field_name, key, value``: for each group and field the row that holds the best value.
-
-    The best abstract is the fullest genuine one; of equally full ones, and of usable values
-    of the other fields, that of the latest ``date`` is best. Remaining ties go to the
-    later ``loaded_at``, then the smaller key. A row without a readable date is placed by currency
-    reasoning over value classes. Groups without a usable value of a field give no row for
-    it; repeated memberships count once; members without a row, and null groups, are left out.
-    """
+def usable_values(members: DataFrame, rows: DataFrame, group: str, key: str) -> DataFrame:
+    """``group, key, day, loaded, field_name, value, size, kind``: the usable values of the members of groups."""
     day = F.to_date(F.substring(_trim(F.col("date")), 1, 10))
-    got = members.select(group, key).filter(F.col(group).isNotNull()).distinct().join(rows.select(key, "title", *FIELDS, day.alias("day"), "loaded_at"), key)
+    got = members.select(group, key).filter(F.col(group).isNotNull()).distinct().join(rows.select(key, "title", *FIELDS, day.alias("day"), F.col("loaded_at").alias("loaded")), key)
     seen = got.select(
         group,
         key,
         "day",
-        "loaded_at",
+        "loaded",
         abstract_fullness(F.col("abstract"), F.col("title")).alias("full"),
         F.coalesce(F.col("abstract").rlike(f"(?i){CUT_MARKS}"), F.lit(False)).alias("cut"),
         usable_url(F.col("oa_url")).alias("oa_ok"),
@@ -133,49 +99,62 @@ def best_values(members: DataFrame, rows: DataFrame, group: str = "group_id", ke
         "abstract",
     )
     row = {c: F.col(c) for c in seen.columns}
-    one = seen.select(
-        group,
-        key,
-        "day",
-        "loaded_at",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(f).alias("field_name"), v.cast("string").alias("value"), F.coalesce(size, F.lit(0)).alias("size"), _value_class(f, row).alias("cls"))
-                    for f, v, size in (
-                        ("abstract", F.when(row["full"].isNotNull(), row["abstract"]), row["full"]),
-                        ("oa_url", row["oa_ok"], F.lit(0)),
-                        ("year", row["year_ok"], F.lit(0)),
-                        ("doi", row["doi_ok"], F.lit(0)),
-                    )
-                ]
-            )
-        ).alias("v"),
-    ).select(group, key, "day", "loaded_at", "v.*")
-
-    dated = one.filter(F.col("day").isNotNull())
-    undated = one.filter(F.col("day").isNull() & F.col("value").isNotNull())
-    placed = dated.filter(F.col("value").isNotNull()).select(group, key, "field_name", "value", "size", "loaded_at", "day", F.lit(0).alias("after"))
-    # Only where rows lack a date is there anything to reason about.
-    if not undated.isEmpty():
-        per_class = dated.groupBy(group, "field_name", "cls").agg(F.avg(F.unix_date("day")).alias("mean_day"), F.max("day").alias("last_day"))
-        # At most a handful of classes per group and field, so these lists are bounded whatever the size of the group.
-        lists = per_class.groupBy(group, "field_name").agg(F.collect_list(F.struct("cls", "mean_day", "last_day")).alias("cs"))
-        pairs = lists.select("field_name", F.explode("cs").alias("a"), "cs").select("field_name", "a", F.explode("cs").alias("b")).filter("a.mean_day < b.mean_day")
-        votes: dict[str, list[tuple[str, str, int]]] = {}
-        for r in pairs.groupBy("field_name", F.col("a.cls").alias("x"), F.col("b.cls").alias("y")).count().collect():
-            votes.setdefault(r["field_name"], []).append((r["x"], r["y"], r["count"]))
-        ranks = [(f, c, k) for f, v in votes.items() for c, k in class_order(v).items()]
-        order = members.sparkSession.createDataFrame(ranks or [("", "", 0)], "field_name string, cls string, rank int")
-        known = lists.select(group, "field_name", F.explode("cs").alias("c")).select(group, "field_name", "c.cls", "c.last_day").join(F.broadcast(order), ["field_name", "cls"])
-        mine = undated.join(F.broadcast(order), ["field_name", "cls"], "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
-        back = mine.alias("u").join(known.alias("k"), (F.col(f"u.{group}") == F.col(f"k.{group}")) & (F.col("u.field_name") == F.col("k.field_name")) & (F.col("k.rank") <= F.col("u.rank")), "left")
-        inferred = back.groupBy(F.col(f"u.{group}").alias(group), F.col(f"u.{key}").alias(key), F.col("u.field_name").alias("field_name")).agg(
-            F.first("u.value").alias("value"), F.first("u.size").alias("size"), F.first("u.loaded_at").alias("loaded_at"), F.max("k.last_day").alias("day")
-        )
-        placed = placed.unionByName(inferred.withColumn("day", F.coalesce("day", F.to_date(F.lit("0001-01-01")))).withColumn("after", F.lit(1)))
-    order_key = F.struct("size", "day", "after", F.coalesce("loaded_at", F.to_timestamp(F.lit("0001-01-01 00:00:00"))), -F.col(key))
-    return placed.groupBy(group, "field_name").agg(F.max_by(F.struct(F.col(key).alias(key), "value"), order_key).alias("best")).select(group, "field_name", f"best.{key}", "best.value")
+    values = (("abstract", F.when(row["full"].isNotNull(), row["abstract"]), row["full"]), ("oa_url", row["oa_ok"], F.lit(0)), ("year", row["year_ok"], F.lit(0)), ("doi", row["doi_ok"], F.lit(0)))
+    each = [F.struct(F.lit(f).alias("field_name"), v.cast("string").alias("value"), F.coalesce(size, F.lit(0)).alias("size"), value_kind(f, row).alias("kind")) for f, v, size in values]
+    return seen.select(group, key, "day", "loaded", F.explode(F.array(*each)).alias("v")).select(group, key, "day", "loaded", "v.*").filter("value is not null")
+
+
+def learn_precedence(nodes: DataFrame, group: str) -> DataFrame:
+    """``field_name, earlier, later, support``: which kind of value comes before which, from the timestamped rows.
+
+    ``nodes`` has one row per group, field and kind with ``last_day``. A transition is a kind followed in time by the next one
+    of the same group. Of two kinds the more frequent direction holds, if it also leads from a kind that is
+    rather left to a kind that is rather reached, so there are no circles. The table stays distributed.
+    """
+    order = W.partitionBy(group, "field_name").orderBy("last_day", "kind")
+    steps = nodes.filter("last_day is not null").select("field_name", "kind", "last_day", F.lag("kind").over(order).alias("before"), F.lag("last_day").over(order).alias("day_before"))
+    counts = steps.filter("day_before < last_day").groupBy("field_name", F.col("before").alias("earlier"), F.col("kind").alias("later")).agg(F.count(F.lit(1)).alias("n"))
+    ends = counts.select("field_name", F.col("earlier").alias("kind"), F.col("n").alias("left_n"), F.lit(0).cast("long").alias("reached_n")).unionByName(
+        counts.select("field_name", F.col("later").alias("kind"), F.lit(0).cast("long").alias("left_n"), F.col("n").alias("reached_n"))
+    )
+    place = ends.groupBy("field_name", "kind").agg((F.sum("reached_n") / F.sum(F.col("left_n") + F.col("reached_n"))).alias("place"))
+    back = counts.select("field_name", F.col("later").alias("earlier"), F.col("earlier").alias("later"), F.col("n").alias("m"))
+    net = counts.join(back, ["field_name", "earlier", "later"], "left").filter(F.col("n") > F.coalesce("m", F.lit(0)))
+    low, high = (place.select("field_name", F.col("kind").alias(c), F.col("place").alias(f"{c}_place")) for c in ("earlier", "later"))
+    return net.join(low, ["field_name", "earlier"]).join(high, ["field_name", "later"]).filter("earlier_place < later_place").select("field_name", "earlier", "later", F.col("n").alias("support"))
+
+
+def best_values(members: DataFrame, rows: DataFrame, group: str = "group_id", key: str = "row_id") -> DataFrame:
+    """``group, field_name, key, value``: for each group and field the row that holds the best value.
+
+    Only the fullest usable values stay (of fields other than the abstract all are equally full). Their kinds are the nodes of a partial order: a kind
+    precedes another if the dates of their rows say so, and where a date is missing or two rows are of one day and loading time, if the precedence learned from
+    all groups does (:func:`learn_precedence`). The topologically latest node gives the value; of several
+    latest ones a dated one, then the one with the later ``loaded_at``, then the one with the smaller key. Inside a node the row with the latest date, then ``loaded_at``, then the smallest key.
+    Groups without a usable value of a field give no row for
+    it; repeated memberships count once; members without a row, and null groups, are left out.
+    """
+    values = usable_values(members, rows, group, key)
+    never = F.to_timestamp(F.lit("0001-01-01 00:00:00"))
+    # One row per group, field and kind, combined before the shuffle, so a group that holds a third of all rows is small here.
+    rank = F.struct("size", F.coalesce(F.unix_date("day"), F.lit(-(10**6))), F.coalesce("loaded", never), -F.col(key))
+    nodes = values.groupBy(group, "field_name", "kind").agg(F.max("size").alias("size"), F.max(F.struct(rank.alias("rank"), "day", F.coalesce("loaded", never).alias("loaded"), F.col(key).alias(key), "value")).alias("top"), F.max("day").alias("last_day"))
+    nodes = cut(nodes.select(group, "field_name", "kind", "size", "last_day", F.col("top.day").alias("day"), F.col("top.loaded").alias("loaded"), F.col(f"top.{key}").alias(key), F.col("top.value").alias("value")))
+    known = learn_precedence(nodes, group)
+    peers = W.partitionBy(group, "field_name")
+    full = nodes.withColumn("most", F.max("size").over(peers)).filter("size = most").drop("most", "last_day")
+    latest = F.max(F.when(F.col("day").isNotNull(), F.struct("day", "loaded"))).over(peers)
+    # Dates order the dated nodes; only the latest of them, and the undated ones, may be the end of the order.
+    placed = full.withColumn("latest", latest).withColumn("open", F.col("day").isNull() | (F.struct("day", "loaded") == F.col("latest")))
+    front = placed.filter("open").withColumn("n", F.count(F.lit(1)).over(peers))
+    several = front.filter("n > 1")
+    # A node of the front is not the latest if its kind is known to precede that of another node of the front, or, being undated, of any node.
+    followers = several.alias("a").join(known.alias("k"), (F.col("a.field_name") == F.col("k.field_name")) & (F.col("a.kind") == F.col("k.earlier"))).select(F.col(f"a.{group}").alias(group), "a.field_name", "a.kind", F.col("a.day").isNull().alias("undated"), F.col("k.later").alias("later"))
+    beaten = followers.join(placed.select(group, "field_name", F.col("kind").alias("later"), "open"), [group, "field_name", "later"]).filter("open or undated").select(group, "field_name", "kind").distinct()
+    last = several.join(beaten, [group, "field_name", "kind"], "left_anti")
+    out = front.filter("n = 1").drop("n").unionByName(last.drop("n"))
+    choice = F.struct(F.col("day").isNotNull(), "loaded", -F.col(key))
+    return out.groupBy(group, "field_name").agg(F.max_by(F.struct(F.col(key).alias(key), "value"), choice).alias("best")).select(group, "field_name", f"best.{key}", "best.value")
 
 
 def surviving_records(members: DataFrame, rows: DataFrame, group: str = "group_id", key: str = "row_id") -> DataFrame:
