@@ -1,10 +1,9 @@
 """Splitting oversized items at natural boundaries, with overlap.
 
 The boundaries of a text form a hierarchy: section, paragraph, sentence, word,
-character. Pieces are packed greedily: a piece ends at the last boundary of the
-coarsest level that still leaves it at least half full; if no level has one there,
-at the last boundary of any level before the limit. The next piece starts exactly the
-overlap before that end, so consecutive pieces share that many characters.
+character. A text is split at its sections, a section that is too long at its paragraphs, and so on down.
+The parts are packed greedily: a piece takes whole parts as long as they fit. The next piece starts exactly the
+overlap before its end, so consecutive pieces share that many characters.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions.lazy import arrow_udf
+from reviewlake.session import parallel
 
 LEVELS = ("section", "paragraph", "sentence", "word", "character")
 # Abbreviations after which a full stop does not end a sentence.
@@ -56,31 +56,52 @@ def _whole_character(text: str, at: int, low: int) -> int:
     return to if to > low else at
 
 
+def _atoms(text: str, room: int, found: dict[str, list[int]]) -> list[tuple[int, str]]:
+    """The ends of parts of at most ``room`` characters, each with the level of the separator behind it.
+
+    A part that is too long is split at all separators of the coarsest level that it has inside; what is still too long goes down a
+    level, at last to characters.
+    """
+    out: list[tuple[int, str]] = []
+    todo = [(0, len(text), 0, "end")]
+    while todo:
+        low, high, depth, behind = todo.pop()
+        if high - low <= room:
+            out.append((high, behind))
+            continue
+        name = LEVELS[depth]
+        if name == "character":
+            at = low
+            while high - at > room:
+                at = _whole_character(text, at + room, at)
+                out.append((at, name))
+            out.append((high, behind))
+            continue
+        marks = found[name]
+        inside = marks[bisect.bisect_right(marks, low) : bisect.bisect_left(marks, high)]
+        edges = [low, *inside, high]
+        # Parts are worked on from the first to the last.
+        todo += [(a, b, depth + 1, behind if b == high else name) for a, b in reversed(list(zip(edges, edges[1:])))]
+    return out
+
+
 def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
-    """The pieces of ``text`` as (start, end, level of the cut at the end); one piece with level ``end`` if it fits."""
+    """The pieces of ``text`` as (start, end, level of the cut at the end); one piece with level ``end`` if it fits.
+
+    Parts from the recursion over the separators are packed greedily: a piece takes parts up to the limit, and the next piece
+    starts the overlap before its end.
+    """
     n = len(text)
     if n <= limit:
         return [(0, n, "end")]
     overlap = max(0, min(overlap, limit - 1))
-    found = boundaries(text)
-    pieces, start = [], 0
-    while n - start > limit:
-        top, low = start + limit, start + overlap
-        end, level = 0, ""
-        for least in (start + max(overlap, limit // 2), low):
-            for name in LEVELS[:-1]:
-                marks = found[name]
-                k = bisect.bisect_right(marks, top) - 1
-                if k >= 0 and marks[k] > least:
-                    end, level = marks[k], name
-                    break
-            if end:
-                break
-        if not end:
-            end, level = _whole_character(text, top, low), "character"
-        pieces.append((start, end, level))
-        start = end - overlap
-    pieces.append((start, n, "end"))
+    pieces, start, last = [], 0, (0, "end")
+    for end, level in _atoms(text, limit - overlap, boundaries(text)):
+        if end - start > limit:
+            pieces.append((start, *last))
+            start = last[0] - overlap
+        last = (end, level)
+    pieces.append((start, *last))
     return pieces
 
 
@@ -105,5 +126,5 @@ def pieces_of_oversized(items: DataFrame, limits: DataFrame, key: str = "text_id
     ``max_size`` long, and a piece starts exactly the overlap before its forerunner ends.
     """
     usable = limits.filter((F.col("unit") == "characters") & (F.col("max_size") >= 1)).groupBy("limit_name").agg(F.min("max_size").alias("max_size"), F.max(F.coalesce("overlap_size", F.lit(0))).alias("overlap_size"))
-    long = items.select(key, "limit_name", F.col(text).alias("_text")).join(F.broadcast(usable), "limit_name").filter(F.length("_text") > F.col("max_size"))
+    long = parallel(items.select(key, "limit_name", F.col(text).alias("_text")), key).join(F.broadcast(usable), "limit_name").filter(F.length("_text") > F.col("max_size"))
     return long.select(key, "limit_name", F.explode(_pieces_udf("_text", "max_size", "overlap_size")).alias("p")).select(key, "limit_name", "p.*")
