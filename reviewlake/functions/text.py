@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reviewlake.functions import udfs as U
+
 # Sentinels of cells without an exploitable value.
 NOT_FOUND, API_ERROR, REJECTED = "NON TROUVÉ", "ERREUR API", "CITATION REJETÉE"
 SENTINELS = (NOT_FOUND, API_ERROR, REJECTED)
@@ -25,22 +29,34 @@ def nonblank(value: Column | str) -> Column:
     return F.nullif(strip(value), F.lit(""))
 
 
+def _either(value: Column | str, plain: Callable[[Column], Column], exact: Callable[..., Column]) -> Column:
+    """``plain`` in the JVM for ASCII text, ``exact`` in an Arrow UDF for other text. ASCII texts travel to it as nulls; a null is the empty string."""
+    v = F.coalesce(c(value), F.lit(""))
+    odd = v.rlike(r"[^\x00-\x7f]")
+    return F.when(odd, exact(F.when(odd, v))).otherwise(plain(v))
+
+
+#: White space of ASCII text.
+SPACE = r"[\s\x1c-\x1f]"
+
+
+def _collapsed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+
+
 def normalize_title(title: Column | str) -> Column:
-    """Small letters, every run of other characters than letters and digits as one space. Null is the empty string."""
-    lowered = F.replace(F.lower(F.coalesce(c(title), F.lit(""))), F.lit("ß"), F.lit("ss"))
-    return F.trim(F.regexp_replace(lowered, r"[^\p{L}\p{N}]+", " "))
+    """NFKC, case-folded, every run of other characters than letters and digits as one space. Null is the empty string."""
+    return _either(title, lambda v: F.trim(F.regexp_replace(F.lower(v), r"[^a-z0-9]+", " ")), U.normalize_title_exact)
 
 
 def normalize_identity_title(title: Column | str) -> Column:
     """Like :func:`normalize_title`, but the underscore counts as a letter."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(c(title), F.lit(""))), r"[^\p{L}\p{N}_]+", " "))
+    return _either(title, lambda v: F.trim(F.regexp_replace(F.lower(v), r"[^a-z0-9_]+", " ")), U.identity_title_exact)
 
 
 def normalize_evidence(text: Column | str) -> Column:
-    """Without soft hyphens, words joined over line ends, white space collapsed; case and punctuation stay."""
-    bare = F.replace(F.coalesce(c(text), F.lit("")), F.lit(chr(0xAD)), F.lit(""))
-    joined = F.regexp_replace(bare, r"([\p{L}\p{N}])-[ \t]*\r?\n[ \t]*([\p{L}\p{N}])", "$1$2")
-    return F.trim(F.regexp_replace(joined, r"\s+", " "))
+    """NFKC, without soft hyphens, words joined over line ends, white space collapsed; case and punctuation stay."""
+    return _either(text, lambda v: _collapsed(F.regexp_replace(v, r"(?<=\w)-[ \t]*\r?\n[ \t]*(?=\w)", "")), U.evidence_exact)
 
 
 def citation_is_verifiable(citation: Column | str, text: Column | str) -> Column:
@@ -50,16 +66,13 @@ def citation_is_verifiable(citation: Column | str, text: Column | str) -> Column
 
 
 def normalize_span(text: Column | str) -> Column:
-    """Small letters, straight quotes, escapes of markup undone, ``~`` as a space, white space collapsed."""
-    out = F.lower(F.coalesce(c(text), F.lit("")))
-    out = F.translate(out, "‘’‚‛“”„‟", "''''\"\"\"\"")
-    out = F.regexp_replace(out, r"\\([%&_#])", "$1")
-    return F.trim(F.regexp_replace(F.replace(out, F.lit("~"), F.lit(" ")), r"\s+", " "))
+    """NFKC, case-folded, straight quotes, escapes of markup undone, ``~`` as a space, white space collapsed."""
+    return _either(text, lambda v: _collapsed(F.replace(F.regexp_replace(F.lower(v), r"\\([%&_#])", "$1"), F.lit("~"), F.lit(" "))), U.span_exact)
 
 
 def collapse_space(text: Column | str) -> Column:
-    """White space collapsed, nothing else."""
-    return F.trim(F.regexp_replace(F.coalesce(c(text), F.lit("")), r"\s+", " "))
+    """NFKC, white space collapsed, nothing else."""
+    return _either(text, _collapsed, U.spaced_exact)
 
 
 def sanitize_delimiters(text: Column | str) -> Column:

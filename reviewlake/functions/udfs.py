@@ -22,8 +22,8 @@ def normalize_title_text(title: str | None) -> str:
 
 @arrow_udf("string")
 def normalize_title_exact(title: pd.Series) -> pd.Series:
-    """The full-fidelity form of a title for text that is not in NFKC form."""
-    return title.map(normalize_title_text)
+    """The form of titles that are not ASCII; null stays null."""
+    return pd.Series([None if t is None else normalize_title_text(t) for t in title], dtype=object)
 
 
 def ratio(a: str, b: str) -> float:
@@ -37,10 +37,53 @@ def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b)])
 
 
+def _each(fn):
+    """An Arrow UDF of a function on one text; null stays null."""
+
+    @arrow_udf("string")
+    def run(text: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else fn(t) for t in text], dtype=object)
+
+    return run
+
+
+def identity_title_text(title: str) -> str:
+    """NFKC, case-folded, other characters than letters, digits and the underscore as single spaces."""
+    return re.sub(r"[^\w]+", " ", unicodedata.normalize("NFKC", title).casefold()).strip()
+
+
+def evidence_text(text: str) -> str:
+    """NFKC, soft hyphens dropped, words joined over line ends, white space collapsed."""
+    bare = unicodedata.normalize("NFKC", text).replace(chr(0xAD), "")
+    return " ".join(re.sub(r"(?<=\w)-[ \t]*\r?\n[ \t]*(?=\w)", "", bare).split())
+
+
+def spaced_text(text: str) -> str:
+    """NFKC, white space collapsed."""
+    return " ".join(unicodedata.normalize("NFKC", text).split())
+
+
+#: Curly quotes and what they become.
+STRAIGHT_QUOTES = str.maketrans({0x2019: "'", 0x2018: "'", 0x201C: '"', 0x201D: '"'})
+
+
+def span_text(text: str) -> str:
+    """The form in which quotes are looked for in the sources of a case."""
+    folded = unicodedata.normalize("NFKC", text).casefold().translate(STRAIGHT_QUOTES)
+    return " ".join(re.sub(r"\\([%&_#])", r"\1", folded).replace("~", " ").split())
+
+
+identity_title_exact, evidence_exact, spaced_exact, span_exact = map(_each, (identity_title_text, evidence_text, spaced_text, span_text))
+
+
 @arrow_udf("string")
-def nfkc(text: pd.Series) -> pd.Series:
-    """The NFKC form; null stays null."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def first_verifiable(candidates: pd.Series, body: pd.Series) -> pd.Series:
+    """The first of at most three citations that stands in the text; null if none does."""
+    out = []
+    for quotes, text in zip(candidates, body):
+        normal = evidence_text(text or "")
+        out.append(next((q for q in (list(quotes)[:3] if quotes is not None else ()) if q and (e := evidence_text(q)) and e in normal), None))
+    return pd.Series(out, dtype=object)
 
 
 def flatten_value(value: object) -> str:

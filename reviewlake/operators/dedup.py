@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from reviewlake.functions.text import nonblank, normalize_title, parse_year
 from reviewlake.functions.udfs import ratio
 from reviewlake.operators.identity import connected_components, identity_values
-from reviewlake.session import cut
+from reviewlake.operators.skew import join_hot
+from reviewlake.session import cut, parallel
 
 THRESHOLD = 0.90
-TILE = 1500
+TILE = 500
 #: Titles are laid out in cells of so many years and characters.
 YEARS, BAND = 4, 16
 
@@ -29,49 +30,44 @@ def merge_groups(rows: DataFrame, groups: DataFrame, key: str = "row_id", group:
     return joined.groupBy(group).agg(F.max_by(F.col(key), F.struct("q", -F.col(key))).alias("best"), F.min(key).alias("first"), F.count(F.lit(1)).alias("members"))
 
 
-def _first_fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """First-fit groups over the distinct years of one title, in the order of their first row.
+def _first_fit(years: Column) -> Column:
+    """``y, component`` of the distinct years of one title, an array of (first row, year) in the order of the rows.
 
-    A year keeps its group: ranges only grow, so a group that was closed to a year stays closed, and the year is in
-    the one it joined. A missing year fits everywhere, so it goes to the first group.
+    A year joins the first group to all of whose years it is equal or adjacent; an unknown year fits everywhere. Ranges only grow, so a
+    group that was closed to a year stays closed to it. The component is the first row of the group.
     """
-    lows, highs, out = [], [], []
-    for _, r in pdf.sort_values("first").iterrows():
-        y = r["y"]
-        known = not pd.isna(y)
-        for g in range(len(lows)):
-            if not known or lows[g] is None or (highs[g] - y <= 1 and y - lows[g] <= 1):
-                break
-        else:
-            g = len(lows)
-            lows.append(None)
-            highs.append(None)
-        if known:
-            lows[g] = y if lows[g] is None else min(lows[g], y)
-            highs[g] = y if highs[g] is None else max(highs[g], y)
-        out.append(g)
-    done = pdf.sort_values("first").copy()
-    done["g"] = out
-    return done[["title_key", "y", "g"]]
+    state = "struct<lows:array<int>,highs:array<int>,firsts:array<bigint>,out:array<struct<y:int,component:bigint>>>"
+    start = F.from_json(F.lit('{"lows":[],"highs":[],"firsts":[],"out":[]}'), state)
+
+    def step(acc: Column, x: Column) -> Column:
+        y, first = x["y"], x["first"]
+        fits = F.zip_with(acc["lows"], acc["highs"], lambda lo, hi: F.coalesce(y.isNull() | lo.isNull() | ((hi - y <= 1) & (y - lo <= 1)), F.lit(False)))
+        at = F.array_position(fits, True).cast("int")
+        new = at == 0
+        lows = F.when(new, F.concat(acc["lows"], F.array(y))).otherwise(F.transform(acc["lows"], lambda v, i: F.when(i + 1 == at, F.least(v, y)).otherwise(v)))
+        highs = F.when(new, F.concat(acc["highs"], F.array(y))).otherwise(F.transform(acc["highs"], lambda v, i: F.when(i + 1 == at, F.greatest(v, y)).otherwise(v)))
+        own = F.when(new, first).otherwise(F.try_element_at(acc["firsts"], F.greatest(at, F.lit(1))))
+        firsts = F.when(new, F.concat(acc["firsts"], F.array(first))).otherwise(acc["firsts"])
+        return F.struct(lows.alias("lows"), highs.alias("highs"), firsts.alias("firsts"), F.concat(acc["out"], F.array(F.struct(y.alias("y"), own.alias("component")))).alias("out")).cast(state)
+
+    return F.aggregate(years, start, step)["out"]
 
 
 def title_groups(rows: DataFrame, key: str = "row_id") -> DataFrame:
     """``key, component``: rows of the same normalised title whose years fit together (equal, adjacent or unknown), first fit in row order.
 
     Rows are collapsed to the years of each title first, at most 201 of them, so a title that a third of all rows bears is
-    no large group. Blank titles are not grouped.
+    no large group; the years are folded inside one expression, and hot titles are spread over slices on the way back. Blank titles are not grouped.
     """
-    keyed = rows.select(key, normalize_title("title").alias("title_key"), parse_year("year").alias("y")).filter("title_key <> ''")
-    years = keyed.groupBy("title_key", "y").agg(F.min(key).alias("first"))
-    placed = years.groupBy("title_key").applyInPandas(_first_fit, "title_key string, y int, g int")
-    firsts = years.join(placed, (years["title_key"] == placed["title_key"]) & years["y"].eqNullSafe(placed["y"])).select(years["title_key"], years["y"], "g", "first")
-    named = firsts.groupBy("title_key", "g").agg(F.min("first").alias("component"), F.collect_list(F.struct("y")).alias("ys")).select("title_key", "component", F.explode("ys").alias("s")).select("title_key", "component", F.col("s.y").alias("y"))
-    # A null year is a value of its own; the salt spreads a title that many rows bear.
-    slices = 16
-    left = keyed.withColumn("s", F.pmod(F.xxhash64(key), F.lit(slices)))
-    right = named.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumn("s", F.col("s").cast("long"))
-    met = left.alias("l").join(right.alias("r"), (F.col("l.title_key") == F.col("r.title_key")) & F.col("l.y").eqNullSafe(F.col("r.y")) & (F.col("l.s") == F.col("r.s")))
-    return met.select(F.col(f"l.{key}").alias(key), "r.component")
+    keyed = cut(parallel(rows.select(key, "title", "year"), key).select(key, normalize_title("title").alias("title_key"), parse_year("year").alias("y")).filter("title_key <> ''"))
+    years = keyed.groupBy("title_key", "y").agg(F.min(key).cast("long").alias("first"), F.count(F.lit(1)).alias("n"))
+    titles = years.groupBy("title_key").agg(F.array_sort(F.collect_list(F.struct("first", "y"))).alias("ys"), F.sum("n").alias("n"))
+    # A title with one year is one group, in whatever order.
+    one = titles.filter(F.size("ys") == 1).select("title_key", F.array(F.struct(F.col("ys")[0]["y"].alias("y"), F.col("ys")[0]["first"].alias("component"))).alias("out"), "n")
+    several = titles.filter(F.size("ys") > 1).select("title_key", _first_fit(F.col("ys")).alias("out"), "n")
+    placed = one.unionByName(several).select("title_key", "n", F.explode("out").alias("g")).select("title_key", F.coalesce("g.y", F.lit(0)).alias("y0"), "g.component", "n")
+    met = join_hot(keyed.withColumn("y0", F.coalesce("y", F.lit(0))), placed, ["title_key", "y0"], "n", key, float(keyed.count()))
+    return met.select(key, F.col("component").cast(rows.schema[key].dataType).alias("component"))
 
 
 def _histograms(titles: list[str]) -> np.ndarray:
@@ -83,78 +79,76 @@ def _histograms(titles: list[str]) -> np.ndarray:
     return out
 
 
-def _similar_in_tile(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """The similar pairs of two tiles: length bound, then character bound, then the exact ratio (later row first)."""
+def common_subsequence(a: str, b: str) -> int:
+    """The length of the longest common subsequence, by bits of one long number per character of ``b``."""
+    places: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        places[ch] = places.get(ch, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    row = full
+    for ch in b:
+        hit = row & places.get(ch, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
+def _similar(left: list[dict], right: list[dict], same: bool, threshold: float) -> list[dict]:
+    """The similar pairs of two tiles: length bound, character bound, subsequence bound, then the exact ratio (later row first). All bounds are lossless."""
     rows = []
-    lt, rt = left["t"].tolist(), right["t"].tolist()
+    lt, rt = [x["t"] for x in left], [x["t"] for x in right]
     ll, rl = np.array([len(t) for t in lt]), np.array([len(t) for t in rt])
     lh, rh = _histograms(lt), _histograms(rt)
-    lk, rk = left["k"].to_numpy(), right["k"].to_numpy()
-    ly, ry = left["y"].to_numpy(float), right["y"].to_numpy(float)
+    ly, ry = (np.array([np.nan if x["y"] is None else x["y"] for x in side], float) for side in (left, right))
+    number = np.arange(len(rt))
     for i in range(len(lt)):
         total = ll[i] + rl
-        ok = (2 * np.minimum(ll[i], rl) >= threshold * total) & (lk[i] < rk)
+        ok = 2 * np.minimum(ll[i], rl) >= threshold * total
         ok &= np.isnan(ly[i]) | np.isnan(ry) | (np.abs(ly[i] - ry) <= 1)
+        if same:
+            ok &= number > i
         at = np.nonzero(ok)[0]
         if not len(at):
             continue
         common = np.minimum(lh[i], rh[at]).sum(axis=1)
         for j in at[2 * common >= threshold * total[at] - 1e-9]:
-            r = ratio(rt[j], lt[i])
+            if 2 * common_subsequence(lt[i], rt[j]) < threshold * (ll[i] + rl[j]) - 1e-9:
+                continue
+            first, later = sorted((left[i], right[j]), key=lambda x: x["k"])
+            r = ratio(later["t"], first["t"])
             if r >= threshold:
-                rows.append((lk[i], rk[j], r))
-    return pd.DataFrame(rows, columns=["a", "b", "ratio"])
+                rows.append({"a": first["k"], "b": later["k"], "ratio": r})
+    return rows
 
 
 def similar_title_pairs(rows: DataFrame, key: str = "row_id", threshold: float = THRESHOLD) -> DataFrame:
     """``a, b, ratio``: pairs of representatives of distinct titles (and years) with a ratio of at least ``threshold``.
 
     Every representative is the first row of its title and year; copies belong to it and are not expanded into pairs.
-    The comparison is exact: titles are sorted into tiles by year and length, and pairs of tiles are
-    compared only where the year rule and the length bound allow a pair, each within one task of bounded size. Inside,
-    length and character bounds, both lossless, leave few pairs for the exact ratio. Blank titles are left out.
+    The comparison is exact: titles are put into tiles by year and length, tiles meet in a join where the year rule and the length bound allow a pair,
+    and a tile is bounded. Inside, bounds on length, characters and common subsequence, all lossless, leave few pairs for the exact ratio. Blank titles are left out.
     """
-    spark = rows.sparkSession
-    reps = rows.select(key, normalize_title("title").alias("t"), parse_year("year").alias("y")).filter("t <> ''").groupBy("t", "y").agg(F.min(key).alias("k"))
-    reps = cut(reps.withColumn("c", F.floor(F.col("y") / YEARS).cast("int")).withColumn("b", F.floor(F.length("t") / BAND)))
-    sizes = {(r["c"], r["b"]): r["n"] for r in reps.groupBy("c", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # Cells are (block of years, length band); both are bounded, so this table is small whatever the data.
-    slices = {cell: max(1, -(-n // TILE)) for cell, n in sizes.items()}
-    cells = sorted(slices, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-    spread = spark.createDataFrame([(y, b, s) for (y, b), s in slices.items()] or [(None, -1, 1)], "c int, b long, n int")
-    tiled = reps.alias("r").join(F.broadcast(spread).alias("s"), F.col("r.c").eqNullSafe(F.col("s.c")) & (F.col("r.b") == F.col("s.b")))
-    tiled = tiled.select("r.k", "r.t", "r.y", "r.c", "r.b", F.pmod(F.xxhash64("r.k"), F.col("s.n")).cast("int").alias("tile"))
-    tasks = []
-    for i, (y, b) in enumerate(cells):
-        for y2, b2 in cells[i:]:
-            years_fit = y is None or y2 is None or abs(y - y2) <= 1
-            short, long = sorted((b, b2))
-            # The longest of the short band against the shortest of the long one.
-            most = min(short * BAND + BAND - 1, long * BAND)
-            lengths_fit = 2 * most >= threshold * (most + long * BAND)
-            if years_fit and lengths_fit:
-                same = (y, b) == (y2, b2)
-                for t1 in range(slices[(y, b)]):
-                    for t2 in range(t1 if same else 0, slices[(y2, b2)]):
-                        tasks.append((len(tasks), y, b, t1, y2, b2, t2))
-    if not tasks:
-        return spark.createDataFrame([], "a long, b long, ratio double")
-    plan = cut(spark.createDataFrame(tasks, "task long, y1 int, b1 long, t1 int, y2 int, b2 long, t2 int"))
-
-    def side(n: int) -> DataFrame:
-        on = F.col("x.c").eqNullSafe(F.col(f"p.y{n}")) & (F.col("x.b") == F.col(f"p.b{n}")) & (F.col("x.tile") == F.col(f"p.t{n}"))
-        return tiled.alias("x").join(plan.alias("p"), on).select(F.col("p.task").alias(f"task{n}"), F.col("x.k").alias(f"k{n}"), F.col("x.t").alias(f"t{n}"), F.col("x.y").alias(f"y{n}"))
-
-    def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left.columns = right.columns = ["task", "k", "t", "y"]
-        # Within one tile a pair is met once; between tiles either side may be first in row order.
-        one = _similar_in_tile(left, right, threshold)
-        if set(left["k"]) == set(right["k"]):
-            return one
-        two = _similar_in_tile(right, left, threshold)
-        return pd.concat([one, two]) if len(two) else one
-
-    return side(1).groupBy("task1").cogroup(side(2).groupBy("task2")).applyInPandas(both, "a long, b long, ratio double")
+    named = parallel(rows.select(key, "title", "year"), key).select(key, normalize_title("title").alias("t"), parse_year("year").alias("y")).filter("t <> ''")
+    reps = cut(named.groupBy("t", "y").agg(F.min(key).cast("long").alias("k")).withColumn("c", F.floor(F.col("y") / YEARS).cast("int")).withColumn("b", F.floor(F.length("t") / BAND).cast("int")))
+    cells = reps.groupBy(F.col("c").alias("cell_c"), F.col("b").alias("cell_b")).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    # Cells are blocks of years by length bands; a tile has about ``TILE`` titles, as its number is a hash.
+    met = reps.join(cells, F.col("c").eqNullSafe(F.col("cell_c")) & (F.col("b") == F.col("cell_b"))).select("k", "t", "y", "c", "b", F.pmod(F.xxhash64("k"), "tiles").cast("int").alias("tile"))
+    tiles = cut(met.groupBy("c", "b", "tile").agg(F.collect_list(F.struct("k", "t", "y")).alias("xs")).withColumn("no", F.monotonically_increasing_id()))
+    meta = tiles.select("no", "c", "b")
+    # The longest title that a pair allows beside one of the band, and so the bands that may meet.
+    furthest = F.floor((F.col("b") * BAND + BAND - 1) * (2 / threshold - 1) / BAND).cast("int")
+    near = meta.select(F.col("no").alias("n1"), F.col("c").alias("c1"), F.col("b").alias("b1"), F.explode(F.sequence("b", furthest)).alias("b2"))
+    bands = near.join(meta.select(F.col("no").alias("n2"), F.col("c").alias("c2"), F.col("b").alias("b2")), "b2")
+    years = F.col("c1").isNull() | F.col("c2").isNull() | (F.abs(F.col("c1") - F.col("c2")) <= 1)
+    tasks = bands.filter(years & ((F.col("b1") < F.col("b2")) | (F.col("n1") <= F.col("n2")))).select("n1", "n2")
+    left, right = (tiles.select(F.col("no").alias(f"n{i}"), F.col("xs").alias(f"x{i}")) for i in (1, 2))
+    work = tasks.join(left, "n1").join(right, "n2")
+    parts = max(2 * rows.sparkSession.sparkContext.defaultParallelism, 2 * cells.count())
+
+    def compare(a: pd.Series, b: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+        return pd.Series([_similar(list(x), list(y), i == j, threshold) for x, y, i, j in zip(a, b, n1, n2)], dtype=object)
+
+    pairs = F.pandas_udf(compare, "array<struct<a:bigint,b:bigint,ratio:double>>")
+    return work.repartition(parts, "n1", "n2").select(F.explode(pairs("x1", "x2", "n1", "n2")).alias("p")).select("p.a", "p.b", "p.ratio")
 
 
 def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:

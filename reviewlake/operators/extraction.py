@@ -7,21 +7,39 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reviewlake.functions.text import cell_state, exploitable, nonblank, normalize_evidence, strip
+from reviewlake.functions.udfs import first_verifiable
+from reviewlake.operators.skew import join_hot
+from reviewlake.session import cut, parallel
 
 # The variables of the codebook of the test tables.
 VARIABLES = ("population", "intervention", "comparator", "outcome", "design", "sample_size", "setting", "follow_up")
 
 
-def verifiable_citations(cells: DataFrame, texts: DataFrame) -> DataFrame:
+#: So many citations of one document are looked for in a text at once.
+BATCH = 200
+
+
+def verifiable_citations(cells: DataFrame, texts: DataFrame, key: str = "text_id") -> DataFrame:
     """``identity_type, doc, citation, verifiable``: whether a text of the document holds the citation word for word.
 
-    Distinct citations meet the texts of their document; texts are normalised once each. Blank citations are not verifiable and left out.
+    Distinct citations meet the texts of their document in batches, so a text is repeated once per batch and not per citation; texts are
+    normalised once each, and documents of many texts are spread over slices. Blank citations are not verifiable and left out.
     """
+    ident = ["identity_type", "doc"]
     kind = F.coalesce(nonblank("identity_type"), F.lit("doi"))
-    quotes = cells.select(kind.alias("identity_type"), nonblank("doc").alias("doc"), normalize_evidence("citation").alias("citation")).filter("doc is not null and citation <> ''").distinct()
-    bodies = texts.select(kind.alias("identity_type"), nonblank("doc").alias("doc"), normalize_evidence("fulltext").alias("body")).filter("doc is not null and body <> ''")
-    met = quotes.join(bodies, ["identity_type", "doc"], "left")
-    return met.groupBy("identity_type", "doc", "citation").agg(F.coalesce(F.max(F.contains("body", F.col("citation"))), F.lit(False)).alias("verifiable"))
+    quotes = cut(cells.select(kind.alias("identity_type"), nonblank("doc").alias("doc"), normalize_evidence("citation").alias("citation")).filter("doc is not null and citation <> ''").distinct())
+    bodies = cut(parallel(texts.select(kind.alias("identity_type"), nonblank("doc").alias("doc"), key, "fulltext"), key).withColumn("body", normalize_evidence("fulltext")).drop("fulltext").filter("doc is not null and body <> ''"))
+    asked = quotes.groupBy(*ident).agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / BATCH).cast("int").alias("m"))
+    held = bodies.groupBy(*ident).agg(F.count(F.lit(1)).alias("texts"))
+    both = cut(asked.join(held, ident))
+    batched = join_hot(quotes, both, ident, "n", "citation", float(quotes.count())).withColumn("batch", F.pmod(F.xxhash64("citation"), "m").cast("int"))
+    # A batch holds about ``BATCH`` citations, whatever the document.
+    batches = batched.groupBy(*ident, "batch").agg(F.collect_list("citation").alias("quotes"), F.first("texts").alias("texts"))
+    total = float(bodies.count())
+    wide = join_hot(bodies, both, ident, "texts", key, total).withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select(*ident, "batch", key, "body")
+    met = join_hot(wide, batches, [*ident, "batch"], "texts", key, total)
+    found = met.select(*ident, F.explode(F.filter("quotes", lambda q: F.contains("body", q))).alias("citation")).distinct().withColumn("verifiable", F.lit(True))
+    return quotes.join(found, [*ident, "citation"], "left").select(*ident, "citation", F.coalesce("verifiable", F.lit(False)).alias("verifiable"))
 
 
 def cells_of(extractions: DataFrame) -> DataFrame:
@@ -89,8 +107,7 @@ def report_gate(pending: int, cells: int, articles: int, variables: int) -> None
 
 def rescued(value: Column, candidates: Column, body: Column) -> Column:
     """The first verifiable one of at most three retry citations; null if none is or the retried value is not exploitable."""
-    good = F.filter(F.slice(candidates, 1, 3), lambda q: (F.length(normalize_evidence(q)) > 0) & F.contains(normalize_evidence(body), normalize_evidence(q)))
-    return F.when(exploitable(value), F.try_element_at(good, F.lit(1)))
+    return F.when(exploitable(value), first_verifiable(F.when(exploitable(value), candidates), body))
 
 
 def retrieved_text(*tiers: tuple[str, Column], least: int = 500) -> tuple[Column, Column]:

@@ -43,9 +43,9 @@ def _e(s: SparkSession, d: str) -> DataFrame:
 
 # ---- scalar functions -----------------------------------------------------------------------------------------
 
-query("normalize_title", f"SELECT row_id, {S.title('title')} AS norm FROM candidates")(lambda s, d: _c(s, d).select("row_id", X.normalize_title("title").alias("norm")))
+query("normalize_title", f"WITH {S.normal_form('candidates', 'row_id', 'title', 'n', True)} SELECT row_id, {S.title('t')} AS norm FROM n")(lambda s, d: _c(s, d).select("row_id", X.normalize_title("title").alias("norm")))
 query(
-    "normalize_identity_title", r"SELECT row_id, trim(regexp_replace(lower(coalesce(title, '')), '[^\p{L}\p{N}_]+', ' ', 'g')) AS norm FROM candidates"
+    "normalize_identity_title", "WITH " + S.normal_form("candidates", "row_id", "title", "n", True) + r" SELECT row_id, trim(regexp_replace(t, '[^\p{L}\p{N}_]+', ' ', 'g')) AS norm FROM n"
 )(lambda s, d: _c(s, d).select("row_id", X.normalize_identity_title("title").alias("norm")))
 query(
     "doi_forms",
@@ -64,13 +64,13 @@ query(
   coalesce(CASE WHEN regexp_matches({S.strip('oa_url')}, '^https?://') THEN {S.strip('oa_url')} END, CASE WHEN regexp_matches({S.strip('source_id')}, '^https?://') THEN {S.strip('source_id')} END) AS url,
   nullif(regexp_extract({S.strip('oa_url')}, '^https?://(?:pmc\.ncbi\.nlm\.nih\.gov|www\.ncbi\.nlm\.nih\.gov/pmc)/articles/(PMC[0-9]+)(?:/pdf)?/?$', 1), '') AS pmcid FROM candidates""",
 )(lambda s, d: _c(s, d).select("row_id", X.first_doi_token(F.coalesce("doi", F.lit(""))).alias("doi_token"), X.first_url("oa_url", "source_id").alias("url"), X.pmcid_of_url("oa_url").alias("pmcid")))
-query("evidence_normalized", f"SELECT text_id, sha256({S.evidence('fulltext')}) AS digest, length({S.evidence('fulltext')}) AS n FROM fulltexts")(
+query("evidence_normalized", f"WITH {S.normal_form('fulltexts', 'text_id', 'fulltext', 'f')} SELECT text_id, sha256({S.evidence('t')}) AS digest, length({S.evidence('t')}) AS n FROM f")(
     lambda s, d: table(s, d, "fulltexts").select("text_id", F.sha2(X.normalize_evidence("fulltext"), 256).alias("digest"), F.length(X.normalize_evidence("fulltext")).alias("n"))
 )
 query(
     "span_normalized",
-    r"""SELECT row_id, trim(regexp_replace(replace(regexp_replace(translate(lower(coalesce(abstract, '')), '‘’‚‛“”„‟', repeat(chr(39), 4) || repeat(chr(34), 4)), '\\([%&_#])', '\1', 'g'), '~', ' '), '\s+', ' ', 'g')) AS span,
-  trim(regexp_replace(coalesce(abstract, ''), '\s+', ' ', 'g')) AS span_v0 FROM candidates""",
+    f"WITH {S.normal_form('candidates', 'row_id', 'abstract', 'n', True)}, {S.normal_form('candidates', 'row_id', 'abstract', 'k')} SELECT row_id, "
+    + rf"""trim(regexp_replace(replace(regexp_replace(translate(n.t, '‘’“”', repeat(chr(39), 2) || repeat(chr(34), 2)), '\\([%&_#])', '\1', 'g'), '~', ' '), '{S.SPACES}', ' ', 'g')) AS span, trim(regexp_replace(k.t, '{S.SPACES}', ' ', 'g')) AS span_v0 FROM n JOIN k USING (row_id)""",
 )(lambda s, d: _c(s, d).select("row_id", X.normalize_span("abstract").alias("span"), X.collapse_space("abstract").alias("span_v0")))
 query(
     "html_clean",
@@ -149,7 +149,16 @@ def _audit(s: SparkSession, d: str) -> DataFrame:
     return out.select("component", "removed", F.array_join("merged_sources", ",").alias("sources"), F.size("merged_dois").cast("long").alias("dois"))
 
 
-query("dedup_title_groups")(lambda s, d: dedup.title_groups(_c(s, d)))
+query(
+    "dedup_title_groups",
+    f"""WITH RECURSIVE {S.normal_form('candidates', 'row_id', 'title', 'n', True)}, k AS (SELECT row_id, {S.title('t')} AS t, {S.year('year')} AS y FROM n JOIN candidates USING (row_id) WHERE {S.title('t')} <> ''),
+o AS (SELECT t, y, first, row_number() OVER (PARTITION BY t ORDER BY first) AS i FROM (SELECT t, y, min(row_id) AS first FROM k GROUP BY t, y)),
+fold AS (SELECT t, y, i, first AS component, [{{'lo': y, 'hi': y, 'c': first}}] AS gs FROM o WHERE i = 1
+  UNION ALL
+  SELECT t, y, i, CASE WHEN p = 0 THEN first ELSE gs[p].c END, CASE WHEN p = 0 THEN list_append(gs, {{'lo': y, 'hi': y, 'c': first}}) ELSE list_transform(gs, lambda g, j: CASE WHEN j = p THEN {{'lo': least(g.lo, y), 'hi': greatest(g.hi, y), 'c': g.c}} ELSE g END) END
+  FROM (SELECT o.t, o.y, o.i, o.first, f.gs, coalesce(list_position(list_transform(f.gs, lambda g: o.y IS NULL OR g.lo IS NULL OR (g.hi - o.y <= 1 AND o.y - g.lo <= 1)), TRUE), 0) AS p FROM fold f JOIN o ON o.t = f.t AND o.i = f.i + 1))
+SELECT k.row_id, f.component FROM k JOIN fold f ON f.t = k.t AND f.y IS NOT DISTINCT FROM k.y""",
+)(lambda s, d: dedup.title_groups(_c(s, d)))
 query("fuzzy_title_pairs")(lambda s, d: dedup.similar_title_pairs(_c(s, d)).select("a", "b", F.round("ratio", 6).alias("ratio")))
 
 
@@ -298,8 +307,9 @@ query("extraction_repeats", f"WITH {_CELLS} SELECT identity_type, doc, variable,
 )
 query(
     "quote_verifiable",
-    f"""WITH q AS (SELECT DISTINCT {S.KIND} AS identity_type, {S.nb('doc')} AS doc, {S.evidence('citation')} AS citation FROM extractions WHERE {S.nb('doc')} IS NOT NULL AND {S.evidence('citation')} <> ''),
-b AS (SELECT {S.KIND} AS identity_type, {S.nb('doc')} AS doc, {S.evidence('fulltext')} AS body FROM fulltexts WHERE {S.nb('doc')} IS NOT NULL AND {S.evidence('fulltext')} <> '')
+    f"""WITH e AS (SELECT row_number() OVER () AS rid, * FROM extractions), {S.normal_form('e', 'rid', 'citation', 'ec')}, {S.normal_form('fulltexts', 'text_id', 'fulltext', 'ft')},
+q AS (SELECT DISTINCT {S.KIND} AS identity_type, {S.nb('doc')} AS doc, {S.evidence('t')} AS citation FROM e JOIN ec USING (rid) WHERE {S.nb('doc')} IS NOT NULL AND {S.evidence('t')} <> ''),
+b AS (SELECT {S.KIND} AS identity_type, {S.nb('doc')} AS doc, {S.evidence('t')} AS body FROM fulltexts JOIN ft USING (text_id) WHERE {S.nb('doc')} IS NOT NULL AND {S.evidence('t')} <> '')
 SELECT identity_type, doc, citation, coalesce(bool_or(contains(body, citation)), FALSE) AS verifiable FROM q LEFT JOIN b USING (identity_type, doc) GROUP BY 1, 2, 3""",
 )(lambda s, d: extraction.verifiable_citations(_e(s, d), table(s, d, "fulltexts")))
 
@@ -437,7 +447,7 @@ SELECT doi, row_id, title FROM u WHERE doi NOT IN (SELECT lower({S.strip('doc')}
 )(lambda s, d: cr.fresh_candidates(_c(s, d), _gold(s, d).filter("identity_type = 'doi'").select(F.col("doc").alias("doi"))))
 query(
     "corpus_delta",
-    f"""WITH b AS (SELECT DISTINCT {S.title('title')} AS t FROM candidates WHERE {S.title('title')} <> ''), n AS (SELECT DISTINCT {S.title('title')} AS t FROM candidates WHERE {S.title('title')} <> '' AND source IN ('pubmed', 'eric'))
+    f"""WITH {S.normal_form('candidates', 'row_id', 'title', 'nt', True)}, b AS (SELECT DISTINCT {S.title('t')} AS t FROM nt WHERE {S.title('t')} <> ''), n AS (SELECT DISTINCT {S.title('t')} AS t FROM nt JOIN candidates USING (row_id) WHERE {S.title('t')} <> '' AND source IN ('pubmed', 'eric'))
 SELECT count(b.t) AS broad_n, count(n.t) AS narrow_n, count(*) FILTER (WHERE n.t IS NULL) AS delta_n, count(*) FILTER (WHERE b.t IS NULL) AS outside_n FROM b FULL JOIN n ON b.t = n.t""",
 )(
     lambda s, d: cr.corpus_delta(

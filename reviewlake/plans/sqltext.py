@@ -2,6 +2,48 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@cache
+def _values(kind: str) -> str:
+    """A list of characters and what they become: in NFKD where that is no canonical decomposition, or by case folding where that is no lower case."""
+    pairs = []
+    for cp in range(0x80, 0x110000):
+        ch = chr(cp)
+        if unicodedata.category(ch) in ("Cn", "Cs", "Co"):
+            continue
+        if kind == "compat":
+            to = unicodedata.normalize("NFKD", ch)
+            keep = to != unicodedata.normalize("NFD", ch)
+        else:
+            to = ch.casefold()
+            keep = to != ch.lower() and to == to.lower()
+        if keep:
+            pairs.append(f"({_quoted(ch)}, {_quoted(to)})")
+    return "VALUES " + ", ".join(pairs)
+
+
+def normal_form(table: str, key: str, column: str, name: str, fold: bool = False) -> str:
+    """A common table ``name(key, t)``: the column in NFKC, case-folded if asked. Characters are replaced one by one and composed again."""
+
+    def step(source: str, kind: str, suffix: str, after: str) -> str:
+        return f"""{name}_{suffix} AS (SELECT {key}, {after.format("coalesce(string_agg(coalesce(m.t, x.c), '' ORDER BY x.i), '')")} AS t FROM (SELECT {key}, unnest(CASE WHEN t = '' THEN [''] ELSE string_split(t, '') END) AS c, unnest(range(1, greatest(2, length(t) + 1))) AS i FROM {source}) x
+  LEFT JOIN ({_values(kind)}) m(c, t) ON m.c = x.c GROUP BY {key})"""
+
+    out = f"{name}_0 AS (SELECT {key}, coalesce({column}, '') AS t FROM {table}), " + step(f"{name}_0", "compat", "1", "nfc_normalize({})")
+    last = f"{name}_1"
+    if fold:
+        out += ", " + step(f"{name}_1", "fold", "2", "lower({})")
+        last = f"{name}_2"
+    return out + f", {name} AS (SELECT * FROM {last})"
+
+
 
 def strip(x: str) -> str:
     """Stripped of outer white space."""
@@ -14,8 +56,8 @@ def nb(x: str) -> str:
 
 
 def title(x: str) -> str:
-    """The normalised title."""
-    return rf"trim(regexp_replace(replace(lower(coalesce({x}, '')), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    """The normalised title of text that is in normal form and folded."""
+    return rf"trim(regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
 
 def year(x: str) -> str:
@@ -28,9 +70,15 @@ def score(x: str) -> str:
     return rf"CASE WHEN regexp_full_match({strip(x)}, '[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?') THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, CAST({strip(x)} AS DOUBLE))) END"
 
 
+#: White space as the normalisers know it.
+SPACES = r"[\s\x1c-\x1f\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
 def evidence(x: str) -> str:
-    """Text normalised for evidence."""
-    return rf"trim(regexp_replace(regexp_replace(replace(coalesce({x}, ''), chr(173), ''), '([\p{{L}}\p{{N}}])-[ \t]*\r?\n[ \t]*([\p{{L}}\p{{N}}])', '\1\2', 'g'), '\s+', ' ', 'g'))"
+    """Text in normal form, normalised for evidence. A letter between two line ends is shared by two matches, so there are two passes."""
+    join = rf"regexp_replace({{}}, '([\p{{{{L}}}}\p{{{{N}}}}_])-[ \t]*\r?\n[ \t]*([\p{{{{L}}}}\p{{{{N}}}}_])', '\1\2', 'g')"
+    bare = f"replace({x}, chr(173), '')"
+    return rf"trim(regexp_replace({join.format(join.format(bare))}, '{SPACES}', ' ', 'g'))"
 
 
 KIND = f"coalesce({nb('identity_type')}, 'doi')"
