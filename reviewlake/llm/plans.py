@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reviewlake.llm.abuse import rates_by_source, score_documents
 from reviewlake.llm.chunks import pieces_of_oversized
 from reviewlake.llm.formatting import copy_sets, one_record_each
-from reviewlake.llm.linkage import link
+from reviewlake.llm.linkage import classes, link, link_classes
 from reviewlake.llm.packing import pack
 from reviewlake.llm.survivor import best_values, surviving_records
 from reviewlake.llm.tokens import encode_texts, length_column, vocabulary_file
@@ -59,18 +59,30 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
     return one_record_each(table(spark, d, "candidates"), "row_id")
 
 
-def p7_links(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of a candidate and a library item that describe the same work, with a confidence."""
+def _p7(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     cand = table(spark, d, "candidates").select(F.col("row_id").alias("id"), "title", "authors", "year", F.col("source_id").alias("tail"), "source")
     items = table(spark, d, "library_items").select(
         F.col("item_id").alias("id"), F.col("heading").alias("title"), F.col("creators").alias("authors"), F.col("issued").alias("year"), F.col("accession_tail").alias("tail"), F.col("via").alias("source")
     )
-    return link(cand, items).select(F.col("left_id").alias("row_id"), F.col("right_id").alias("item_id"), "confidence")
+    return cand, items
+
+
+def p7_links(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of classes of equal records that describe the same work, with the sizes of the classes and a confidence."""
+    pairs, _, _ = link_classes(*_p7(spark, d))
+    name = lambda side: F.concat_ws("-", F.hex(f"{side}_cls.p1"), F.hex(f"{side}_cls.p2"))
+    return pairs.select(name("left").alias("candidate_class"), name("right").alias("item_class"), F.col("left_n").alias("candidates"), F.col("right_n").alias("items"), "confidence")
+
+
+def p7_members(spark: SparkSession, d: str) -> DataFrame:
+    """The class of every candidate and item, as p7_links names it."""
+    sides = [classes(rows)[0].select(F.lit(side).alias("side"), "id", F.concat_ws("-", F.hex("cls.p1"), F.hex("cls.p2")).alias("class")) for side, rows in zip(("candidate", "item"), _p7(spark, d))]
+    return sides[0].unionByName(sides[1])
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """The pairs alone."""
-    return p7_links(spark, d).select("row_id", "item_id")
+    """Every candidate with every item that describes the same work."""
+    return link(*_p7(spark, d)).select(F.col("left_id").alias("row_id"), F.col("right_id").alias("item_id"))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +113,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return rates_by_source(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_normalized, p3_found, p3_records, p4_found, p4_pieces, p6_found, p6_records, p7_found, p7_links, p8_ids, p9_packed, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_normalized, p3_found, p3_records, p4_found, p4_pieces, p6_found, p6_records, p7_found, p7_links, p7_members, p8_ids, p9_packed, p10_found, p10_scores, p10_rates)}
 ORACLE_SQL = {
     "p4_found": "SELECT f.text_id FROM fulltexts f JOIN size_limits l ON f.limit_name = l.limit_name AND l.unit = 'characters' WHERE length(f.fulltext) > l.max_size",
 }
