@@ -1,13 +1,14 @@
-"""Abusive, hateful or sexual content: noisy-channel deobfuscation, then scoring.
+"""Abusive, hateful or sexual content: noisy-channel deobfuscation, then a learned score.
 
 Offensive words are written so that filters miss them: digits and signs for letters,
 masks, stretched or spaced letters, letters of other scripts, invisible characters. Each
 suspicious token becomes a lattice of characters: what was written may stand for several
 letters, for none, or for part of a repetition. A character language model, learned from the
-words of all documents, picks the likeliest readings (a list-Viterbi pass over the lattice); the
-first reading that is a word is restored. The restored text is scored by passage: who is
-addressed, what is said about them, and whether the passage itself does it or
-studies, reports or quotes it.
+words of all documents, weighs the readings; a Viterbi pass over the lattice finds the likeliest reading, and one
+over the lattice and the tree of often hidden words the likeliest of those. Both are exact.
+
+The restored text is scored by passage with a linear model over words, pairs of words and letter runs. It is
+fitted on a bounded sample of passages with weak labels (see :mod:`reviewlake.llm.weak_labels`) and on generated seed sentences.
 """
 
 from __future__ import annotations
@@ -15,14 +16,17 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from re import _parser
+import zlib
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.llm.visual import _fold_run
-from reviewlake.session import cut
+from reviewlake.llm.weak_labels import GROUPS, INSULTS, STRONG, pattern_sentences, seed_label, seed_sentences
+from reviewlake.session import cut, parallel
 
 # What a written character may stand for.
 STANDS_FOR = {
@@ -32,79 +36,6 @@ STANDS_FOR = {
 MASKS, SPACERS = "*_#%?-.", "-._*~ '"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâäçèéêëíîïñóôöùúûüß"
 
-# Word lists by kind. Stems end in "~" and match any ending.
-INSULTS = (
-    "idiot idiots idiotic moron morons imbecile imbeciles cretin cretins fool fools dumbass dumb~asses jackass jackasses asshole assholes arsehole bastard bastards bitch bitches prick pricks dick~head "
-    "dickhead muppet muppets pinhead pinheads crybaby loser losers scum scumbag scumbags twat wanker cunt cunts douche douchebag dimwit dimwits halfwit nitwit dunce simpleton clown clowns "
-    "parasite parasites vermin maggot maggots cockroach worm worms toad weasel swine freak freaks slut sluts whore whores retard retards motherfucker fucker shithead "
-    "tosser pillock numbskull blockhead airhead degenerate lowlife filth trash garbage"
-).replace("~", " ").split()
-INSULT_PHRASES = (
-    r"piece of (?:garbage|shit|trash|crap|filth|dirt|work)", r"waste of (?:skin|space|air|oxygen|breath)", r"sack of shit", r"human (?:stain|garbage|trash|waste)", r"shit[- ]for[- ]brains",
-    r"(?:talentless|useless|worthless|pathetic|brainless|spineless|filthy|disgusting|smelly|wretched|drooling|braindead|stupid|fat|ugly|dirty|miserable|sorry|dumb|rotten|hopeless|stinking|slimy) "
-    r"(?:old )?(?:hack|pig|cow|rat|ape|goat|toad|worm|liar|loser|muppet|dog|monkey|donkey|idiot|bitch|bastard|creature|excuse|thing|fool|moron|slug|snake|swine|clown|coward|creep|parasite|cockroach|lump)",
-    r"(?:un)?trained monkey", r"better minds than yours", r"brains were crumbs", r"born a mistake", r"too (?:thick|stupid|dumb) to", r"(?:spit|piss|shit) on you", r"you (?:smell|stink)", r"smell like one", r"ugly face", r"(?:laughs?|laughing) at you",
-)
-# Insults and abuse in other languages of the texts.
-OTHER_ABUSE = (
-    r"imb[ée]cil\w*", r"gilipollas", r"pedazo de (?:basura|mierda)", r"no sirves para nada", r"vete a la mierda", r"hijo de puta", r"c[áa]llate la boca", r"c[áa]llate", r"puta (?:madre|mierda)", r"cabr[óo]n\w*", r"maric[óo]n\w*", r"idiota\w*", r"est[úu]pid[oa]\w*", r"zorra", r"basura humana", r"muérete",
-    r"ferme ta gueule", r"ta gueule", r"esp[èe]ce d\W?\s?\w+", r"connard\w*", r"connasse\w*", r"salope\w*", r"encul[ée]\w*", r"va te faire", r"fils de pute", r"n'es qu'une? (?:ordure|merde|d[ée]chet)", r"personne ne veut de toi", r"cr[èe]ve", r"abruti\w*", r"d[ée]bile\w*", r"nique ta",
-    r"vollidiot\w*", r"halt endlich die fresse", r"halt die (?:fresse|klappe|schnauze)", r"verpiss dich", r"nutzloses st[üu]ck dreck", r"st[üu]ck (?:dreck|schei[sß]+e)", r"arschloch\w*", r"wichser\w*", r"hurensohn\w*", r"fotze\w*", r"schlampe\w*", r"missgeburt\w*", r"fick dich", r"drecksau", r"dummkopf", r"schei[sß]+kerl",
-    r"(?<!\w)идиот\w*", r"дурак\w*", r"дура(?!\w)", r"тварь", r"мразь", r"заткнись", r"сдохни", r"ублюд\w+", r"придур\w+", r"пошёл ты", r"пошел ты", r"сука", r"убирайся", r"ничтожество", r"урод\w*", r"дебил\w*", r"хуй\w*", r"пизд\w+",
-    r"死ね", r"くたばれ", r"馬鹿野郎", r"バカ野郎", r"クズ", r"ゴミ野郎", r"キモい", r"消えろ", r"殺すぞ", r"ぶっ殺", r"間抜け",
-    r"احمق", r"خفه شو", r"گمشو", r"کثافت", r"حرامزاده", r"بمیر", r"بی‌?شعور", r"عوضی",
-)
-OTHER_HATE = (
-    r"(?:extranjeros|inmigrantes|migrantes|moros|negros|gitanos|mujeres|viejos|maricones|jud[íi]os)\b.*\b(?:plaga|escoria|basura|echar\w*|palos|c[áa]ncer|ratas|matar\w*|fuera)",
-    r"(?:[ée]trangers|migrants|r[ée]fugi[ée]s|immigr[ée]s|femmes|vieux|pauvres|juifs|arabes|noirs|gens)\b.*\b(?:vermine|dehors|racaille|parasites|rats|cancer|virer|noyer|br[ûu]ler|ordures)",
-    r"(?:ausl[äa]nder|fl[üu]chtlinge|migranten|leute|menschen|frauen|juden|schwule|behinderte|arme|alte)\b.*\b(?:ungeziefer|weggesperrt|ballast|abschaum|parasiten|ratten|weg mit|vergas\w+|raus|ers[äa]ufen|pack)",
-    r"(?:мигрант\w*|приезж\w*|беженц\w*|женщин\w*|старик\w*|инвалид\w*)\b.*(?:паразит\w*|крыс\w*|мусор|вон|гнать|истреб\w+|тараканы)",
-    r"(?:外国人|移民|難民|女|老人|障害者).*(?:害虫|ゴミ|出て行け|消えろ|追い出せ|寄生虫)",
-    r"(?:مهاجران|پناهندگان|خارجی‌?ها|زنان|پیرها).*(?:انگل|آشغال|بیرون|موش|حشره)",
-)
-GROUPS = (
-    r"refugees?|migrants?|immigrants?|foreigners?|women|girls|men|disabled people|the disabled|cripples|gay people|gays|lesbians|trans people|homosexuals|old people|the old|the elderly|the poor|poor people|villagers|peasants|"
-    r"(?:those|these|the)? ?(?:northern|southern|eastern|western|hill|desert) tribes?|tribes|people of (?:that|this|their) (?:faith|kind|colou?r|religion|race)|people with accents(?: like that)?|people like (?:that|them|those)|their kind|your kind|such people|"
-    r"muslims|jews|christians|hindus|blacks|whites|asians|arabs|africans|gypsies|roma|immigrant families|beggars|homeless people|the homeless|fat people|black people|brown people|those people|these people"
-)
-DEHUMANISING = (
-    r"vermin|a disease|cut (?:it|them) out|subhuman|sub-human|rats|cockroach\w*|plague|parasites?|criminals|filthy|lazy(?:,| and)|dishonest by nature|lying and stealing|in their blood|stupid and|dirty to|too stupid|"
-    r"pretend to feel pain|smell better|in a cage|belong in a|to serve the rest|drown|die out|only beat|beat them|lock(?:ed)? (?:them )?up|throw(?:n)? up|want to (?:throw up|vomit|puke)|thrown out|send .{0,30} (?:back|away)|in boxes|by force|"
-    r"banned from (?:voting|studying|breathing|living)|and breathing|never trust|near my children|out of the sample|out of (?:our|every|this|my)|no .{0,30} in my (?:lab|office|department|school)|so who cares|put them down|sick dogs|exterminat\w+|wiped? out|"
-    r"hang(?:ed)? them|shoot them|burn them|sterili[sz]ed?|breed like|animals|inferior|worthless|should not (?:vote|exist|live|breathe)|never (?:added|contributed)|deserve to (?:die|suffer)|less than human|human waste|pollut\w+"
-)
-THREATS = (
-    r"kill (?:yourself|you|your)|(?:crawl|go) off and die|and die somewhere|(?:go|just) die\b|hope you (?:die|rot|lose|choke|burn|suffer|get)|rot in|and rot|break your|slap that|slap you|punch you|smash your|beat you|cut your|slit your|strangle|"
-    r"we will find you|i will find you|i know where you|know which train|know where (?:you|your)|you will regret|you will pay|watch your back|not make it to|make you (?:eat|scream|beg|bleed|pay|suffer)|miss you if you (?:vanished|died|disappeared)|"
-    r"crawl back under|under a rock|go to hell|burn in hell|shut (?:the fuck up|your (?:mouth|trap|face|gob))|shove it up|piss off|fuck off|get lost and|drop dead|put a bullet|hang yourself|jump off|bleed out|end you|hunt you|gut you|wish you were (?:dead|never)|"
-    r"off your face|out of your teeth|spit on you|drown you|choke you"
-)
-STRONG = r"fuck\w*|shit\w*|cunt\w*|asshole\w*|arsehole\w*|motherf\w*|bitch\w*|bastard\w*|dumbass\w*|jackass\w*|prick\w*|twat\w*|wanker\w*|whore\w*|slut\w*|dickhead\w*|retard(?:s|ed)?|faggot\w*|nigger\w*|tranny"
-SEX_ACTS = (
-    r"(?:my|your|his|her|their|bare|huge|big|wet|hard) (?:cock|cocks|dick|tits|ass|arse|pussy|cunt|boobs|nudes?|tongue|balls|nipples?|panties)|(?:cock|dick|tongue|mouth|hand|fingers?) (?:in|into|on|around|between|inside|up) (?:her|his|your|you|my|it)|nice (?:tits|ass|arse|boobs|legs)|"
-    r"suck (?:my|his|her)|fuck(?:ing)? (?:you|me|him|her|a (?:colleague|student|reviewer|girl|boy)|them|in|on|each)|want to fuck|lick(?:ing)? (?:you|me|her|him|your|my)|bend over|you want it|want you naked|naked on|naked (?:women|girls|men|boys|teens|on|for)|"
-    r"at it naked|went at it|undress|strip for|send (?:me )?(?:your )?(?:nudes?|a picture of your)|bare (?:ass|arse|breasts?|tits)|between (?:her|his|my|your) (?:thighs|legs)|kissed her (?:breasts?|neck|thighs)|unbuttoned (?:her|his)|pushed into (?:her|him)|until (?:she|he|you) came|"
-    r"moaned|she moans|took (?:her|him) against|look better around me|(?:so|rock|stay) hard|make her (?:scream|moan|come)|come to my room|wear under|nothing at all|screaming .{0,12}naked|ride (?:me|him)|naked .{0,40}scream|dream of licking|straddl\w+|thrust(?:ed|ing)? (?:into|in|inside)|orgasm with|climax(?:ed)? in"
-)
-SEX_TRADE = (
-    r"porn videos?|uncensored|live sex|sex shows?|sex chat|adult chat|free xxx|xxx|horny (?:singles|wives|girls|women|teens|milfs)|lonely (?:wives|women|singles)|no[- ]strings|hot (?:naked|nude|girls|women|teens)|on cam|cam girls?|escorts?|blue pills|viagra|office sex|wild .{0,12}sex|"
-    r"new clips daily|willing and waiting|sign[- ]up|photos inside|click now|hookup|hook up tonight|sexy (?:singles|girls|women)|nude (?:pics|pictures|photos|girls|women|teens)|fetish (?:videos?|chat)|erotic massage"
-)
-SECOND_PERSON = r"\byou\b|\byour\b|\byours\b|\byourself\b|\byoure\b|\byou're\b|\bu r\b|\bur\b"
-ADDRESSING = (
-    r"\bwhat an?\b|\bwhat kind of\b|\bonly an? [^.!?]{0,60} would\b|\bhey\b|\bnobody asked\b|\bis an? (?:complete|total|utter)\b|\bthis author\b|\bthat so-called\b|\bwhoever screened\b|\bthis (?:idiot|moron|clown)\b|\bcalling (?:you|him|her)\b|\bsuch an? \b|\bthe opinion of\b|\blisten\b|^[^a-z]*[^,]{0,40}, (?:and|learn|read)"
-)
-# What marks a passage as one that studies or reports.
-STUDY = (
-    r"\b(?:participants?|respondents?|adults?|pupils?|classmates|coders?|items?|scales?|outcomes?|studies|study|screening|measured|reported|self-reported|coded|agreement|classifiers?|loading|counted|interviewed|clinician|nurse explained|explained by|offered to|"
-    r"posts?|hate speech|prejudice|abuse|bullying|education|consent|weeks|weekly|housed|humanely|dislocation|nest|nests|market|outcome|predictor|condom|erectile|intercourse|cancer|breast examination|thoughts|followed up|complaint|removed|quoted|quotes?|interviews?|survey\w*|sample of|enrolled|randomi[sz]ed|data|terminal|switch|script|imputation|rose by|was a threat|were asked|was asked|asks how)\b"
-)
-
-
-def _words_alternation(words: list[str]) -> str:
-    return r"\b(?:" + "|".join(sorted(map(re.escape, words), key=len, reverse=True)) + r")\b"
-
-
 #: Words whose hiding is likely: they raise the language model and are words for the decoder.
 HIDDEN_WORDS = sorted(
     set(INSULTS)
@@ -117,68 +48,7 @@ HIDDEN_WORDS = sorted(
 )
 
 
-def _needed(parsed: object) -> frozenset[str]:
-    """Letter runs of which every match of a parsed pattern has at least one; none if there are no such runs."""
-    best: frozenset[str] = frozenset()
-    runs = {""}
-
-    def offer(found: frozenset[str]) -> None:
-        nonlocal best
-        if all(found) and min(map(len, found), default=0) >= min(map(len, best), default=1):
-            best = found
-
-    for op, arg in parsed:
-        if op is _parser.LITERAL:
-            runs = {x + chr(arg) for x in runs}
-            continue
-        if op is _parser.IN and len(runs) * len(arg) <= 8 and all(x is _parser.LITERAL for x, _ in arg):
-            runs = {x + chr(c) for x in runs for _, c in arg}
-            continue
-        offer(frozenset(runs))
-        runs = {""}
-        if op is _parser.SUBPATTERN:
-            offer(_needed(arg[3]))
-        elif op is _parser.BRANCH:
-            parts = [_needed(x) for x in arg[1]]
-            offer(frozenset().union(*parts) if all(parts) else frozenset())
-        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and arg[0] > 0:
-            offer(_needed(arg[2]))
-    offer(frozenset(runs))
-    return best
-
-
-class Gated:
-    """A pattern that is only tried on texts with a letter run that each of its matches needs. The runs are read off the parsed pattern."""
-
-    def __init__(self, pattern: str) -> None:
-        self.pattern, self.compiled = pattern, re.compile(pattern)
-        needed = _needed(_parser.parse(pattern))
-        self.needed = sorted(w for w in needed if not any(v != w and v in w for v in needed))
-
-    def possible(self, text: str) -> bool:
-        """Whether there may be a match."""
-        return not self.needed or any(w in text for w in self.needed)
-
-    def count(self, text: str) -> int:
-        """The number of matches."""
-        return len(self.compiled.findall(text)) if self.possible(text) else 0
-
-
-_INSULT = Gated(_words_alternation(INSULTS) + "|" + "|".join(INSULT_PHRASES))
-_STRONG = Gated(rf"\b(?:{STRONG})\b")
-_GROUP = Gated(rf"\b(?:{GROUPS})\b")
-_DEHUMAN = Gated(rf"(?:{DEHUMANISING})")
-_THREAT = Gated(rf"\b(?:{THREATS})\b")
-_SEX = Gated(rf"\b(?:{SEX_ACTS})\b")
-_TRADE = Gated(rf"\b(?:{SEX_TRADE})\b")
-_SECOND, _ADDRESS, _STUDY = re.compile(SECOND_PERSON), re.compile(ADDRESSING), re.compile(STUDY)
-_OTHER = Gated("|".join(rf"(?<!\w)(?:{x})" if x[0] not in "(死くバ馬クゴキ消殺ぶ間" else x for x in OTHER_ABUSE))
-_OTHER_HATE = Gated("|".join(OTHER_HATE))
-_QUOTED = re.compile(r"“[^”]{0,400}”|„[^“”]{0,400}[“”]|«[^»]{0,400}»|\"[^\"\n]{0,400}\"|「[^」]{0,400}」|‘[^’\n]{0,200}’(?!\w)")
-#: The patterns without which no passage scores more than ``FLOOR``; a group by itself adds nothing.
-_SCORING = (_INSULT, _STRONG, _DEHUMAN, _THREAT, _SEX, _TRADE, _OTHER, _OTHER_HATE)
-#: The score of a passage in which nothing is found.
-FLOOR = 1 / (1 + math.exp(4.0))
+_QUOTED = re.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"\n]*\"|「[^」]*」|‘[^’\n]*’(?!\w)")
 _PASSAGE = re.compile(r"(?<=[.!?…。！？])\s+|(?<=[。！？])|\n+")
 _LEAD = re.compile(r"^\s*(?:>+|[-*•]|re:|@\w+|lol|haha)+\s*", re.I)
 
@@ -201,70 +71,90 @@ class CharModel:
         for t, n in trigrams.items():
             total[t[:2]] = total.get(t[:2], 0.0) + n
         self.trigrams, self.total, self.words = trigrams, total, {w for w in words if not _stretched_form(w)}
+        self.longest = max(map(len, self.words), default=0)
         self.restored: dict[str, tuple[str, int]] = {}
 
     def log_p(self, two: str, ch: str) -> float:
         """The log-probability of a letter after two others."""
         return math.log((self.trigrams.get(two + ch, 0.0) + 0.05) / (self.total.get(two, 0.0) + 0.05 * 50))
 
-    def log_word(self, word: str) -> float:
-        """The log-probability of a word."""
-        p = f"^^{word}$"
-        return sum(self.log_p(p[i - 2 : i], p[i]) for i in range(2, len(p)))
+    def _extended(self, text: str, letters: str) -> float:
+        out = 0.0
+        for ch in letters:
+            out += self.log_p(("^^" + text)[-2:], ch)
+            text += ch
+        return out
 
-    def read(self, lattice: list[list[tuple[str, float]]], width: int = 60) -> list[str]:
-        """The likeliest readings of a lattice of (letters, cost) choices, best first."""
-        beam: dict[str, float] = {"": 0.0}
+    def best_reading(self, lattice: list[list[tuple[str, float]]]) -> str:
+        """The likeliest reading of a lattice of (letters, cost) choices: a Viterbi pass whose states are the last two letters."""
+        states: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
+        for choices in lattice:
+            step: dict[str, tuple[float, str]] = {}
+            for score, text in states.values():
+                for letters, cost in choices:
+                    cand = (score - cost + self._extended(text, letters), text + letters)
+                    end = ("^^" + cand[1])[-2:]
+                    if end not in step or cand > step[end]:
+                        step[end] = cand
+            states = step
+        return max(((s + self._extended(t, "$"), t) for s, t in states.values()), default=(0.0, ""))[1]
+
+    def hidden_reading(self, lattice: list[list[tuple[str, float]]], written: str) -> str | None:
+        """The likeliest often hidden word among the readings, other than what is written; null if none is a reading.
+
+        The states are the nodes of the tree of those words, so the pass is exact, however many readings there are.
+        """
+        states = {"": 0.0}
         for choices in lattice:
             step: dict[str, float] = {}
-            for text, score in beam.items():
+            for text, score in states.items():
                 for letters, cost in choices:
-                    s, t = score - cost, text
-                    for ch in letters:
-                        s += self.log_p(("^^" + t)[-2:], ch)
-                        t += ch
-                    if s > step.get(t, -math.inf):
-                        step[t] = s
-            beam = dict(sorted(step.items(), key=lambda kv: -kv[1])[:width])
-        ended = sorted(((s + self.log_p(("^^" + t)[-2:], "$"), t) for t, s in beam.items()), reverse=True)
-        return [t for _, t in ended]
-
-
-def _choices(run: str, n: int, masked: bool) -> list[tuple[str, float]]:
-    """What a run of ``n`` equal written characters may stand for, with costs."""
-    ch = run
+                    to = text + letters
+                    if to in _PREFIXES:
+                        s = score - cost + self._extended(text, letters)
+                        if s > step.get(to, -math.inf):
+                            step[to] = s
+            if not step:
+                return None
+            states = step
+        # What is offensive by itself is hidden more often than what is by its context.
+        ended = [(s + self._extended(t, "$") + 2.0 * (_STRONG_WORD.fullmatch(t) is not None) + 1.0 * (t in _INSULT_WORDS), t) for t, s in states.items() if t in _HIDDEN and t != written]
+        return max(ended)[1] if ended else None
+
+
+def _choices(ch: str, n: int, masked: bool) -> list[list[tuple[str, float]]]:
+    """The lattice steps of a run of ``n`` equal written characters: what it may stand for, with costs."""
     if ch.isalpha():
         if n == 1:
-            return [(ch, 0.0)]
-        return [(ch, 0.5 if n > 2 else 0.3), (ch * 2, 0.2 if n == 2 else 0.5)] + ([(ch * n, 6.0)] if n > 2 else [])
+            return [[(ch, 0.0)]]
+        return [[(ch, 0.5 if n > 2 else 0.3), (ch * 2, 0.2 if n == 2 else 0.5)] + ([(ch * n, 6.0)] if n > 2 else [])]
     out: list[tuple[str, float]] = []
     if ch in STANDS_FOR:
         out += [(x * k, 1.0 + (k > 1)) for x in STANDS_FOR[ch] for k in ({1, 2} if n > 1 else {1})]
     if ch in MASKS and masked:
-        out += [(x, 3.0) for x in ALPHABET[:26]] if n == 1 else []
-        if n == 2:
-            out += [(x + y, 6.0) for x in "aeioust" for y in "aeiouscknt"]
+        # Each sign of a run hides a letter of its own; one by itself may only part letters.
+        step = [(x, 3.0) for x in ALPHABET] + ([("", 1.0)] if n == 1 else [])
+        return [step + [(x, 1.0) for x in STANDS_FOR.get(ch, "")]] * n
     if ch in SPACERS or ch in MASKS:
         out.append(("", 1.0))
-    return out or [("", 4.0)]
+    return [out or [("", 4.0)]]
 
 
 _SPACED = re.compile(r"(?<![\w'’])(?:[^\W\d_][ ]){2,}[^\W\d_](?![\w'’])|(?<![\w'’])(?:[^\W_][-._*~]){3,}[^\W_]?(?!\w)")
 _ODD = re.compile(
-    r"(?<![\w@$])(?=[^\W\d_'’]{0,24}(?:[\d@$!|*#%_€£+?(]|--|-[^\W\d_]{1,3}(?!\w)|(?<![^\W\d_])[^\W\d_]{1,3}-[^\W\d_]|([^\W\d_])\1))[\w@$!|+*#%€£()?-]*(?:[\w@$*]|[#%]{2}|--)(?![\w@$])"
+    r"(?<![\w@$])(?=[^\W\d_'’]*(?:[\d@$!|*#%_€£+?(]|--|-[^\W\d_]{1,3}(?!\w)|(?<![^\W\d_])[^\W\d_]{1,3}-[^\W\d_]|([^\W\d_])\1))[\w@$!|+*#%€£()?-]*(?:[\w@$*]|[#%]{2}|--)(?![\w@$])"
 )
 _DOUBLE = re.compile(r"([^\W\d_])\1")
 _STRETCH = re.compile(r"([^\W\d_])\1\1")
 _REPEATS = re.compile(r"(.)\1+")
 _LONG_RUN = re.compile(r"(.)\1{2,}")
-_MASK_RUN = re.compile(r"[*#%_-]{2,}")
 #: Words between equal runs of signs, which stress them.
 _STRESSED = re.compile(r"([*#%_-]+)[^*#%_-]+\1")
 
 
 def _suspicious(token: str) -> bool:
     core = token.strip("()?!-")
-    if len(core) < 2 or len(_LONG_RUN.sub(r"\1\1", core)) > 24:
+    if len(core) < 2:
         return False
     if _STRETCH.search(core) or (core.isalpha() and _DOUBLE.search(core)):
         return True
@@ -298,60 +188,41 @@ def normalise(text: str) -> str:
     return out.lower()
 
 
-def _behind_masks(core: str, model: "CharModel") -> str | None:
-    """The likeliest word that a token with a run of mask signs hides, each sign standing for a letter."""
-    if not _MASK_RUN.search(core) or _STRESSED.fullmatch(core) or not any(c.isalpha() for c in core):
-        return None
-    parts = []
-    for m in re.finditer(r"(.)\1*", core):
+def _lattice(core: str, stretched: bool) -> list[list[tuple[str, float]]]:
+    lattice = []
+    for m in re.finditer(r"(.)\1*", core, re.S):
         ch, n = m[1], len(m[0])
-        if ch in MASKS:
-            parts.append(f"[{ALPHABET}]{{{n}}}")
-        else:
-            parts.append(f"[{re.escape(ch + STANDS_FOR.get(ch, ''))}]{{1,{min(n, 2)}}}")
-    fits = re.compile("".join(parts)).fullmatch
-    found = [w for w in _MASKED if fits(w)]
-    # What is masked is offensive by itself more often than by its context.
-    return min(found, key=lambda w: (not _STRONG.count(w), w not in INSULTS, -model.log_word(w), w), default=None)
+        # Double letters count as a stretch only where letters are stretched.
+        lattice += [[(ch * 2, 0.0)]] if ch.isalpha() and n == 2 and not stretched else _choices(ch, n, True)
+    return lattice
 
 
-def _restore_token(word: str, model: "CharModel") -> tuple[str, int]:
+def _restore_token(word: str, model: CharModel) -> tuple[str, int]:
     """A written token as the word that it hides, and whether it hid one."""
     if word in model.words:
         return word, 0
     bare = word.strip("()?!")
-    behind = _behind_masks(bare, model)
-    if behind:
-        return word.replace(bare, behind), 1
-    if not _suspicious(word):
+    masked = bool(_MASK_RUN.search(bare)) and any(c.isalpha() for c in bare) and not _STRESSED.fullmatch(bare)
+    if not masked and not _suspicious(word):
         return word, 0
-    core = word.rstrip("?!-)").lstrip("(") if any(c in "!()" for c in word.strip("()?!-")) else word.strip("()?!-")
-    if core in model.words:
+    core = bare if masked else word.rstrip("?!-)").lstrip("(") if any(c in "!()" for c in word.strip("()?!-")) else word.strip("()?!-")
+    if core in model.words or _STRESSED.fullmatch(core):
         return word, 0
-    stretched = bool(_STRETCH.search(core)) or core.isalpha()
-    lattice, i = [], 0
-    while i < len(core):
-        j = i
-        while j < len(core) and core[j] == core[i]:
-            j += 1
-        k = j - i
-        # Double letters count as a stretch only where letters are stretched.
-        if core[i].isalpha() and k == 2 and not stretched:
-            lattice.append([(core[i] * 2, 0.0)])
-        else:
-            lattice.append(_choices(core[i], k, True))
-        i = j
-    readings = model.read(lattice)
-    for r in readings:
-        if r != core and r in _HIDDEN:
-            return word.replace(core, r), 1
-    if not core.isalpha() or _STRETCH.search(core):
-        for r in readings[:12]:
-            if r != core and len(r) >= 3 and r in model.words:
-                return word.replace(core, r), 0
+    lattice = _lattice(core, bool(_STRETCH.search(core)) or core.isalpha())
+    hidden = model.hidden_reading(lattice, core)
+    if hidden:
+        return word.replace(core, hidden), 1
+    # No reading is shorter than the steps that need a letter; a longer one than the longest word is none.
+    if (not core.isalpha() or _STRETCH.search(core)) and sum(all(x for x, _ in step) for step in lattice) <= model.longest:
+        best = model.best_reading(lattice)
+        if best != core and len(best) >= 3 and best in model.words:
+            return word.replace(core, best), 0
     return word, 0
 
 
+_MASK_RUN = re.compile(r"[*#%_-]{2,}")
+
+
 def restore(text: str, model: CharModel) -> tuple[str, int]:
     """The text with hidden words restored, and how many there were. The text comes out normalised."""
     text = normalise(text)
@@ -360,10 +231,11 @@ def restore(text: str, model: CharModel) -> tuple[str, int]:
     def spaced(m: re.Match) -> str:
         nonlocal n
         joined = re.sub(r"[ \-._*~]", "", m[0])
-        best = [r for r in model.read([_choices(c, 1, False) for c in joined], 30) if r in model.words or r in _HIDDEN]
-        if best:
+        lattice = [step for c in joined for step in _choices(c, 1, False)]
+        best = joined if joined in _HIDDEN else model.hidden_reading(lattice, "") or model.best_reading(lattice)
+        if best in model.words or best in _HIDDEN:
             n += 1
-            return best[0] + " " * m[0].endswith(" ")
+            return best + " " * m[0].endswith(" ")
         return m[0]
 
     def token(m: re.Match) -> str:
@@ -381,55 +253,190 @@ def restore(text: str, model: CharModel) -> tuple[str, int]:
     return _ODD.sub(token, text), n
 
 
-_HIDDEN = frozenset(HIDDEN_WORDS)
-#: The words that runs of mask signs are matched with.
-_MASKED = sorted(_HIDDEN | set("faggot faggots nigger niggers tranny fuckers fuckin shits wankers pricks".split()))
+_HIDDEN = frozenset(HIDDEN_WORDS) | frozenset("faggot faggots nigger niggers tranny fuckers fuckin shits wankers pricks".split())
+_PREFIXES = frozenset(w[:i] for w in _HIDDEN for i in range(len(w) + 1))
+_STRONG_WORD, _INSULT_WORDS = re.compile(STRONG), frozenset(INSULTS)
+
+
+# ---- the score of restored text ----------------------------------------------------------------------------------
+
+KINDS = ("abuse", "hate", "sexual")
+#: The model is fitted on passages of at most so many texts, those whose hashes come first, and as many generated sentences as the seeds give.
+SAMPLE_TEXTS = 10_000
+#: Of the passages that occur once and that the seeds say nothing about, one in so many is kept at first; others only if the first model errs on them, with the weight ``THIN``.
+THIN = 4
+SEED_WEIGHT = 0.3
+SLOTS = 1 << 18
+STEPS, RATE, DECAY, POSITIVE_WEIGHT = 40, 0.1, 1e-5, 10.0
+#: The value of the feature that every passage has; large, so that what nothing speaks for falls to the rate of the sample.
+BIAS = 5.0
+_TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+_RUNS = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+# Words by which somebody is addressed, in the languages of the texts.
+SECOND = frozenset("you your yours yourself youre you're ur tu te ti tus vous toi du dich dir dein deine deinen deinem deiner deines ihr ты тебя тебе твой твоя вы お前 貴様 تو".split())
+#: Names of groups of people are one word to the model: what is said of one group is said of any.
+_PEOPLE = re.compile(rf"\b(?:{GROUPS})\b")
+_MARKS = re.compile(r"[“„«\"「‘]")
+
+
+def tokens_of(text: str) -> list[str]:
+    """The words of a text, numbers as one word; scripts without spaces give overlapping pairs of characters."""
+    out: list[str] = []
+    for w in _TOKEN.findall(_PEOPLE.sub(" somepeople ", text)):
+        if w.isdigit():
+            out.append("0")
+        elif _RUNS.search(w):
+            out += [w[i : i + 2] for i in range(max(1, len(w) - 1))]
+        else:
+            out.append(w)
+    return out
 
 
-def passage_score(passage: str) -> dict[str, float]:
-    """The scores of a restored passage for abuse, hate and sexual content, each a probability from 0 to 1."""
+def own_text(passage: str) -> tuple[str, bool]:
+    """A passage without its lead and without what it quotes, and whether it quotes; empty if it is mostly a quotation."""
     p = _LEAD.sub("", passage)
+    if not _MARKS.search(p):
+        return ("", False) if p.strip(" .") == "" else (p, False)
     own = _QUOTED.sub(" ", p)
-    study = len({m[0] for m in _STUDY.finditer(own)})
-    if own.strip(" .") == "" or len(own) < len(p) * 0.25:
-        return {"abuse": 0.0, "hate": 0.0, "sexual": 0.0}
-    quoting = own != p
-    second = bool(_SECOND.search(own))
-    address = bool(_ADDRESS.search(own))
-    insults, strong, threats = _INSULT.count(own), _STRONG.count(own), _THREAT.count(own)
-    groups, dehuman = _GROUP.count(own), _DEHUMAN.count(own)
-    sex, trade = _SEX.count(own), _TRADE.count(own)
-    # Words of study count half where somebody is addressed.
-    damp = (1.0 if second or address else 2.0) * min(study, 3) + 1.5 * quoting
-    abuse = -4.0 - damp + (5.5 if insults and (second or address) else 2.0 * min(insults, 2)) + (5.5 if strong and (second or address) else 2.0 * min(strong, 1)) + (6.0 if threats else 0.0) + (1.5 if second and (insults + threats) else 0.0)
-    if _OTHER.count(own):
-        abuse += 7.0
-    hate = -4.5 - damp + (4.5 * min(groups, 1) * min(dehuman, 1)) * 1.3 + 1.0 * min(max(dehuman - 1, 0), 2) + (1.0 if groups and insults else 0.0)
-    if dehuman and not groups and re.search(r"\b(?:them|they|their)\b", own) and re.search(r"put them down|subhuman|vermin|sick dogs|beat them|lock them|exterminat", own):
-        hate += 6.0
-    if _OTHER_HATE.count(own):
-        hate += 7.0
-    sexual = -4.0 - damp + 5.5 * min(sex, 1) + 1.5 * min(max(sex - 1, 0), 2) + 4.2 * min(trade, 1) + 2.0 * min(max(trade - 1, 0), 2) + (1.5 if strong and sex else 0.0)
-    return {k: 1 / (1 + math.exp(-v)) for k, v in (("abuse", abuse), ("hate", hate), ("sexual", sexual))}
-
-
-def _scores(passage: str) -> bool:
-    """Whether any scoring pattern matches. Taking out a quotation joins its surroundings, so passages with one always count."""
-    own = _LEAD.sub("", passage)
-    return any(x.possible(own) and x.compiled.search(own) for x in _SCORING) or bool(_QUOTED.search(own))
-
-
-def document_score(text: str | None, model: CharModel) -> tuple[float, str, int]:
-    """The highest score of any passage, its kind (null kind ``""`` if low), and the number of restored words."""
+    return ("", True) if own.strip(" .") == "" or len(own) < len(p) * 0.25 else (own, len(own) != len(p))
+
+
+def _slot(name: str) -> int:
+    return zlib.crc32(name.encode()) % SLOTS
+
+
+def _word_slots(word: str) -> list[int]:
+    w = f"<{word}>"
+    return [_slot("w" + word)] + [_slot("g" + w[i : i + 4]) for i in range(len(w) - 3)]
+
+
+def features(own: str, quoting: bool) -> tuple[list[int], list[float]]:
+    """The slots of a passage with their values: words with their letter runs, pairs of words, words where somebody is addressed."""
+    words = tokens_of(own)
+    second = not SECOND.isdisjoint(words)
+    ids, vals = [_slot("bias")], [BIAS]
+    if quoting:
+        ids.append(_slot("quoting")), vals.append(1.0)
+    for k, w in enumerate(words):
+        slots = _word_slots(w)
+        ids += slots
+        vals += [1.0] + [1.0 / max(1, len(slots) - 1)] * (len(slots) - 1)
+        if second:
+            ids.append(_slot("s" + w)), vals.append(1.0)
+        for gap in (1, 2):
+            if k + gap < len(words):
+                ids.append(_slot(f"p{gap}{w} {words[k + gap]}")), vals.append(1.0)
+    return ids, vals
+
+
+class Scorer:
+    """A linear model for each kind over hashed features; what a word and a pair of words contribute is remembered."""
+
+    def __init__(self, weights: np.ndarray) -> None:
+        self.weights = weights
+        self.known: dict[str, tuple] = {}
+        self.words: dict[str, tuple] = {}
+        self.pairs: dict[tuple, tuple] = {}
+        self.bias = tuple((BIAS * weights[_slot("bias")]).tolist())
+        self.quoting = tuple(weights[_slot("quoting")].tolist())
+
+    def _word(self, w: str) -> tuple:
+        have = self.words.get(w)
+        if have is None:
+            if len(self.words) > 300_000:
+                self.words.clear()
+            slots = _word_slots(w)
+            base = self.weights[slots[0]] + (self.weights[slots[1:]].sum(0) / max(1, len(slots) - 1) if len(slots) > 1 else 0.0)
+            have = self.words[w] = (tuple(base.tolist()), tuple((base + self.weights[_slot("s" + w)]).tolist()))
+        return have
+
+    def _pair(self, key: tuple) -> tuple:
+        have = self.pairs.get(key)
+        if have is None:
+            if len(self.pairs) > 1_000_000:
+                self.pairs.clear()
+            have = self.pairs[key] = tuple(self.weights[_slot(f"p{key[0]}{key[1]} {key[2]}")].tolist())
+        return have
+
+    def score(self, passage: str) -> tuple[float, float, float]:
+        """The probabilities of the kinds, in the order of ``KINDS``."""
+        have = self.known.get(passage)
+        if have is None:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            have = self.known[passage] = self._score(passage)
+        return have
+
+    def _score(self, passage: str) -> tuple[float, float, float]:
+        own, quoting = own_text(passage)
+        if not own:
+            return 0.0, 0.0, 0.0
+        words = tokens_of(own)
+        if not words:
+            return 0.0, 0.0, 0.0
+        second = not SECOND.isdisjoint(words)
+        a, h, x = self.bias
+        if quoting:
+            a, h, x = a + self.quoting[0], h + self.quoting[1], x + self.quoting[2]
+        n = len(words)
+        for k, w in enumerate(words):
+            t = self._word(w)[second]
+            a, h, x = a + t[0], h + t[1], x + t[2]
+            if k + 1 < n:
+                t = self._pair((1, w, words[k + 1]))
+                a, h, x = a + t[0], h + t[1], x + t[2]
+                if k + 2 < n:
+                    t = self._pair((2, w, words[k + 2]))
+                    a, h, x = a + t[0], h + t[1], x + t[2]
+        return tuple(1 / (1 + math.exp(-max(-40.0, min(40.0, v)))) for v in (a, h, x))
+
+
+def fit_scorer(passages: list[tuple[str, tuple[float, float, float], float]]) -> np.ndarray:
+    """The weights, ``SLOTS`` by kind, of a logistic regression on passages with labels between 0 and 1 and weights."""
+    rows, ids, vals, labels, weights = [], [], [], [], []
+    for passage, y, own_weight in passages:
+        own, quoting = own_text(passage)
+        if not own:
+            continue
+        i, v = features(own, quoting)
+        rows.append(np.full(len(i), len(labels), np.int32))
+        ids.append(np.asarray(i, np.int32)), vals.append(np.asarray(v, np.float32))
+        labels.append(y), weights.append(own_weight)
+    if not labels:
+        return np.zeros((SLOTS, len(KINDS)), np.float32)
+    r, i, v = np.concatenate(rows), np.concatenate(ids), np.concatenate(vals)
+    used, i = np.unique(i, return_inverse=True)
+    y, base = np.asarray(labels), np.asarray(weights)
+    starts = np.searchsorted(r, np.arange(len(labels)))
+    w = np.zeros((len(used), len(KINDS)))
+    for k in range(len(KINDS)):
+        wk, m1, m2 = w[:, k], np.zeros(len(used)), np.zeros(len(used))
+        weight = base * np.where(y[:, k] >= 0.5, POSITIVE_WEIGHT, 1.0)
+        for t in range(1, STEPS + 1):
+            z = np.add.reduceat(v * wk[i], starts)
+            err = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[:, k])
+            g = np.bincount(i, weights=v * err[r], minlength=len(used)) / base.sum() + DECAY * wk
+            m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
+            wk -= RATE * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
+    out = np.zeros((SLOTS, len(KINDS)), np.float32)
+    out[used] = w
+    return out
+
+
+def passages_of(text: str | None, model: CharModel) -> tuple[list[str], int]:
+    """The passages of a restored text, and the number of restored words."""
     if not text or not text.strip():
-        return 0.0, "", 0
+        return [], 0
     restored, n = restore(text, model)
+    return _PASSAGE.split(restored), n
+
+
+def document_score(text: str | None, model: CharModel, scorer: Scorer) -> tuple[float, str, int]:
+    """The highest score of any passage, its kind (empty if below one half), and the number of restored words."""
+    passages, n = passages_of(text, model)
     best, kind = 0.0, ""
-    for passage in _PASSAGE.split(restored):
-        # Exact: without a match no passage beats a score that is there already.
-        if best >= FLOOR and not _scores(passage):
-            continue
-        for name, s in passage_score(passage).items():
+    for passage in passages:
+        for name, s in zip(KINDS, scorer.score(passage)):
             if s > best:
                 best, kind = s, name
     return best, kind if best >= 0.5 else "", n
@@ -440,12 +447,13 @@ WORD_SHARE = 2e-6
 
 
 def learn_model(documents: DataFrame, text: str = "text") -> CharModel:
-    """The character model of all documents: trigram counts over a fixed alphabet (a bounded table) and the words in common use."""
-    # A text that is copied counts once.
+    """The character model of all documents: trigram counts over a fixed alphabet (a bounded table) and the words in common use.
+
+    The words are counted in one pass over the texts; a text that is copied counts once.
+    """
     texts = documents.filter(F.col(text).isNotNull()).select(text).distinct()
-    words = texts.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("w")).filter(F.length("w").between(2, 24))
-    counts = cut(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
-    inside = counts.filter(F.col("w").rlike(f"^[{ALPHABET}]+$"))
+    words = texts.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("w")).filter((F.length("w") >= 2) & F.col("w").rlike(f"^[{ALPHABET}]+$"))
+    inside = cut(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
     padded = inside.select(F.concat(F.lit("^^"), "w", F.lit("$")).alias("p"), "n")
     grams = padded.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("p") - 2), lambda i: F.substring(F.col("p"), i, F.lit(3)))).alias("g"), "n")
     # The alphabet bounds the number of trigrams.
@@ -461,21 +469,65 @@ def learn_model(documents: DataFrame, text: str = "text") -> CharModel:
     return CharModel(trigrams, common)
 
 
+def labelled_sample(documents: DataFrame, model: CharModel, text: str = "text", texts: int = SAMPLE_TEXTS) -> DataFrame:
+    """``p, n, y``: the distinct passages of at most ``texts`` texts, how many texts have them, and their weak labels. The sample is bounded whatever the data."""
+    trigrams, words = model.trigrams, model.words
+
+    def run(column: pd.Series) -> pd.Series:
+        m = _worker_model(trigrams, words)
+        return pd.Series([[(p, [round(v, 3) for v in seed_label(p).values()]) for p in dict.fromkeys(passages_of(t, m)[0])] for t in column], dtype=object)
+
+    some = documents.filter(F.col(text).rlike(r"\S")).select(F.col(text).alias("t")).orderBy(F.xxhash64("t")).limit(texts)
+    label = F.pandas_udf(run, "array<struct<p:string,y:array<double>>>")
+    rows = some.repartition(2 * documents.sparkSession.sparkContext.defaultParallelism).select(F.explode(label("t")).alias("x"))
+    return cut(rows.groupBy("x.p").agg(F.count(F.lit(1)).alias("n"), F.first("x.y").alias("y")))
+
+
+def learn_scorer(documents: DataFrame, model: CharModel, text: str = "text") -> np.ndarray:
+    """The weights of the scorer, from the labelled sample and the seed sentences; a second fit adds what the first one gets wrong."""
+    sample = labelled_sample(documents, model, text)
+    telling = F.array_max("y") >= 0.1
+    first = telling | (F.col("n") > 1) | (F.pmod(F.xxhash64("p"), F.lit(THIN)) == 0)
+    rows = sorted((r["p"], tuple(r["y"]), 1 + math.log(r["n"])) for r in sample.filter(first).collect())
+    weights = fit_scorer(rows + seeds())
+    run = _score_with(model.trigrams, model.words, weights, False)
+    wrong = sample.filter(~first).select("p", "y", F.pandas_udf(run, "struct<score:double,kind:string,restored_words:int>")("p").alias("s")).filter("s.score > 0.2").select("p", "y").collect()
+    if not wrong:
+        return weights
+    return fit_scorer(sorted(rows + [(r["p"], tuple(r["y"]), float(THIN)) for r in wrong]) + seeds())
+
+
+def seeds() -> list[tuple[str, tuple[float, float, float], float]]:
+    """The generated sentences with their labels. Half of them are abusive, so they weigh less than passages of the sample, which set the rate."""
+    return [(s, tuple(y[k] for k in KINDS), SEED_WEIGHT) for s, y in seed_sentences() + pattern_sentences()]
+
+
 def score_documents(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, score, kind, restored_words`` for every row; ``kind`` is abuse, hate or sexual, null below one half.
 
     Null, empty and blank texts score 0. Every passage of a text counts, whatever its length. Repeated rows are scored each.
     """
     model = learn_model(documents, text)
-    trigrams, words = model.trigrams, model.words
+    run = _score_with(model.trigrams, model.words, learn_scorer(documents, model, text))
+    scored = parallel(documents.select(key, text), key).select(key, F.pandas_udf(run, "struct<score:double,kind:string,restored_words:int>")(text).alias("s"))
+    return scored.select(key, F.round("s.score", 6).alias("score"), "s.kind", "s.restored_words")
+
+
+def _score_with(trigrams: dict[str, float], words: set[str], weights: np.ndarray, whole: bool = True) -> Callable[[pd.Series], pd.DataFrame]:
+    """What scores a batch of texts, or of restored passages if not ``whole``."""
+    used = np.nonzero(weights.any(1))[0]
+    compact, mark = weights[used], float(np.abs(weights).sum())
 
     def run(texts: pd.Series) -> pd.DataFrame:
         m = _worker_model(trigrams, words)
-        rows = [document_score(t, m) for t in texts]
+        if getattr(m, "mark", None) != mark:
+            full = np.zeros((SLOTS, len(KINDS)), np.float32)
+            full[used] = compact
+            m.scorer, m.mark = Scorer(full), mark
+        rows = [document_score(t, m, m.scorer) if whole else (max(m.scorer.score(t)), "", 0) for t in texts]
         return pd.DataFrame({"score": [r[0] for r in rows], "kind": [r[1] or None for r in rows], "restored_words": [r[2] for r in rows]})
 
-    scored = documents.select(key, F.pandas_udf(run, "struct<score:double,kind:string,restored_words:int>")(text).alias("s"))
-    return scored.select(key, F.round("s.score", 6).alias("score"), "s.kind", "s.restored_words")
+    return run
 
 
 _MODELS: list[tuple[int, CharModel]] = []

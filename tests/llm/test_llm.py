@@ -56,8 +56,30 @@ def test_undated_rows_are_placed_by_learned_order(spark):
     assert got[9] == 91 and got[1] == 11
 
 
-def test_circular_votes_are_undone():
-    assert survivor.class_order([("a", "b", 5), ("b", "c", 4), ("c", "a", 1)]) == {"a": 0, "b": 1, "c": 2}
+def test_removed_dates_are_made_up_for(spark):
+    rnd = random.Random(11)
+    rows, best = [], {}
+    steps = [("10.1234/px.", "https://repo.example/"), ("10.1234/jhl.", "https://journal.example/"), ("10.5678/fin.", "https://final.example/")]
+    for g in range(120):
+        k = rnd.randrange(2, 4)
+        for i in range(k):
+            doi, url = steps[i]
+            # Every third date is missing.
+            day = None if rnd.random() < 0.33 else f"2024-0{i + 1}-{rnd.randrange(10, 28)}"
+            rows.append((g * 10 + i, "t", None, f"{url}{g}.pdf", None, f"{doi}{g}", day))
+        best[g] = g * 10 + k - 1
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "row_id long, title string, abstract string, oa_url string, year string, doi string, date string").withColumn("loaded_at", F.to_timestamp(F.lit("2024-05-01")))
+    m = spark.createDataFrame([(r[0] // 10, r[0]) for r in rows], "group_id long, row_id long")
+    got = survivor.best_values(m, df).collect()
+    assert len(got) == 240
+    assert sum(r["row_id"] == best[r["group_id"]] for r in got) / len(got) >= 0.98
+
+
+def test_circular_precedence_is_none(spark):
+    rows = [(g, f, k, d) for g, (ks) in enumerate([("a", "b"), ("b", "c"), ("c", "a")] * 3) for f in ["doi"] for d, k in enumerate(ks)]
+    nodes = spark.createDataFrame([(g, f, k, f"2024-01-0{d + 1}") for g, f, k, d in rows], "group_id long, field_name string, kind string, d string").withColumn("last_day", F.to_date("d"))
+    assert survivor.learn_precedence(nodes, "group_id").count() == 0
 
 
 # ---- chunks ----
@@ -142,6 +164,25 @@ def test_packing_keeps_all_and_overfills_none(spark):
     assert packing.pack(df.limit(0), 100, "doc_id", "tokens").count() == 0
 
 
+def test_evolution_beats_best_fit_decreasing():
+    rnd = random.Random(12)
+    won = 0
+    for seed in range(6):
+        # Triplets that fill a bin exactly: hard for best fit.
+        sizes = []
+        for _ in range(40):
+            a = rnd.randrange(380, 495)
+            b = rnd.randrange(250, 1000 - a - 250 + 1)
+            sizes += [a, b, 1000 - a - b]
+        plain = packing.best_fit(packing.decreasing(list(range(120)), sizes), sizes, 1000)
+        pop = packing.evolve(sizes, 1000, seed, generations=300)
+        best = pop[0]
+        assert sorted(i for b in best for i in b) == list(range(120)) and all(sum(sizes[i] for i in b) <= 1000 for b in best)
+        assert packing.fitness(best, sizes, 1000) > packing.fitness(plain, sizes, 1000) and len(best) <= len(plain)
+        won += len(best) < len(plain)
+    assert won
+
+
 # ---- linkage ----
 
 
@@ -200,17 +241,60 @@ def test_abuse_scores(spark):
     assert rates == {"s": (7, 3), None: (8, 3)}
 
 
-def test_no_passage_is_left_unscored():
-    model = abuse.CharModel({}, set())
-    bad = ["Migrants must be exterminated.", "Immigrants must be locked up.", "Refugees must be sterilised.", "Wipe out the muslims, they are wiped out.", "You are retarded.", "He was thrusting into her.", "Va te faire foutre."]
+def seeds_only():
+    return abuse.Scorer(abuse.fit_scorer(abuse.seeds()))
+
+
+def test_unseen_wording_scores():
+    model, scorer = abuse.CharModel({}, set()), seeds_only()
+    bad = ["Those people should all be gassed.", "I will hurt your family tonight.", "People from that country are scum by birth.", "Somebody ought to burn your house down with you in it.", "Refugees ought to be drowned, all of them."]
+    good = ["The mice were gassed after four weeks.", "We will review your manuscript tonight.", "Refugees ought to be interviewed, all of them.", "People from that country are older on average.", "This paper is nonsense, frankly."]
     for t in bad:
-        assert abuse.document_score(t, model)[0] >= 0.5, t
-    rnd = random.Random(5)
-    words = sorted({w for x in abuse._SCORING for w in abuse.re.findall(r"[^\W\d_]{2,}", x.pattern)}) + ["you", "“", "”", "the", "study", "reported", "in", "them"]
-    for _ in range(3000):
-        t = " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 7)))
-        passages = abuse._PASSAGE.split(abuse.restore(t, model)[0])
-        assert abuse.document_score(t, model)[0] == max(max(abuse.passage_score(p).values()) for p in passages), t
+        assert abuse.document_score(t, model, scorer)[0] >= 0.5, t
+    for t in good:
+        assert abuse.document_score(t, model, scorer)[0] < 0.5, t
+    # A quotation is not the passage's own wording.
+    assert abuse.document_score("“Those people should all be gassed.”", model, scorer)[0] == 0.0
+
+
+def test_cached_scores_equal_the_plain_sum():
+    import numpy as np
+
+    scorer, rnd = seeds_only(), random.Random(5)
+    words = sorted({w for x, _ in abuse.seed_sentences(400) for w in x.split()}) + ["死ね死ね", "“", "”", "тебя", "3d"]
+    for _ in range(300):
+        p = " ".join(rnd.choice(words) for _ in range(rnd.randrange(0, 9)))
+        own, quoting = abuse.own_text(p)
+        if not abuse.tokens_of(own):
+            assert scorer.score(p) == (0.0, 0.0, 0.0)
+            continue
+        i, v = abuse.features(own, quoting)
+        z = (scorer.weights[i] * np.asarray(v)[:, None]).sum(0)
+        assert all(abs(a - 1 / (1 + abuse.math.exp(-b))) < 1e-4 for a, b in zip(scorer.score(p), z)), p
+
+
+def test_decoding_is_exact():
+    """The Viterbi passes against all readings of small lattices."""
+    from itertools import product
+
+    rnd = random.Random(9)
+    model = abuse.CharModel({rnd.choice("^abdehiost") + rnd.choice("abdehiost") + rnd.choice("abdehiost$"): float(rnd.randrange(1, 50)) for _ in range(400)}, set())
+    for _ in range(60):
+        lattice = [[(x, rnd.random() * 3) for x in rnd.sample(["a", "b", "d", "i", "o", "s", "t", "", "h"], 3)] for _ in range(rnd.randrange(1, 6))]
+        readings = {}
+        for path in product(*lattice):
+            t = "".join(x for x, _ in path)
+            readings[t] = max(readings.get(t, -1e9), model._extended("", t + "$") - sum(c for _, c in path))
+        best = max(readings.values())
+        assert abs(readings[model.best_reading(lattice)] - best) < 1e-9
+        hidden = {t for t in readings if t in abuse._HIDDEN}
+        assert (model.hidden_reading(lattice, "") in hidden) if hidden else model.hidden_reading(lattice, "") is None
+
+
+def test_long_disguised_words_are_restored():
+    model = abuse.CharModel({}, set())
+    assert abuse.restore("you m0therfu" + "c" * 20 + "ker", model) == ("you motherfucker", 1)
+    assert abuse.restore("you " + "-".join("motherfucker"), model)[0] == "you motherfucker"
 
 
 def test_runs_of_masks_and_long_stretches_are_restored():
@@ -218,7 +302,7 @@ def test_runs_of_masks_and_long_stretches_are_restored():
     for text, word in [("f*** you", "fuck"), ("f***ing hell", "fucking"), ("you wh**e", "whore"), ("you b****", "bitch"), ("f### you", "fuck"), ("a--hole", "asshole"), ("you n*****", "nigger"), ("you idi" + "o" * 30 + "t", "idiot"), ("b" + "i" * 15 + "t" * 15 + "ch", "bitch")]:
         assert word in abuse.restore(text, model)[0].split(), text
     assert abuse.restore("you s**t", model)[0] in ("you shit", "you slut") and abuse.restore("you s***", model)[0] in ("you shit", "you slut")
-    assert abuse.document_score("f*** you", model)[0] >= 0.5
+    assert abuse.document_score("f*** you", model, seeds_only())[0] >= 0.5
     for text in ["**i** think", "0.05***", "women--and others", "__x__", "***"]:
         assert abuse.restore(text, model) == (text, 0)
 
