@@ -2,35 +2,36 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from reviewlake.functions.lazy import arrow_udf
 from reviewlake.functions.text import canonical_doi, nonblank, normalize_span, strip
 
 STATUSES = ("met", "not_met", "unclear", "not_reported")
-# The criteria, those evaluated from metadata, and the coherence rules as (if, is, then, must not be).
+# The criteria by their short names, and the coherence rules as (if, is, then, and what that must or must not be, and the text of the error).
 INCLUSION, EXCLUSION = ("I1", "I2", "I3", "I4", "I5"), ("E1", "E2", "E3", "E4", "E5", "E6")
 COHERENCE_RULES = (
-    ("E1", "met", "I1", ("not_met", "not_reported"), True),
-    ("E3", "met", "I2", ("not_met", "not_reported"), True),
-    ("E4", "met", "I2", ("not_met", "not_reported"), True),
-    ("E2", "met", "I4", ("met",), False),
-    ("I4", "met", "I1", ("not_met",), False),
+    ("E1_NO_ACTIONABLE_TECHNIQUE", "met", "I1_PROMPT_TECHNIQUE", ("not_met", "not_reported"), True, "E1 requires I1_PROMPT_TECHNIQUE to be not_met or not_reported"),
+    ("E3_BENCHMARK_ONLY", "met", "I2_REPRODUCIBLE", ("not_met", "not_reported"), True, "E3 requires I2_REPRODUCIBLE to be not_met or not_reported"),
+    ("E4_APPLICATION_WITHOUT_PROMPT_DETAIL", "met", "I2_REPRODUCIBLE", ("not_met", "not_reported"), True, "E4 requires I2_REPRODUCIBLE to be not_met or not_reported"),
+    ("E2_MODEL_TRAINING_ONLY", "met", "I4_PRACTITIONER", ("met",), False, "E2 requires I4_PRACTITIONER to be different from met"),
+    ("I4_PRACTITIONER", "met", "I1_PROMPT_TECHNIQUE", ("not_met",), False, "I4 requires I1_PROMPT_TECHNIQUE to be different from not_met"),
 )
 ENGLISH = ("en", "eng", "english")
 # Error classes in order of precedence, by version: (any of these substrings, class).
+_GROUNDING = (("quote", "evidence"), "quote/evidence grounding")
+_TAIL = ((("schema",), "schema"), (("order/coverage",), "criterion order/coverage"), (("status is invalid",), "status"), (("fields are invalid",), "field shape"), (("reason",), "reason"))
 TAXONOMIES: dict[str, tuple[tuple[tuple[str, ...], str], ...]] = {
-    "v1": ((("requires evidence",), "missing_evidence"), (("duplicate json key",), "duplicate_key"), (("quote",), "grounding"), (("coherence", "requires i"), "coherence"), (("schema",), "schema"), (("order", "coverage"), "order_coverage"), (("fields are invalid",), "fields"), (("status is invalid",), "status"), (("evidence must", "evidence forbids"), "evidence_shape"), (("reason",), "reason")),
-    "v2": ((("requires evidence",), "missing_evidence"), (("coherence", "requires i"), "coherence"), (("quote", "evidence"), "grounding"), (("schema",), "schema"), (("order", "coverage"), "order_coverage"), (("status",), "status"), (("fields",), "fields"), (("reason",), "reason")),
-    "v3": ((("quote found in ",), "source_label"), (("requires evidence",), "missing_evidence"), (("coherence", "requires i"), "coherence"), (("quote", "evidence"), "grounding"), (("schema",), "schema"), (("order", "coverage"), "order_coverage"), (("status",), "status"), (("fields",), "fields"), (("reason",), "reason")),
-    "terminal": ((("requires evidence",), "missing_evidence"), (("quote found in ",), "source_label"), (("quote", "evidence"), "grounding"), (("coherence",), "coherence"), (("technical:",), "technical"), (("schema",), "schema")),
-}
-ITEM = "struct<id:string,status:string,evidence:array<struct<source:string,quote:string>>,reason:string>"
-ASSESSMENT = T.StructType().add("case_id", T.StringType()).add("criteria", T.ArrayType(T.StructType().add("id", T.StringType()).add("status", T.StringType()).add("evidence", T.ArrayType(T.StructType().add("source", T.StringType()).add("quote", T.StringType()))).add("reason", T.StringType())))
+    "v1": (
+        (("requires evidence",), "requires evidence"), (("duplicate json key",), "duplicate JSON key"), (("quote",), "quote/evidence grounding"), (("coherence", "requires i"), "coherence"), (("schema",), "schema"), (("order/coverage",), "criterion order/coverage"),
+        (("fields are invalid",), "field shape"), (("status is invalid",), "status"), (("evidence must", "evidence forbids"), "evidence shape"), (("reason",), "reason"),
+    ),
+    "v2": ((("requires evidence",), "requires evidence"), (("coherence", "requires i"), "coherence"), _GROUNDING, *_TAIL),
+    "v3": ((("quote found in ",), "source-label mismatch"), (("requires evidence",), "requires evidence"), (("coherence", "requires i"), "coherence"), _GROUNDING, *_TAIL),
+    "terminal": ((("requires evidence",), "requires-evidence"), (("quote found in ",), "source-label mismatch"), (("quote", "evidence"), "grounding"), (("coherence", "requires i"), "coherence"), (("technical:",), "technical"), (("schema",), "schema")),
+}
+OTHER_ERROR = "other validation"
 
 
 # ---- one assessment ----------------------------------------------------------------------------------------------
@@ -45,10 +46,9 @@ def coherence_errors(criteria: Column) -> Column:
     """The broken implications between criteria, only where all statuses are valid and both items are there."""
     valid = F.forall(criteria, lambda x: x["status"].isin(*STATUSES))
     out = []
-    for a, is_, b, others, must in COHERENCE_RULES:
+    for a, is_, b, others, must, what in COHERENCE_RULES:
         sa, sb = status_of(criteria, a), status_of(criteria, b)
         bad = (sa == is_) & (~sb.isin(*others) if must else sb.isin(*others))
-        what = f"coherence: {a} {is_} requires {b} in {'/'.join(others)}" if must else f"coherence: {a} {is_} requires {b} not {'/'.join(others)}"
         out.append(F.when(valid & sa.isNotNull() & sb.isNotNull() & bad, F.lit(what)))
     return F.filter(F.array(*out), lambda x: x.isNotNull())
 
@@ -82,71 +82,18 @@ def route(criteria: Column, valid: Column, allowlist: tuple[str, ...] = ()) -> C
 
 
 def accepted(category: Column, complete: Column, errors: Column, fails: Column, route_: Column, expected: Column) -> Column:
-    """The acceptance oracle by category; null for coverage cases."""
+    """The acceptance oracle by category; null for coverage cases and unknown categories."""
     broken = ~complete | (F.size(errors) > 0)
     return (
-        F.when(category.startswith("coverage"), F.lit(None).cast("boolean"))
-        .when(category == "holdout_exclude", (F.size(F.filter(errors, lambda e: e.startswith("coherence"))) == 0) & (route_ != "include"))
-        .when(broken, F.lit(False))
-        .when(category == "known_false_positive", F.arrays_overlap(fails, expected))
-        .when(category == "known_true_positive", (F.size(fails) == 0) & route_.isin("include", "needs_manual"))
+        F.when(category.startswith("state_coverage"), F.lit(None).cast("boolean"))
+        .when(category == "holdout_exclude", ~F.exists(errors, lambda e: e.startswith("coherence")) & (route_ != "include"))
+        .when(category.isin("known_reasoner_false_positive", "known_chat_low_score_true_positive", "holdout_include") & broken, F.lit(False))
+        .when(category == "known_reasoner_false_positive", F.arrays_overlap(fails, expected))
+        .when(category == "known_chat_low_score_true_positive", (F.size(fails) == 0) & route_.isin("include", "needs_manual"))
         .when(category == "holdout_include", F.size(fails) == 0)
     )
 
 
-def validation_errors_of(item: dict, sources: dict[str, str], norm) -> list[str]:
-    """The errors of one criterion item against the sources of its case."""
-    ident, errors = item.get("id"), []
-    status, evidence = item.get("status"), item.get("evidence")
-    if status not in STATUSES:
-        errors.append(f"{ident}: status is invalid")
-    if evidence is None:
-        errors.append(f"{ident}: evidence must be an array")
-        evidence = []
-    if status == "not_reported" and len(evidence):
-        errors.append(f"{ident}: not_reported evidence forbids quotes")
-    if status in ("met", "not_met", "unclear") and not len(evidence):
-        errors.append(f"{ident}: {status} requires evidence")
-    for k, e in enumerate(evidence):
-        src, quote = e.get("source"), (e.get("quote") or "").strip()
-        if src not in sources:
-            errors.append(f"{ident}: evidence {k} source is invalid")
-        elif not quote:
-            errors.append(f"{ident}: evidence {k} quote is empty")
-        elif "..." in quote or "…" in quote:
-            errors.append(f"{ident}: evidence {k} quote has an ellipsis")
-        elif norm(quote) not in norm(sources[src]):
-            other = next((s for s, t in sources.items() if s != src and norm(quote) in norm(t)), None)
-            errors.append(f"{ident}: evidence {k} quote found in {other}, declared {src}" if other else f"{ident}: evidence {k} quote not found in {src}")
-    if not (item.get("reason") or "").strip():
-        errors.append(f"{ident}: reason is empty")
-    return errors
-
-
-def _span(text: str) -> str:
-    import re
-    import unicodedata
-
-    out = unicodedata.normalize("NFKC", text).casefold().translate(str.maketrans("‘’‚‛“”„‟", "''''\"\"\"\""))
-    return " ".join(re.sub(r"\\([%&_#])", r"\1", out).replace("~", " ").split())
-
-
-@arrow_udf("array<string>")
-def validate(criteria: pd.Series, sources: pd.Series, expected: pd.Series) -> pd.Series:
-    """The ordered errors of assessments: coverage and order of the criteria, then those of each item. Columns: items, sources of the case, expected ids."""
-    out = []
-    for items, srcs, ids in zip(criteria, sources, expected):
-        if items is None:
-            out.append(["schema: criteria are missing"])
-            continue
-        by = {s["source"]: s["text"] or "" for s in srcs}
-        errors = [] if [i["id"] for i in items] == list(ids) else ["criteria order or coverage is wrong"]
-        for i in items:
-            errors += validation_errors_of(i, by, _span)
-        out.append(errors)
-    return pd.Series(out, dtype=object)
-
-
 def quote_in_source(quote: Column, text: Column) -> Column:
     """Whether the normalised quote, not empty, is in the normalised text."""
     q = normalize_span(quote)
@@ -154,14 +101,14 @@ def quote_in_source(quote: Column, text: Column) -> Column:
 
 
 def error_class(error: Column, version: str = "v3") -> Column:
-    """The class of an error: the first rule of the version that matches, else other."""
+    """The class of an error: the first rule of the version that matches, else another validation error."""
     low = F.lower(error)
-    out = F.lit("other")
+    out = F.lit(OTHER_ERROR)
     for needles, name in reversed(TAXONOMIES[version]):
         hit = F.lit(False)
         for n in needles:
             hit = hit | F.contains(low, F.lit(n))
-        if name == "source_label":
+        if name == "source-label mismatch":
             hit = hit & F.contains(low, F.lit("declared "))
         out = F.when(hit, name).otherwise(out)
     return out
@@ -253,18 +200,19 @@ def simulate_allowlist(rows: DataFrame, allowlist: tuple[str, ...]) -> DataFrame
 
 
 def pair_summaries(rows: DataFrame, replicates: tuple[str, ...] = ("a", "b")) -> DataFrame:
-    """Cases with their replicates put together: complete, valid, observed (union) and reproduced (intersection) hard fails.
+    """Cases with their replicates put together: complete, valid (complete and all valid), observed (union) and, of valid ones, reproduced (intersection) hard fails.
 
     ``identity_type, case_id, bloc, complete, valid, human_label, observed, reproduced, identical``.
     """
     mine = rows.filter(F.col("replicate").isin(*replicates))
     # One row per replicate comes in, so the lists have at most as many entries as there are replicates.
     one = mine.groupBy("identity_type", "case_id", "bloc").agg(F.array_sort(F.collect_list(F.struct("replicate", "hard_fails"))).alias("rs"), F.bool_and("valid").alias("valid"), F.max("human_label").alias("human_label"))
-    sets = F.transform("rs", lambda r: r["hard_fails"])
+    sets = F.transform("rs", lambda r: F.array_sort(r["hard_fails"]))
     observed = F.array_sort(F.array_distinct(F.flatten(sets)))
     complete = F.size("rs") == len(replicates)
-    reproduced = F.when(complete, F.array_sort(F.aggregate(sets, observed, lambda acc, x: F.array_intersect(acc, x)))).otherwise(F.array().cast("array<string>"))
-    return one.select("identity_type", "case_id", "bloc", complete.alias("complete"), "valid", "human_label", observed.alias("observed"), reproduced.alias("reproduced"), (complete & (F.size(observed) == F.size(reproduced))).alias("identical"))
+    valid = complete & F.col("valid")
+    reproduced = F.when(valid, F.array_sort(F.aggregate(sets, observed, lambda acc, x: F.array_intersect(acc, x)))).otherwise(F.array().cast("array<string>"))
+    return one.select("identity_type", "case_id", "bloc", complete.alias("complete"), valid.alias("valid"), "human_label", observed.alias("observed"), reproduced.alias("reproduced"), (complete & (F.size(F.array_distinct(sets)) == 1)).alias("identical"))
 
 
 def stability(pairs: DataFrame) -> DataFrame:

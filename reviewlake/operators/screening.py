@@ -104,40 +104,86 @@ def dropzone_status(candidates: DataFrame, files: DataFrame, key: str = "row_id"
 
 #: Fields of a structured query by source: required ones, optional ones, and the mode.
 CONTRACTS: Mapping[str, tuple[tuple[str, ...], tuple[str, ...], str]] = {
-    "openalex": (("query_mode", "search"), ("filter", "sort", "max_results"), "search"),
-    "pubmed": (("query_mode", "term"), ("max_results",), "pubmed"),
-    "eric": (("query_mode", "search"), ("fields", "max_results"), "eric"),
+    "openalex": (("query_mode", "search"), ("filter",), "search"),
+    "pubmed": (("query_mode", "term"), (), "pubmed"),
+    "eric": (("query_mode", "search"), ("sort",), "eric"),
 }
 
 
 def query_errors(query: object, source: str) -> list[str]:
-    """What is wrong with a structured query; empty if it holds."""
+    """What is wrong with a structured query; empty if it holds. Plain strings are refused."""
     if source not in CONTRACTS:
         return [f"unknown source {source}"]
     if not isinstance(query, dict):
         return ["query must be an object"]
     required, optional, mode = CONTRACTS[source]
     errors = [f"missing {k}" for k in required if k not in query]
-    errors += [f"unknown {k}" for k in query if k not in required and k not in optional]
-    if query.get("query_mode") != mode:
+    errors += [f"unknown {k}" for k in sorted(map(str, set(query) - {*required, *optional}))]
+    if "query_mode" in query and query["query_mode"] != mode:
         errors.append(f"query_mode must be {mode}")
-    errors += [f"{k} must be a non-blank string" for k in required[1:] if k in query and not (isinstance(query[k], str) and query[k].strip())]
-    return errors
+    return errors + [f"{k} must be a non-blank string" for k in (*required[1:], *optional) if k in query and not (isinstance(query[k], str) and query[k].strip())]
+
+
+def prepared_query(query: dict, source: str) -> dict:
+    """The mode and the parameters of a query that holds, as they are given; raises ValueError for others."""
+    errors = query_errors(query, source)
+    if errors:
+        raise ValueError(f"{source}: {'; '.join(errors)}")
+    return {"query_mode": query["query_mode"], "params": {k: v for k, v in query.items() if k != "query_mode"}}
+
+
+def query_contract_errors(query: Column, source: str) -> Column:
+    """The same of JSON texts, as an array of texts in the JVM; null for a null query."""
+    required, optional, mode = CONTRACTS[source]
+    keys = F.json_object_keys(query)
+    value = lambda k: F.get_json_object(query, f"$.{k}")
+    # A string member comes with its quotes as a raw value.
+    text = lambda k: F.from_json(query, "map<string,string>")[k]
+    held = lambda k: F.array_contains(keys, k)
+    quoted = lambda k: query.rlike(rf'"{k}"\s*:\s*"')
+    found = [F.when(~held(k), F.lit(f"missing {k}")) for k in required]
+    extra = F.transform(F.array_sort(F.array_except(keys, F.array(*[F.lit(k) for k in (*required, *optional)]))), lambda k: F.concat(F.lit("unknown "), k))
+    after = [F.when(held("query_mode") & ~(quoted("query_mode") & F.coalesce(value("query_mode") == mode, F.lit(False))), F.lit(f"query_mode must be {mode}"))]
+    after += [F.when(held(k) & ~(quoted(k) & F.coalesce(F.trim(text(k)) != "", F.lit(False))), F.lit(f"{k} must be a non-blank string")) for k in (*required[1:], *optional)]
+    some = lambda xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
+    return F.when(query.isNull(), None).when(keys.isNull(), F.array(F.lit("query must be an object"))).otherwise(F.concat(some(found), extra, some(after)))
 
 
 def plan_errors(sources: list[dict]) -> list[str]:
-    """What is wrong with a source plan: at least one, known, unique, with a reason and a query that holds."""
-    if not sources:
+    """What is wrong with a source plan: at least one, known, unique, with a reason and a structured query of its mode."""
+    if not isinstance(sources, list) or not sources:
         return ["at least one source is needed"]
-    names = [s.get("source") for s in sources]
-    errors = [f"{n} is named twice" for n in sorted({n for n in names if names.count(n) > 1}, key=str)]
-    for s in sources:
+    errors, seen = [], set()
+    for number, s in enumerate(sources, 1):
+        if not isinstance(s, dict):
+            errors.append(f"source {number} must be an object")
+            continue
+        name = s.get("source")
+        if name not in CONTRACTS:
+            errors.append(f"unknown source {name}")
+            continue
+        if name in seen:
+            errors.append(f"{name} is named twice")
+        seen.add(name)
         if not (isinstance(s.get("reason"), str) and s["reason"].strip()):
-            errors.append(f"{s.get('source')} needs a reason")
-        errors += query_errors(s.get("query"), s.get("source"))
+            errors.append(f"{name} needs a reason")
+        if not isinstance(s.get("query"), dict):
+            errors.append(f"{name} needs a structured query")
+        elif s["query"].get("query_mode") != CONTRACTS[name][2]:
+            errors.append(f"{name}: query_mode must be {CONTRACTS[name][2]}")
     return errors
 
 
+def payload_errors(payload: object) -> list[str]:
+    """What is wrong with a review payload: an object with a slug (no blanks, no slashes) and a source plan."""
+    if not isinstance(payload, dict):
+        return ["payload must be an object"]
+    slug = payload.get("id")
+    if not isinstance(slug, str) or not slug or any(c in slug for c in " /\\"):
+        return [f"invalid slug {slug!r}"]
+    return plan_errors(payload.get("sources"))
+
+
 def result_errors(result: object) -> list[str]:
     """What is wrong with a connector result (records, expected count, status, reason)."""
     if not (isinstance(result, tuple) and len(result) == 4):

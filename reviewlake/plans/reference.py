@@ -373,9 +373,9 @@ g AS (SELECT identity_type, case_id, bloc, replicate, coalesce(list_sort(list(DI
   WHERE stage IN ('screen_title_abstract', 'screen_fulltext', 'extract') GROUP BY 1, 2, 3, 4),
 a AS (SELECT identity_type, case_id, bloc, replicate, hard_fails, errors, len(errors) = 0 AS valid, coalesce(human_label, '(missing)') AS human_label,
   CASE WHEN len(errors) > 0 THEN 'invalid_assessment' WHEN len(hard_fails) > 0 OR unclear > 0 THEN 'needs_manual' ELSE 'include' END AS route FROM g LEFT JOIN lab USING (identity_type, case_id)),
-p0 AS (SELECT identity_type, case_id, bloc, count(*) = 2 AS complete, bool_and(valid) AS valid, max(human_label) AS human_label, list_sort(list_distinct(flatten(list(hard_fails)))) AS observed, list(hard_fails) AS sets FROM a WHERE replicate IN ('a', 'b') GROUP BY 1, 2, 3),
-p1 AS (SELECT *, CASE WHEN complete THEN list_sort(list_filter(observed, lambda x: len(list_filter(sets, lambda s: list_contains(s, x))) = len(sets))) ELSE []::VARCHAR[] END AS reproduced FROM p0),
-p AS (SELECT identity_type, case_id, bloc, complete, valid, human_label, observed, reproduced, complete AND len(observed) = len(reproduced) AS identical FROM p1)
+p0 AS (SELECT identity_type, case_id, bloc, count(*) = 2 AS complete, count(*) = 2 AND bool_and(valid) AS valid, max(human_label) AS human_label, list_sort(list_distinct(flatten(list(hard_fails)))) AS observed, list(list_sort(hard_fails)) AS sets FROM a WHERE replicate IN ('a', 'b') GROUP BY 1, 2, 3),
+p1 AS (SELECT *, CASE WHEN valid THEN list_sort(list_filter(observed, lambda x: len(list_filter(sets, lambda s: list_contains(s, x))) = len(sets))) ELSE []::VARCHAR[] END AS reproduced FROM p0),
+p AS (SELECT identity_type, case_id, bloc, complete, valid, human_label, observed, reproduced, complete AND len(list_distinct(sets)) = 1 AS identical FROM p1)
 """
 query("assessments", _ASSESS + "SELECT * FROM a")(_a)
 query(
@@ -398,8 +398,8 @@ def _taxonomy_sql(version: str) -> str:
     whens = []
     for needles, name in cr.TAXONOMIES[version]:
         cond = " OR ".join(f"contains(lower(e), '{n}')" for n in needles)
-        whens.append(f"WHEN ({cond})" + (" AND contains(lower(e), 'declared ')" if name == "source_label" else "") + f" THEN '{name}'")
-    return _ASSESS + f"SELECT CASE {' '.join(whens)} ELSE 'other' END AS error_class, count(*) AS n FROM (SELECT unnest(errors) AS e FROM a) GROUP BY 1"
+        whens.append(f"WHEN ({cond})" + (" AND contains(lower(e), 'declared ')" if name == "source-label mismatch" else "") + f" THEN '{name}'")
+    return _ASSESS + f"SELECT CASE {' '.join(whens)} ELSE 'other validation' END AS error_class, count(*) AS n FROM (SELECT unnest(errors) AS e FROM a) GROUP BY 1"
 
 
 for _v in cr.TAXONOMIES:

@@ -49,12 +49,14 @@ class RateLimit:
 
     per_second: float = 3.0
     last: float = field(default=-1e9)
+    now: Callable[[], float] = time.monotonic
+    sleep: Callable[[float], None] = time.sleep
 
-    def wait(self, now: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
-        gap = 1.0 / self.per_second - (now() - self.last)
+    def wait(self) -> None:
+        gap = 1.0 / self.per_second - (self.now() - self.last)
         if gap > 0:
-            sleep(gap)
-        self.last = now()
+            self.sleep(gap)
+        self.last = self.now()
 
 
 def redact(message: str, secrets: list[str]) -> str:
@@ -98,9 +100,9 @@ def works_record(item: dict) -> dict[str, str]:
     }
 
 
-def scan_works(transport: Transport, query: dict, sleep: Callable[[float], None] = time.sleep) -> tuple[list[dict], int | None, str, str]:
+def scan_works(transport: Transport, query: dict, limit: object = None, sleep: Callable[[float], None] = time.sleep) -> tuple[list[dict], int | None, str, str]:
     """Records, expected count, state and reason of a works search, page by page up to the limit."""
-    limit = limit_of(query.get("max_results"))
+    limit = HARD_LIMIT if limit is None else limit_of(limit)
     rows: list[dict] = []
     expected: int | None = None
     cursor: str | None = None
@@ -140,10 +142,10 @@ def scan_works(transport: Transport, query: dict, sleep: Callable[[float], None]
 
 
 def recorded(folder: str) -> Transport:
-    """A transport over recorded pages: ``page-<n>.json``, or ``batch-<n>`` files."""
+    """A transport over recorded answers: ``page-<n>.json``, or ``search.json`` and ``batch-<n>.xml``."""
 
     def get(params: dict) -> tuple[int, str]:
-        name = f"page-{params.get('page', 1)}.json" if "batch" not in params else f"batch-{params['batch']}.xml"
+        name = f"batch-{params['batch']}.xml" if "batch" in params else "search.json" if params.get("step") == "search" else f"page-{params.get('page', 1)}.json"
         path = os.path.join(folder, name)
         if not os.path.exists(path):
             return 404, ""
@@ -160,132 +162,248 @@ class Pages(InputPartition):
     number: int
 
 
-class WorksReader(DataSourceReader):
-    """Reads the recorded pages of a works search."""
+EMAIL_NEEDED, NO_COUNT, NO_HISTORY = "an email address is needed", "missing_or_invalid_expected_count", "missing_history_parameters"
 
-    def __init__(self, options: dict) -> None:
-        self.options = options
+
+def scan_articles(transport: Transport, query: dict, limit: object = None, email: str = "", api_key: str = "", sleep: Callable[[float], None] = time.sleep, rate: RateLimit | None = None) -> tuple[list[dict], int | None, str, str]:
+    """Records, expected count, state and reason of an article search: one search with history, then batches up to the limit.
+
+    A failed search is an error; a failed, unreadable or empty batch leaves the rows before it and makes the search incomplete.
+    """
+    import xml.etree.ElementTree as ET
+
+    from reviewlake.functions.udfs import esearch_counts, pubmed_records
+
+    if not email:
+        return [], None, "error", EMAIL_NEEDED
+    most = HARD_LIMIT if limit is None else limit_of(limit)
+    common = {"db": "pubmed", "email": email} | ({"api_key": api_key} if api_key else {})
+    rate = rate or RateLimit(sleep=sleep)
+
+    def get(params: dict) -> str:
+        if not api_key:
+            rate.wait()
+        try:
+            return fetch(transport, common | params, sleep)
+        except (SearchError, SearchIncomplete) as e:
+            raise type(e)(redact(str(e), [email, api_key])) from None
+
+    try:
+        count, env, key = esearch_counts(get({"step": "search", "term": query["term"], "retmax": "0", "usehistory": "y", "sort": "relevance"}))
+    except (SearchError, SearchIncomplete) as e:
+        return [], None, "error", f"search: {e}"
+    except (ValueError, ET.ParseError, AttributeError):
+        return [], None, "incomplete", NO_COUNT
+    if count is None:
+        return [], None, "incomplete", NO_COUNT
+    if count == 0:
+        return [], 0, "complete", "zero_results"
+    if not env or not key:
+        return [], count, "incomplete", NO_HISTORY
+    rows: list[dict] = []
+    for number, start in enumerate(range(0, min(count, most), BATCH), 1):
+        try:
+            found = pubmed_records(get({"step": "fetch", "query_key": key, "WebEnv": env, "retstart": str(start), "retmax": str(min(BATCH, min(count, most) - start)), "batch": number}))
+        except (SearchError, SearchIncomplete) as e:
+            return rows, count, "incomplete", f"fetch: {e}"
+        except ET.ParseError:
+            return rows, count, "incomplete", f"invalid_efetch_xml_batch_{number}"
+        if not found:
+            return rows, count, "incomplete", f"empty_batch_{number}"
+        rows += found
+    if len(rows) < min(count, most):
+        return rows, count, "incomplete", f"{len(rows)} of {count}"
+    return rows[:most], count, *(("capped", f"limit {most}") if count > most else ("complete", ""))
+
+
+FIELDS = ("title", "doi", "source_id", "year", "abstract", "oa_url")
+
+
+class _Reader(DataSourceReader):
+    """One search in one partition: rows, then the state of the search as a row of its own in the column ``state``."""
+
+    def __init__(self, source: str, options: dict) -> None:
+        self.source, self.options = source, options
 
     def partitions(self) -> list[InputPartition]:
+        # Pages depend on the counts and cursors of the pages before them, and the request rate is one for all.
         return [Pages(0)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        rows, _, state, reason = scan_works(recorded(self.options["path"]), {"search": self.options.get("search", ""), "max_results": self.options.get("limit")})
-        if state == "error":
-            raise SearchError(reason)
+        query = json.loads(self.options["query"])
+        rows, expected, state, reason = search_source(self.source, query, recorded(self.options["path"]), self.options.get("limit"), self.options.get("email", ""), self.options.get("api_key", ""))
         for r in rows:
-            yield tuple(r[k] for k in ("title", "doi", "source_id", "year", "abstract", "oa_url"))
+            yield (*(r.get(k, "") for k in FIELDS), None, None, None)
+        yield (*(None for _ in FIELDS), expected, state, reason)
 
 
-class WorksSource(DataSource):
-    """``spark.read.format("works_pages")`` with options path, search and limit."""
+STATES = SCHEMA + ", expected long, state string, reason string"
 
-    @classmethod
-    def name(cls) -> str:
-        return "works_pages"
 
-    def schema(self) -> str:
-        return SCHEMA
+def _source(name: str, source: str) -> type[DataSource]:
+    class Source(DataSource):
+        """Recorded answers of one search; options path, query (JSON), limit, email."""
 
-    def reader(self, schema) -> DataSourceReader:
-        return WorksReader(dict(self.options))
+        @classmethod
+        def name(cls) -> str:
+            return name
 
+        def schema(self) -> str:
+            return STATES
 
-class BatchReader(DataSourceReader):
-    """Reads article batches, one partition each."""
+        def reader(self, schema) -> DataSourceReader:
+            return _Reader(source, dict(self.options))
 
-    def __init__(self, options: dict) -> None:
-        self.options = options
+    Source.__name__ = Source.__qualname__ = f"{source.title()}Source"
+    return Source
 
-    def partitions(self) -> list[InputPartition]:
-        names = [n for n in os.listdir(self.options["path"]) if n.startswith("batch-")]
-        return [Pages(int(n[6:].split(".")[0])) for n in sorted(names)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import xml.etree.ElementTree as ET
+@dataclass(frozen=True)
+class Connector:
+    """A source: its scan, where it is, its version and the mode of its queries."""
 
-        from reviewlake.functions.udfs import descendants, pubmed_record
+    scan: Callable
+    endpoint: str
+    api_version: str
+    query_mode: str
+    format: str
+    fetch_endpoint: str = ""
 
-        code, text = recorded(self.options["path"])({"batch": partition.number})
-        if code != 200:
-            raise SearchError(f"http_{code}")
-        for node in descendants(ET.fromstring(text), "PubmedArticle"):
-            r = pubmed_record(ET.tostring(node, encoding="unicode"))
-            yield tuple(r[k] for k in ("title", "doi", "source_id", "year", "abstract", "oa_url"))
 
+def register(spark: SparkSession) -> None:
+    """Make the formats of all connectors known to the session."""
+    for name, spec in REGISTRY.items():
+        spark.dataSource.register(_source(spec.format, name))
 
-class PubmedSource(DataSource):
-    """``spark.read.format("article_batches")`` with the option path."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "article_batches"
+def search_source(source: str, query: dict, transport: Transport, limit: object = None, email: str = "", api_key: str = "", sleep: Callable[[float], None] = time.sleep) -> tuple[list[dict], int | None, str, str]:
+    """One search by the connector of a source. A query that breaks the contract of its source is an error state; an unknown source raises NotImplementedError, a result that breaks the contract ValueError."""
+    from reviewlake.operators.screening import query_errors, result_errors
 
-    def schema(self) -> str:
-        return SCHEMA
+    if source not in REGISTRY:
+        raise NotImplementedError(f"unknown source {source!r}; known: {', '.join(REGISTRY)}")
+    errors = query_errors(query, source)
+    if errors:
+        return [], None, "error", "; ".join(errors)
+    extra = {"email": email, "api_key": api_key} if source == "pubmed" else {}
+    result = REGISTRY[source].scan(transport, query, limit=limit, sleep=sleep, **extra)
+    broken = result_errors(result)
+    if broken:
+        raise ValueError(f"{source}: {'; '.join(broken)}")
+    return result
 
-    def reader(self, schema) -> DataSourceReader:
-        return BatchReader(dict(self.options))
 
+#: The other name under which the dispatch is known.
+mcp_search = search_source
 
-REGISTRY: dict[str, type[DataSource]] = {"openalex": WorksSource, "pubmed": PubmedSource}
 
+def mock_search(source: str, query: dict, fixtures: dict[str, list[dict]]) -> tuple[list[dict], int | None, str, str]:
+    """Fixed rows of a source, always complete; a query that breaks the contract is an error."""
+    from reviewlake.operators.screening import query_errors
 
-def register(spark: SparkSession) -> None:
-    """Make the formats known to the session."""
-    for source in REGISTRY.values():
-        spark.dataSource.register(source)
+    errors = query_errors(query, source)
+    rows = fixtures.get(source, [])
+    return ([], None, "error", "; ".join(errors)) if errors else (rows, len(rows), "complete", "mock")
+
+
+# Names under which a notice gives its fields, in order of precedence.
+NOTICE_FIELDS = {
+    "id": ("id", "ERICID", "ericid", "eric_id"), "title": ("title", "Title"), "year": ("publicationdateyear", "publicationDateYear", "publication_year", "year"), "abstract": ("description", "abstract", "Abstract"),
+    "authors": ("author", "authors"), "publication_type": ("publicationtype", "publicationType", "publication_type"), "subjects": ("subject", "subjects", "descriptors"), "doi": ("doi", "DOI", "identifierdoi", "identifiersdoi"),
+}
+NOTICE_ADDRESSES = ("url", "URL", "ieslinkpublication", "e_fulltext", "fulltexturl", "full_text_url")
+NOTICE_ADDRESS = "https://eric.ed.gov/?id="
 
 
-def notice_record(notice: dict) -> dict[str, str]:
-    """The record of an ERIC-like notice: alternate names of fields, lists joined, the first DOI-looking token and address."""
+def notice_record(notice: object) -> dict[str, str] | None:
+    """The record of an ERIC notice: alternate names of fields, lists joined, the first DOI-looking token and web address. None without an id."""
     import re
+    from urllib.parse import quote
 
     from reviewlake.functions.udfs import flatten_value
 
-    def first(*names: str) -> str:
-        return next((t for n in names if (t := flatten_value(notice.get(n)))), "")
+    if not isinstance(notice, dict):
+        return None
+
+    def given(*names: str) -> object:
+        return next((notice[n] for n in names if notice.get(n) not in (None, "", [])), "")
 
-    text = " ".join(flatten_value(notice.get(n)) for n in ("doi", "identifiers", "url", "source", "description"))
-    doi = re.search(r"10\.\d{4,9}/[^\s\"<>]+", text)
-    url = next((m for n in ("fulltext", "url", "link") if (m := first(n)).startswith("http")), "")
-    number = first("id", "accno")
+    text = {k: flatten_value(given(*names)) for k, names in NOTICE_FIELDS.items()}
+    if not text["id"]:
+        return None
+    addresses = [given(n) for n in NOTICE_ADDRESSES]
+    tokens = (re.search(r"10\.\d{4,9}/[^\s\"<>]+", t, re.I) for t in [text["doi"], *map(flatten_value, addresses)])
+    urls = (flatten_value(x) for a in addresses for x in (a if isinstance(a, list) else [a]))
     return {
-        "title": first("title", "name"),
-        "doi": doi[0].rstrip(".,;:)]") if doi else "",
-        "source_id": f"https://eric.example/?id={number}" if number else "",
-        "year": first("publicationdateyear", "year")[:4],
-        "abstract": first("description", "abstract"),
-        "oa_url": url,
+        "title": text["title"],
+        "doi": next((m[0].rstrip(".,;:)]}") for m in tokens if m), ""),
+        "source_id": NOTICE_ADDRESS + quote(text["id"], safe=""),
+        "year": text["year"],
+        "abstract": text["abstract"],
+        "oa_url": next((u for u in urls if u.startswith(("https://", "http://"))), ""),
+        **{k: text[k] for k in ("authors", "publication_type", "subjects")},
     }
 
 
-def scan_notices(transport: Transport, query: dict, rows_per_page: int = 200, sleep: Callable[[float], None] = time.sleep) -> tuple[list[dict], int | None, str, str]:
-    """Records, expected count, state and reason of a notice search; the count must stay the same over the pages."""
-    limit, size = limit_of(query.get("max_results")), max(20, min(200, rows_per_page))
+def notice_page(payload: str) -> tuple[int | None, list]:
+    """Count and notices of one page; the envelope may be left out. Raises ValueError for other texts."""
+    from reviewlake.functions.udfs import nonnegative_count
+
+    parsed = json.loads(payload)
+    body = parsed.get("response", parsed) if isinstance(parsed, dict) else None
+    docs = body.get("docs") or [] if isinstance(body, dict) else None
+    if not isinstance(docs, list):
+        raise ValueError("invalid envelope")
+    return nonnegative_count(body.get("numFound", body.get("numfound"))), docs
+
+
+def scan_notices(transport: Transport, query: dict, limit: object = None, sleep: Callable[[float], None] = time.sleep) -> tuple[list[dict], int | None, str, str]:
+    """Records, expected count, state and reason of a notice search; the count must stay the same over the pages.
+
+    A failure on the first page is an error, on a later one the search is incomplete and keeps its rows.
+    """
+    most = HARD_LIMIT if limit is None else limit_of(limit)
     rows: list[dict] = []
     expected: int | None = None
-    page = 1
-    while len(rows) < limit:
+    start, page = 0, 1
+    while True:
+        size = min(200, max(20, (most if expected is None else min(expected, most)) - len(rows)))
         try:
-            data = json.loads(fetch(transport, {"search": query["search"], "start": len(rows), "rows": size, "page": page}, sleep))
+            count, docs = notice_page(fetch(transport, {"search": query["search"], "start": start, "rows": size, "page": page} | ({"sort": query["sort"]} if "sort" in query else {}), sleep))
         except (SearchError, SearchIncomplete, ValueError) as e:
             return rows, expected, "error" if page == 1 else "incomplete", str(e)[:80]
-        body = data.get("response") or data
-        count, docs = body.get("numFound"), body.get("docs")
-        if not isinstance(count, int) or isinstance(count, bool) or not isinstance(docs, list):
-            return rows, expected, "error" if page == 1 else "incomplete", "invalid_envelope"
+        if count is None:
+            return rows, expected, "incomplete", NO_COUNT
         if expected is not None and count != expected:
             return rows, expected, "incomplete", "count_changed"
         expected = count
-        if not docs and len(rows) < min(expected, limit):
-            return rows, expected, "incomplete", "empty_page"
-        rows += [notice_record(x) for x in docs]
-        page += 1
-        if len(rows) >= expected:
-            break
-    rows = rows[:limit]
-    return rows, expected, *state_of(len(rows), expected, limit)
+        if expected == 0:
+            return [], 0, "complete", "zero_results"
+        if not docs:
+            return rows, expected, "incomplete", f"empty_page_at_{start}"
+        for doc in docs:
+            record = notice_record(doc)
+            if record is None:
+                return rows, expected, "incomplete", "invalid_notice"
+            rows.append(record)
+            if len(rows) >= min(expected, most):
+                return rows, expected, *(("capped", f"limit {most}") if expected > most else ("complete", ""))
+        start, page = start + len(docs), page + 1
+
+
+REGISTRY: dict[str, Connector] = {
+    "openalex": Connector(scan_works, "https://api.openalex.org/works", "unversioned", "search", "works_pages"),
+    "pubmed": Connector(scan_articles, "https://eutils.ncbi.nlm.nih.gov/entrez/eutils/esearch.fcgi", "NCBI E-utilities", "pubmed", "article_batches", "https://eutils.ncbi.nlm.nih.gov/entrez/eutils/efetch.fcgi"),
+    "eric": Connector(scan_notices, "https://api.ies.ed.gov/eric/", "ERIC API", "eric", "notice_pages"),
+}
+
+
+def connector_metadata(source: str) -> dict[str, str]:
+    """What a manifest says of a source; an unknown one has an empty endpoint."""
+    spec = REGISTRY.get(source)
+    if spec is None:
+        return {"endpoint": "", "api_version": "unknown", "query_mode": "unknown"}
+    return {"endpoint": spec.endpoint, "api_version": spec.api_version, "query_mode": spec.query_mode} | ({"fetch_endpoint": spec.fetch_endpoint} if spec.fetch_endpoint else {})
 
 
 def with_provenance(spark: SparkSession, rows: list[dict], source: str, query: dict, day: str) -> DataFrame:

@@ -223,12 +223,38 @@ def test_metrics_of_nothing(spark):
     assert calibration.score_histogram(gold).count() == 20
 
 
-def test_validation_coherence_and_routing(spark):
-    items = [{"id": "I1", "status": "met", "evidence": [{"source": "S1", "quote": "“a  trial”"}], "reason": "r"}, {"id": "E1", "status": "met", "evidence": [{"source": "S1", "quote": "other text"}], "reason": ""}]
-    df = spark.createDataFrame([(items, [{"source": "S1", "text": 'This is "a trial" here.'}, {"source": "S2", "text": "Some other text."}], ["I1", "E1"])], f"c array<{criteria.ITEM}>, s array<struct<source:string,text:string>>, ids array<string>")
-    r = df.select(criteria.validate("c", "s", "ids").alias("e"), criteria.coherence_errors(F.col("c")).alias("k"), criteria.hard_fails(F.col("c")).alias("h"), criteria.route(F.col("c"), F.lit(True)).alias("r"), criteria.route(F.col("c"), F.lit(True), ("E1",)).alias("x")).first()
-    assert r["e"] == ["E1: evidence 0 quote found in S2, declared S1", "E1: reason is empty"]
-    assert len(r["k"]) == 1 and r["h"] == ["E1"] and (r["r"], r["x"]) == ("needs_manual", "exclude")
+def test_assessments_of_several_faults_and_replays():
+    from reviewlake.operators import assessment as A
+
+    sources = {"T": "A trial", "S1": "Some “quoted” text."}
+    one = {"id": A.MODEL_CRITERIA[0], "status": "met", "evidence": [{"source": "S1", "quote": 'some "quoted"'}, {"source": "T", "quote": "~"}, {"source": ["x"], "quote": "a"}], "reason": ""}
+    errors = A.assessment_errors({"schema": A.SCHEMA, "criteria": [one]}, sources, A.MODEL_CRITERIA[:1])
+    assert errors == ["criteria[0].evidence[1].quote is empty after normalization", "criteria[0].evidence[2].source is invalid: ['x']", "criteria[0].reason is empty"]
+    assert A.assessment_errors([], sources) == ["assessment must be an object"]
+    with pytest.raises(A.AssessmentError, match="length"):
+        A.served_content('{"choices": [{"finish_reason": "length"}]}')
+    assert A.served_content('{"choices": [{"message": {"content": "{}"}}]}') == "{}"
+    for bad in (None, "{}", "no json", '{"choices": [{"message": {}}]}'):
+        with pytest.raises(A.AssessmentError):
+            A.served_content(bad)
+    old = {"schema": A.SCHEMA_V0, "criteria": [{"id": "x", "status": "met", "evidence": [{"source": "title", "quote": "A ... trial"}], "reason": "r"}]}
+    assert A.replay_valid(json.dumps(old), {"title": "A ... Trial"}, ("x",), A.span_text) and not A.replay_valid(json.dumps(old), {"title": "A ... Trial"}, ("x",), A.spaced_text)
+
+
+def test_guards_of_runs(spark):
+    from reviewlake.operators import assessment as A
+
+    df = spark.createDataFrame([("c1", "d", "t", "a", ""), ("c2", "d", "t", "a", "x")], "case_id string, doi string, title string, abstract string, label string")
+    assert A.block_d_errors(df) == ["2 records instead of 5", "empty label"] and A.block_d_errors(df.drop("label")) == ["missing columns ['label']"]
+    assert [r["case_id"] for r in A.frozen_block(df, ["c2", "c1"], "B").collect()] == ["c2", "c1"]
+    with pytest.raises(ValueError, match="c9"):
+        A.frozen_block(df, ["c9"], "B")
+    assert A.check_allowlist(()) == frozenset()
+    with pytest.raises(ValueError):
+        A.check_allowlist(("E1",))
+    assert {(r["bloc"], r["n"]) for r in A.blocks(A=df, B=df.limit(1)).groupBy("bloc").agg(F.count("case_id").alias("n")).collect()} == {("A", 2), ("B", 1)}
+    v = spark.createDataFrame([(None, [], []), ("x", [], []), (None, None, []), (None, ["e"], [])], "t string, v array<string>, c array<string>").select(A.is_valid(F.col("t"), F.col("v"), F.col("c"))).collect()
+    assert [r[0] for r in v] == [True, False, False, False]
 
 
 # ---- functions and sources ----
@@ -240,13 +266,31 @@ def test_scalar_functions(spark):
     assert list(r) == [3, "10.1000/abc", None, 1.0, 2020, "include", "exclude"]
 
 
-def test_xml_and_json():
-    xml = "<PubmedArticle><MedlineCitation><PMID>7</PMID><Article><ArticleTitle>T <i>x</i></ArticleTitle><Journal><JournalIssue><PubDate><MedlineDate>2019 Jan-Feb</MedlineDate></PubDate></JournalIssue></Journal></Article></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType='doi'>10.1/x</ArticleId><ArticleId IdType='pmc'>PMC5</ArticleId></ArticleIdList></PubmedData></PubmedArticle>"
-    r = U.pubmed_record(xml)
-    assert (r["title"], r["doi"], r["source_id"], r["year"], r["oa_url"]) == ("T x", "10.1/x", "PMID:7", "2019", "https://pmc.ncbi.nlm.nih.gov/articles/PMC5/")
+ARTICLE = "<PubmedArticle xmlns='urn:x'><MedlineCitation><PMID>{pmid}</PMID><Article><ArticleTitle>T <i>x</i></ArticleTitle><ELocationID EIdType='doi'>10.1/e</ELocationID><Abstract><AbstractText Label='AIM'>A  b</AbstractText><AbstractText>c</AbstractText></Abstract><Journal><JournalIssue><PubDate><MedlineDate>2019 Jan-Feb</MedlineDate></PubDate></JournalIssue></Journal></Article></MedlineCitation><PubmedData><ArticleIdList>{ids}</ArticleIdList><ReferenceList><Reference><ArticleIdList><ArticleId IdType='doi'>10.9/ref</ArticleId></ArticleIdList></Reference></ReferenceList></PubmedData></PubmedArticle>"
+
+
+def test_pubmed_articles():
+    one = ARTICLE.format(pmid=7, ids="<ArticleId IdType='doi'>https://doi.org/10.1/x</ArticleId><ArticleId IdType='pmcid'>5</ArticleId>")
+    (r,) = U.pubmed_records(f"<Set>{one}{ARTICLE.format(pmid='', ids='')}</Set>")
+    assert r == {"title": "T x", "doi": "10.1/x", "source_id": "https://pubmed.ncbi.nlm.nih.gov/7/", "year": "2019", "abstract": "A b c", "oa_url": "https://pmc.ncbi.nlm.nih.gov/articles/PMC5/"}
+    assert U.pubmed_records(ARTICLE.format(pmid=8, ids="<ArticleId IdType='pmc'>PMC6</ArticleId>"))[0]["doi"] == "10.1/e"
+    assert U.esearch_counts('{"esearchresult": {"count": "12", "webenv": "w", "querykey": 1}}') == (12, "w", "1")
+    assert U.esearch_counts("<r><Count>3</Count><WebEnv>w</WebEnv><QueryKey>2</QueryKey></r>") == (3, "w", "2")
+    assert U.esearch_counts('{"esearchresult": {"count": true}}')[0] is None
     assert U.duplicate_keys('{"a": 1, "b": {"c": 1, "c": 2}}') == ["c"]
-    jats = "<article><front><article-meta><title-group><article-title>T</article-title></title-group></article-meta></front><body><sec><title>A</title><p>" + "w " * 300 + "</p></sec></body></article>"
-    assert U.jats_to_markdown(jats).startswith("# T\n\n## A") and U.jats_to_markdown(jats, 5000) is None
+
+
+def test_jats_articles():
+    import xml.etree.ElementTree as ET
+
+    body = "<sec><title>A</title><label>1</label><p>{w}</p><boxed-text><p>in a box</p></boxed-text><disp-quote><p>quoted</p></disp-quote><fig><caption><p>wrapped</p></caption></fig><list><list-item><p>i1</p></list-item></list><sec><title>B</title><p>x</p><p>x</p></sec></sec>"
+    head = "<front><article-meta><article-id pub-id-type='doi'>10.1/a</article-id><article-id pub-id-type='pmcid'>PMC9</article-id><title-group><article-title>T</article-title></title-group><abstract><title>Aim</title><p>one</p></abstract><abstract><p>two</p></abstract></article-meta></front>"
+    xml = f"<article>{head}<body>{body.format(w='w ' * 300)}</body><back><ref-list><ref><article-title>Other</article-title><article-id pub-id-type='doi'>10.2/b</article-id></ref></ref-list></back></article>"
+    article = ET.fromstring(xml)
+    lines = U.jats_to_markdown(article).strip().split("\n\n")
+    assert lines == ["# T", "## Abstract", "Aimone", "## Abstract", "two", "## A", ("w " * 300).strip(), "in a box", "quoted", "wrapped", "- i1", "### B", "x"]
+    assert U.jats_to_markdown(article, 5000) is None and U.jats_ids(article) == {"doi": "10.1/a", "pmcid": "PMC9", "title": "T"}
+    assert U.jats_to_markdown(ET.fromstring("<article/>")) is None and U.jats_ids(ET.fromstring("<article/>"))["title"] == ""
 
 
 def test_retries_limits_and_states():
@@ -262,23 +306,72 @@ def test_retries_limits_and_states():
     with pytest.raises(con.SearchError):
         con.fetch(lambda p: (404, ""), {}, waits.append)
     page = {"meta": {"count": 3}, "results": [{"title": "a", "publication_year": None, "open_access": None, "abstract_inverted_index": {"b": [1], "a": [0]}}]}
-    rows, expected, state, _ = con.scan_works(lambda p: (200, json.dumps(page)), {"search": "x", "max_results": "2"})
+    rows, expected, state, _ = con.scan_works(lambda p: (200, json.dumps(page)), {"search": "x"}, limit=2)
     assert len(rows) == 2 and state == "capped" and rows[0]["abstract"] == "a b" and rows[0]["year"] == ""
     assert con.state_of(0, 0, 10) == ("complete", "zero_results")
-    notice = {"response": {"numFound": 2, "docs": [{"title": ["A", "B"], "id": "EJ1"}]}}
-    assert con.scan_notices(lambda p: (200, json.dumps(notice if p["page"] == 1 else {"response": {"numFound": 3, "docs": []}})), {"search": "x"})[2:] == ("incomplete", "count_changed")
-
-
-def test_data_source_reads_recorded_pages(spark, tmp_path):
-    (tmp_path / "page-1.json").write_text(json.dumps({"meta": {"count": 1}, "results": [{"title": "T", "doi": "https://doi.org/10.1/a", "id": "W1", "publication_year": 2020}]}))
+    notice = {"response": {"numFound": 2, "docs": [{"title": ["A", "B"], "id": "EJ1", "url": ["no", "https://x.example/10.1234/ab."]}]}}
+    rows, _, *state = con.scan_notices(lambda p: (200, json.dumps(notice if p["page"] == 1 else {"response": {"numFound": 3, "docs": []}})), {"search": "x"})
+    assert state == ["incomplete", "count_changed"] and rows[0]["title"] == "A; B" and rows[0]["doi"] == "10.1234/ab" and rows[0]["oa_url"] == "https://x.example/10.1234/ab."
+    assert con.scan_notices(lambda p: (200, '{"numFound": 1, "docs": [{"title": "no id"}]}'), {"search": "x"})[2:] == ("incomplete", "invalid_notice")
+
+
+def articles(answers):
+    """A transport over answers by step and batch."""
+    return lambda p: (200, answers[p["step"]]) if p["step"] == "search" else answers.get(p["batch"], (503, ""))
+
+
+def test_article_search_states():
+    found = '{"esearchresult": {"count": "201", "webenv": "w", "querykey": "1"}}'
+    batch = (200, "<S>" + "".join(ARTICLE.format(pmid=i, ids="") for i in range(1, 201)) + "</S>")
+    last = (200, "<S>" + ARTICLE.format(pmid=201, ids="") + "</S>")
+    quiet = {"sleep": lambda s: None, "email": "a@b.example"}
+    query = {"query_mode": "pubmed", "term": "x"}
+    assert [con.scan_articles(articles({"search": found, 1: batch, 2: last}), query, **quiet)[i] for i in (1, 2, 3)] == [201, "complete", ""]
+    rows, expected, state, _ = con.scan_articles(articles({"search": found, 1: batch}), query, **quiet)
+    assert (len(rows), expected, state) == (200, 201, "incomplete")
+    assert con.scan_articles(articles({"search": found, 1: batch, 2: (200, "<S>")}), query, **quiet)[3] == "invalid_efetch_xml_batch_2"
+    assert con.scan_articles(articles({"search": found, 1: batch}), query, limit=200, **quiet)[2] == "capped"
+    assert con.scan_articles(lambda p: (404, ""), query, **quiet)[2] == "error" and con.scan_articles(lambda p: (200, ""), query)[3] == con.EMAIL_NEEDED
+    assert con.scan_articles(articles({"search": '{"esearchresult": {"count": "0"}}'}), query, **quiet)[1:] == (0, "complete", "zero_results")
+    # No more than three requests a second without a key, and no secret in a reason.
+    slept = []
+    limit = con.RateLimit(now=lambda: 0.0, sleep=slept.append)
+    con.scan_articles(articles({"search": found, 1: batch, 2: last}), query, rate=limit, **quiet)
+    assert len(slept) == 2 and all(abs(s - 1 / 3) < 1e-9 for s in slept)
+    assert con.redact("a@b c a%40b", ["a@b"]) == "*** c ***"
+
+
+def test_dispatch():
+    with pytest.raises(NotImplementedError):
+        con.search_source("scopus", {}, None)
+    assert con.search_source("eric", {"query_mode": "eric", "search": " "}, None)[2] == "error"
+    assert con.mcp_search("eric", {"query_mode": "eric", "search": "x", "sort": "year"}, lambda p: (200, '{"numFound": 0}'))[1:] == (0, "complete", "zero_results")
+    assert con.mock_search("pubmed", {"query_mode": "pubmed", "term": "x"}, {"pubmed": [{"title": "T"}]}) == ([{"title": "T"}], 1, "complete", "mock")
+    assert con.connector_metadata("x")["query_mode"] == "unknown" and con.connector_metadata("pubmed")["fetch_endpoint"]
+
+
+def test_data_sources_read_recorded_answers_with_their_state(spark, tmp_path):
+    (tmp_path / "page-1.json").write_text(json.dumps({"meta": {"count": 2}, "results": [{"title": "T", "doi": "https://doi.org/10.1/a", "id": "W1", "publication_year": 2020}]}))
+    (tmp_path / "page-2.json").write_text(json.dumps({"meta": {"count": 2}, "results": []}))
     con.register(spark)
-    r = spark.read.format("works_pages").option("path", str(tmp_path)).option("search", "x").load().first()
-    assert (r["title"], r["doi"], r["year"]) == ("T", "10.1/a", "2020")
+    rows = spark.read.format("works_pages").option("path", str(tmp_path)).option("query", '{"query_mode": "search", "search": "x"}').load().collect()
+    assert [(r["title"], r["doi"], r["year"]) for r in rows if r["state"] is None] == [("T", "10.1/a", "2020")]
+    assert [(r["expected"], r["state"]) for r in rows if r["state"]] == [(2, "incomplete")]
+    (tmp_path / "page-1.json").write_text('{"response": {"numFound": 1, "docs": [{"id": "EJ 1", "title": "N"}]}}')
+    rows = spark.read.format("notice_pages").option("path", str(tmp_path)).option("query", '{"query_mode": "eric", "search": "x"}').load().collect()
+    assert rows[0]["source_id"] == "https://eric.ed.gov/?id=EJ%201" and rows[1]["state"] == "complete"
 
 
 def test_contracts_and_guards(spark):
     assert screening.query_errors({"query_mode": "search", "search": "x"}, "openalex") == []
     assert screening.query_errors("x", "openalex") and screening.plan_errors([])
+    assert screening.query_errors({"query_mode": "eric", "search": "x", "sort": "year"}, "eric") == [] and screening.query_errors({"query_mode": "search", "search": "x", "sort": "y"}, "openalex") == ["unknown sort"]
+    assert screening.payload_errors({"id": "a b"}) and screening.payload_errors({"id": "a", "sources": [{"source": "eric", "reason": "r", "query": {"query_mode": "eric"}}]}) == []
+    assert screening.prepared_query({"query_mode": "pubmed", "term": " x "}, "pubmed") == {"query_mode": "pubmed", "params": {"term": " x "}}
+    given = [{"query_mode": "search", "search": "x"}, {"query_mode": "search", "search": " ", "sort": "y"}, {"query_mode": "eric"}, {"search": 3, "query_mode": "search", "filter": "f"}]
+    df = spark.createDataFrame([(json.dumps(q),) for q in given] + [("no json",), ('"text"',), (None,)], "q string")
+    got = [r[0] for r in df.select(screening.query_contract_errors(F.col("q"), "openalex")).collect()]
+    assert got[:4] == [screening.query_errors(q, "openalex") for q in given] and got[4] == got[5] == ["query must be an object"] and got[6] is None
     with pytest.raises(ValueError):
         screening.check_thresholds(0.2, 0.5)
     st = spark.createDataFrame([("complete",), ("capped",), ("odd",)], "status string")
