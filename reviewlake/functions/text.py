@@ -140,6 +140,24 @@ def sentence_records(text: Column | str) -> Column:
     return F.transform(segment_sentences(text), lambda x, i: F.struct(F.concat(F.lit("S"), (i + 1).cast("string")).alias("source"), x.alias("text")))
 
 
+def user_message(title: Column | str, sentences: Column | str) -> Column:
+    """The text that a case is put to a model in: title and numbered sentences, one a line, between document marks; such marks inside are made harmless."""
+    safe = lambda v: F.replace(F.replace(v, F.lit("<DOCUMENT>"), F.lit("<DOC>")), F.lit("</DOCUMENT>"), F.lit("</DOC>"))
+    lines = F.transform(c(sentences), lambda x: F.concat(x["source"], F.lit(": "), safe(x["text"])))
+    head = F.concat(F.lit("T: "), safe(F.coalesce(c(title), F.lit(""))))
+    return F.array_join(F.concat(F.array(F.lit("<DOCUMENT>"), head), lines, F.array(F.lit("</DOCUMENT>"))), "\n")
+
+
+def recovered_texts(retrieved: Column, assessed: Column, failed: Column) -> Column:
+    """How many texts were had: the count if there is one, else what was tried less what failed."""
+    return F.coalesce(retrieved, F.greatest(F.lit(0), F.coalesce(assessed, F.lit(0)) - F.coalesce(failed, F.lit(0))))
+
+
+def run_stamp(now: Column | None = None) -> Column:
+    """The name of a run: a UTC time down to microseconds."""
+    return F.date_format(F.current_timestamp() if now is None else now, "yyyyMMdd'T'HHmmssSSSSSS'Z'")
+
+
 def parse_year(year: Column | str) -> Column:
     """A year from 1900 to 2099 that is all of the value; else null."""
     return F.when(strip(year).rlike(r"^(19|20)\d{2}$"), strip(year).cast("int"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules of this package, each with QUERIES and ORACLE_SQL.
-MODULES = ("reference", "assessed", "general")
+MODULES = ("reference", "assessed", "records", "general")
 
 
 def all_queries() -> dict[str, Callable]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from reviewlake.operators.journal import FINAL, HUMAN_SCREEN, MACHINE_SCREEN, entries, known_entry
+from reviewlake.operators.journal import FINAL, HUMAN_FULLTEXT, HUMAN_SCREEN, MACHINE_SCREEN, entries, known_entry
 from reviewlake.sources.files import JOURNAL
 
 STATE = "h_seq long, h string, m_seq long, m string, first_seq long"
@@ -48,10 +48,29 @@ def unknown_stream(journal: DataFrame) -> DataFrame:
     return journal.filter(~known_entry()).groupBy("stage", "decision").agg(F.count(F.lit(1)).alias("lines"))
 
 
-def new_lines(journal: DataFrame, lateness: str = "7 days") -> DataFrame:
-    """The journal without repeated lines (same document, stage, decision and time) within the watermark."""
-    timed = journal.withColumn("event_time", F.try_to_timestamp("ts")).withWatermark("event_time", lateness)
-    return timed.dropDuplicatesWithinWatermark(["doc", "identity_type", "stage", "decision", "ts"])
+CHANGE = "seq long, identity_type string, doc string, stage string, decision string"
+
+
+def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    seen, last = state.get if state.exists else (-1, None)
+    rows = []
+    for pdf in batches:
+        rows += zip(pdf["seq"], pdf["decision"])
+    out = []
+    for seq, decision in sorted((int(a), b) for a, b in rows):
+        # A line that came before is known, whatever it says.
+        if seq > seen and decision != last:
+            out.append((seq, *key, decision))
+        if seq > seen:
+            seen, last = seq, decision
+    state.update((seen, last))
+    yield pd.DataFrame(out, columns=["seq", "identity_type", "doc", "stage", "decision"])
+
+
+def decision_changes(journal: DataFrame) -> DataFrame:
+    """Human lines that change the decision of their document and stage; a line that repeats the last decision is a replay, at whatever time it comes."""
+    lines = entries(journal).filter(F.col("stage").isin(*HUMAN_SCREEN, *HUMAN_FULLTEXT)).select("identity_type", "doc", "stage", "seq", "decision")
+    return lines.groupBy("identity_type", "doc", "stage").applyInPandasWithState(_changes, CHANGE, "seen long, last string", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(journal: DataFrame, width: str = "1 day", lateness: str = "2 days") -> DataFrame:
@@ -60,10 +79,10 @@ def windowed_counts(journal: DataFrame, width: str = "1 day", lateness: str = "2
     return timed.groupBy(F.window("event_time", width), "stage").agg(F.count(F.lit(1)).alias("lines"))
 
 
-def start(updates: DataFrame, path: str, checkpoint: str, name: str = "journal"):
-    """Write updates as Parquet batches; the checkpoint resumes after an interruption."""
+def start(updates: DataFrame, path: str, checkpoint: str, name: str = "journal", mode: str = "update"):
+    """Write updates as Parquet, a folder per batch; a batch that is tried again overwrites its folder, and the checkpoint resumes after an interruption."""
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return updates.writeStream.outputMode("update").queryName(name).foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return updates.writeStream.outputMode(mode).queryName(name).foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
