@@ -114,35 +114,6 @@ def clean_nested(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-def duplicate_keys(text: str) -> list[str]:
-    """The keys that occur twice in one object of a JSON text; raises ValueError for no JSON."""
-    found: list[str] = []
-
-    def hook(pairs: list[tuple[str, object]]) -> dict:
-        seen: set[str] = set()
-        for k, _ in pairs:
-            if k in seen:
-                found.append(k)
-            seen.add(k)
-        return dict(pairs)
-
-    json.loads(text, object_pairs_hook=hook)
-    return found
-
-
-@arrow_udf("array<string>")
-def json_duplicate_keys(text: pd.Series) -> pd.Series:
-    """Duplicate keys of JSON texts; null for what is no JSON."""
-
-    def one(t: str | None) -> list[str] | None:
-        try:
-            return duplicate_keys(t) if t is not None else None
-        except ValueError:
-            return None
-
-    return pd.Series([one(t) for t in text], dtype=object)
-
-
 def local(tag: str) -> str:
     """The name of a tag without its namespace."""
     return tag.rpartition("}")[2]

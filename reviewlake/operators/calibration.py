@@ -72,6 +72,23 @@ def sampling_weights(gold: DataFrame) -> DataFrame:
     return out.select("stratum", "population", "sampled", F.round(_safe(F.col("population").cast("double"), F.col("sampled").cast("double")), 6).alias("weight"))
 
 
+def plan_weights(gold: DataFrame, plan: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """The weights of a sampling plan, ``stratum: (population, sample)``; raises ValueError unless the gold rows fit it exactly.
+
+    Strata are few; one row each comes to the driver.
+    """
+    bad = sorted(s for s, (big, small) in plan.items() if not 0 < small <= big)
+    if bad:
+        raise ValueError(f"a population must be at least its sample, and that more than 0: {bad}")
+    seen = {r[0]: r[1] for r in gold.groupBy(F.coalesce(F.trim("stratum"), F.lit(""))).agg(F.count(F.lit(1))).collect()}
+    errors = ["rows without stratum"] if seen.pop("", 0) else []
+    errors += [f"{s} is not in the plan" for s in sorted(set(seen) - set(plan))]
+    errors += [f"{s}: {seen.get(s, 0)} rows, planned {n}" for s, (_, n) in sorted(plan.items()) if seen.get(s, 0) != n]
+    if errors:
+        raise ValueError("; ".join(errors))
+    return {s: 1.0 if len(plan) == 1 else big / small for s, (big, small) in plan.items()}
+
+
 def weighted_confusion(gold: DataFrame) -> DataFrame:
     """The confusion matrix with the sampling weights of the strata, which are few and broadcast only below the size that Spark checks."""
     weights = sampling_weights(gold).select("stratum", "weight")
@@ -87,13 +104,17 @@ def sensitivity(gold: DataFrame, uncertain: Column) -> DataFrame:
 
 
 def threshold_menu(gold: DataFrame) -> DataFrame:
-    """One row per threshold of the menu; the lower one is the binary difference, ambiguous are scores strictly between. The five thresholds are exploded, not joined."""
-    base = gold.filter(F.col("label").isin("include", "exclude") & F.col("score").isNotNull())
-    rows = base.withColumn("ti", F.explode(F.array(*[F.lit(float(t)) for t in MENU]))).withColumn("te", F.col("ti") - F.lit(MENU_GAP))
-    s = F.col("score")
-    table = rows.groupBy("ti", "te").agg(*_matrix(F.col("label") == "include", s >= F.col("ti"), F.lit(1.0)), F.count(F.lit(1)).alias("n"), F.count_if((s > F.col("te")) & (s < F.col("ti"))).alias("ambiguous"))
-    out = metrics(table)
-    return out.select("ti", "te", "n", "tp", "fp", "fn", "tn", "recall", "precision", "f1", F.round(F.lit(100.0) * F.col("ambiguous") / F.col("n"), 1).alias("ambiguous_pct"))
+    """One row per threshold of the menu, with raw and weighted metrics; the lower one is the binary difference, ambiguous are scores strictly between. The five thresholds are exploded, not joined."""
+    weighted = gold.join(sampling_weights(gold).select("stratum", "weight"), "stratum").filter(F.col("label").isin("include", "exclude") & F.col("score").isNotNull())
+    rows = weighted.withColumn("ti", F.explode(F.array(*[F.lit(float(t)) for t in MENU]))).withColumn("te", F.col("ti") - F.lit(MENU_GAP))
+    s, y = F.col("score"), F.col("label") == "include"
+    # Both matrices come from one aggregate.
+    heavy = [m.alias(f"w_{n}") for m, n in zip(_matrix(y, s >= F.col("ti"), F.col("weight")), ("tp", "fp", "fn", "tn"))]
+    table = rows.groupBy("ti", "te").agg(*_matrix(y, s >= F.col("ti"), F.lit(1.0)), *heavy, F.count(F.lit(1)).alias("n"), F.count_if((s > F.col("te")) & (s < F.col("ti"))).alias("ambiguous"))
+    raw = metrics(table).select("ti", "te", "n", "tp", "fp", "fn", "tn", "recall", "precision", "f1", "ambiguous", *[f"w_{n}" for n in ("tp", "fp", "fn", "tn")])
+    back = raw.select("ti", "te", "n", "tp", "fp", "fn", "tn", "recall", "precision", "f1", "ambiguous", *[F.struct(*[F.col(f"w_{n}").alias(n) for n in ("tp", "fp", "fn", "tn")]).alias("w")])
+    both = metrics(back.select("ti", F.col("w.tp").alias("tp"), F.col("w.fp").alias("fp"), F.col("w.fn").alias("fn"), F.col("w.tn").alias("tn"), F.struct("te", "n", "tp", "fp", "fn", "tn", "recall", "precision", "f1", "ambiguous").alias("raw")))
+    return both.select("ti", *[F.col(f"raw.{c}").alias(c) for c in ("te", "n", "tp", "fp", "fn", "tn", "recall", "precision", "f1")], *[both[m].alias(f"weighted_{m}") for m in ("recall", "precision", "f1")], F.round(F.lit(100.0) * F.col("raw.ambiguous") / F.col("raw.n"), 1).alias("ambiguous_pct"))
 
 
 def score_histogram(gold: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reviewlake.functions.text import canonical_doi, nonblank, normalize_span, strip
+from reviewlake.functions.text import canonical_doi, nonblank, strip
 
 STATUSES = ("met", "not_met", "unclear", "not_reported")
 # The criteria by their short names, and the coherence rules as (if, is, then, and what that must or must not be, and the text of the error).
@@ -94,12 +94,6 @@ def accepted(category: Column, complete: Column, errors: Column, fails: Column,
     )
 
 
-def quote_in_source(quote: Column, text: Column) -> Column:
-    """Whether the normalised quote, not empty, is in the normalised text."""
-    q = normalize_span(quote)
-    return (F.length(q) > 0) & F.contains(normalize_span(text), q)
-
-
 def error_class(error: Column, version: str = "v3") -> Column:
     """The class of an error: the first rule of the version that matches, else another validation error."""
     low = F.lower(error)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.functions import text as X
+from reviewlake.functions import udfs as U
 from reviewlake.operators import calibration as cal
 from reviewlake.operators import criteria as cr
 from reviewlake.operators import dedup, extraction, identity, journal, screening
@@ -234,6 +235,16 @@ scored AS (SELECT q.*, {S.score('q.score')} AS s FROM queue q)
 SELECT q.identity_type, q.doc, substring(coalesce(c.abstract, ''), 1, 250) AS abstract_cut, CASE WHEN s IS NULL THEN 'unscored' WHEN s >= 0.6 THEN 'likely include' WHEN s <= 0.4 THEN 'likely exclude' ELSE 'unclear' END AS bucket
 FROM scored q LEFT JOIN ids ON ids.kind = q.identity_type AND ids.value = q.doc LEFT JOIN candidates c USING (row_id)""",
 )(lambda s, d: rep.review_list(journal.review_queue(_j(s, d)), _c(s, d)))
+_TAG = "CASE WHEN {0} IS NOT NULL THEN '{1}  - ' || {0} END"
+query(
+    "ris_text",
+    "SELECT row_id, concat_ws(chr(10), 'TY  - JOUR', "
+    + ", ".join(_TAG.format(S.nb(c), t) for c, t in (("title", "TI"), ("year", "PY"), ("doi", "DO"), ("oa_url", "UR")))
+    + rf", CASE WHEN {S.nb("substring(regexp_replace(coalesce(abstract, ''), '\s+', ' ', 'g'), 1, 500)")} IS NOT NULL THEN 'AB  - ' || {S.nb("substring(regexp_replace(coalesce(abstract, ''), '\s+', ' ', 'g'), 1, 500)")} END, 'ER  - ') AS ris FROM candidates",
+)(lambda s, d: rep.ris_lines(_c(s, d)))
+query("nested_clean", """SELECT row_id, CASE row_id % 3 WHEN 0 THEN 'A & b; c' WHEN 1 THEN 'plain x' ELSE 'inner' END AS t FROM candidates""")(
+    lambda s, d: _c(s, d).select("row_id", U.clean_nested(F.when(F.col("row_id") % 3 == 0, '["A &amp; <i>b</i>", null, ["c", true]]').when(F.col("row_id") % 3 == 1, " plain \n x ").otherwise('{"value": {"text": "inner"}, "label": "no"}')).alias("t"))
+)
 query(
     "ris_included",
     f"""{S.JOURNAL}, {S.ELIGIBLE}, inc AS (SELECT identity_type, doc FROM eligible WHERE decision = 'include')
@@ -337,11 +348,11 @@ query(
 )(lambda s, d: cal.sensitivity(_gold(s, d), F.col("route") == "needs_manual"))
 query(
     "threshold_menu",
-    f"{S.GOLD} SELECT ti, te, n, tp, fp, fn, tn, recall, precision, f1, round(100.0::DOUBLE * ambiguous / n, 1) AS ambiguous_pct FROM ("
-    + S.ratios(
-        f"SELECT ti, te, {S.matrix('score >= ti')}, count(*) AS n, count(*) FILTER (WHERE score > te AND score < ti) AS ambiguous FROM routed, (SELECT ti::DOUBLE AS ti, ti::DOUBLE - 0.5::DOUBLE AS te FROM (VALUES (0.85), (0.80), (0.75), (0.70), (0.65)) t(ti)) GROUP BY ti, te"
-    )
-    + ")",
+    f"{S.GOLD}, {_WEIGHTS}, m AS (SELECT ti::DOUBLE AS ti, ti::DOUBLE - 0.5::DOUBLE AS te FROM (VALUES (0.85), (0.80), (0.75), (0.70), (0.65)) t(ti)), raw AS ("
+    + S.ratios(f"SELECT ti, te, {S.matrix('score >= ti')}, count(*) AS n, count(*) FILTER (WHERE score > te AND score < ti) AS ambiguous FROM routed, m GROUP BY ti, te")
+    + "), heavy AS ("
+    + S.ratios(f"SELECT ti, {S.matrix('score >= ti', 'weight')} FROM routed JOIN w USING (stratum), m GROUP BY ti")
+    + ") SELECT raw.ti, te, n, raw.tp, raw.fp, raw.fn, raw.tn, raw.recall, raw.precision, raw.f1, heavy.recall AS weighted_recall, heavy.precision AS weighted_precision, heavy.f1 AS weighted_f1, round(100.0::DOUBLE * ambiguous / n, 1) AS ambiguous_pct FROM raw JOIN heavy USING (ti)",
 )(lambda s, d: cal.threshold_menu(_gold(s, d)))
 query(
     "score_histogram",

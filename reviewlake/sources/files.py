@@ -53,7 +53,7 @@ def list_dropzone(spark: SparkSession, folder: str) -> DataFrame:
 
 def frozen(spark: SparkSession, path: str, digest: str) -> DataFrame:
     """The content of a file whose SHA-256 must be the pinned one."""
-    one = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("digest"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    one = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("digest"), F.decode("content", "UTF-8").alias("text"))
     row = one.select("digest").first()
     if row is None or row[0] != digest:
         raise ValueError("frozen input differs from its digest")

@@ -277,7 +277,6 @@ def test_pubmed_articles():
     assert U.esearch_counts('{"esearchresult": {"count": "12", "webenv": "w", "querykey": 1}}') == (12, "w", "1")
     assert U.esearch_counts("<r><Count>3</Count><WebEnv>w</WebEnv><QueryKey>2</QueryKey></r>") == (3, "w", "2")
     assert U.esearch_counts('{"esearchresult": {"count": true}}')[0] is None
-    assert U.duplicate_keys('{"a": 1, "b": {"c": 1, "c": 2}}') == ["c"]
 
 
 def test_jats_articles():

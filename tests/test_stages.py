@@ -155,3 +155,43 @@ def test_stream_ignores_replays_at_any_time(spark, tmp_path):
     got = {r["seq"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     replays = {r["seq"] for r in replayed_decisions(files.read_journal(spark, str(tmp_path / "in"))).collect()}
     assert got == {1, 3, 4, 5} and got | replays == {1, 2, 3, 4, 5, 6} and replays == {2, 6}
+
+
+def test_files_reports_and_small_tools(spark, tmp_path):
+    from reviewlake.operators import calibration, criteria
+    from reviewlake.operators import report as rep
+    from reviewlake.streaming import journal as st
+
+    at = lambda n: str(tmp_path / n)
+    (tmp_path / "pdf").mkdir()
+    (tmp_path / "pdf" / "10.1_a_b.pdf").write_bytes(b"x")
+    assert [r["doi"] for r in files.list_dropzone(spark, at("pdf")).collect()] == ["10.1/a_b"]
+    (tmp_path / "as").mkdir()
+    (tmp_path / "as" / "m1.jsonl").write_text('{"case_id": "c"}\n')
+    assert files.read_assessments(spark, at("as"), "case_id string").first()["file_stem"] == "m1"
+    (tmp_path / "f.txt").write_text("x")
+    assert files.frozen(spark, at("f.txt"), sinks.digest("x")).first()["text"] == "x"
+    with pytest.raises(ValueError):
+        files.frozen(spark, at("f.txt"), "0")
+    line = spark.createDataFrame([(1, "d", "odd", "include", "2024-01-01T00:00:00Z"), (2, "d", "human_review", "include", "2024-01-01T02:00:00Z")], "seq long, doc string, stage string, decision string, ts string")
+    files.append_journal(line.limit(1), at("j"))
+    files.append_journal(line.filter("seq = 2"), at("j"))
+    assert files.read_journal(spark, at("j")).count() == 2
+    stream = st.read_journal_stream(spark, at("j"))
+    st.start(st.unknown_stream(stream), at("u"), at("cu")).awaitTermination()
+    assert spark.read.parquet(at("u")).filter("lines = 1").first()["stage"] == "odd"
+    st.start(st.windowed_counts(stream), at("w"), at("cw")).awaitTermination()
+    assert spark.read.parquet(at("w")).agg(F.sum("lines")).first()[0] == 2
+    assert "included: 3" in rep.mermaid({"identified": 9, "fulltext_screened": 4, "included_final": 3}) and "included: 3" not in rep.mermaid({"identified": 9})
+    text = rep.report("R", {"identified": 1}, {"t": line.select("doc"), "none": line.limit(0)})
+    assert "| doc |" in text and "(none)" in text and "- [ ] correct" in rep.checklist([{"case_id": "c", "quote": "q"}])
+    rows = spark.createDataFrame([(1, "T", None, None, None, None)], "row_id long, title string, year string, doi string, oa_url string, abstract string")
+    rep.write_ris(rows, at("ris"))
+    assert [r[0] for r in spark.read.text(at("ris")).collect()] == ["TY  - JOUR", "TI  - T", "ER  - ", ""]
+    low, high = criteria.wilson(8, 10)
+    assert 0.4 < low < 0.8 < high < 1 and criteria.wilson(0, 0) == (0.0, 1.0)
+    gold = spark.createDataFrame([("A",), ("A",), ("B",)], "stratum string")
+    assert calibration.plan_weights(gold, {"A": (10, 2), "B": (5, 1)}) == {"A": 5.0, "B": 5.0}
+    for plan in ({"A": (10, 2)}, {"A": (10, 3), "B": (5, 1)}, {"A": (1, 2), "B": (5, 1)}):
+        with pytest.raises(ValueError):
+            calibration.plan_weights(gold, plan)
