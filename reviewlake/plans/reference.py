@@ -235,12 +235,13 @@ scored AS (SELECT q.*, {S.score('q.score')} AS s FROM queue q)
 SELECT q.identity_type, q.doc, substring(coalesce(c.abstract, ''), 1, 250) AS abstract_cut, CASE WHEN s IS NULL THEN 'unscored' WHEN s >= 0.6 THEN 'likely include' WHEN s <= 0.4 THEN 'likely exclude' ELSE 'unclear' END AS bucket
 FROM scored q LEFT JOIN ids ON ids.kind = q.identity_type AND ids.value = q.doc LEFT JOIN candidates c USING (row_id)""",
 )(lambda s, d: rep.review_list(journal.review_queue(_j(s, d)), _c(s, d)))
+_RIS_ABSTRACT = S.nb(r"substring(regexp_replace(coalesce(abstract, ''), '\s+', ' ', 'g'), 1, 500)")
 _TAG = "CASE WHEN {0} IS NOT NULL THEN '{1}  - ' || {0} END"
 query(
     "ris_text",
     "SELECT row_id, concat_ws(chr(10), 'TY  - JOUR', "
     + ", ".join(_TAG.format(S.nb(c), t) for c, t in (("title", "TI"), ("year", "PY"), ("doi", "DO"), ("oa_url", "UR")))
-    + rf", CASE WHEN {S.nb("substring(regexp_replace(coalesce(abstract, ''), '\s+', ' ', 'g'), 1, 500)")} IS NOT NULL THEN 'AB  - ' || {S.nb("substring(regexp_replace(coalesce(abstract, ''), '\s+', ' ', 'g'), 1, 500)")} END, 'ER  - ') AS ris FROM candidates",
+    + f", CASE WHEN {_RIS_ABSTRACT} IS NOT NULL THEN 'AB  - ' || {_RIS_ABSTRACT} END, 'ER  - ') AS ris FROM candidates",
 )(lambda s, d: rep.ris_lines(_c(s, d)))
 query("nested_clean", """SELECT row_id, CASE row_id % 3 WHEN 0 THEN 'A & b; c' WHEN 1 THEN 'plain x' ELSE 'inner' END AS t FROM candidates""")(
     lambda s, d: _c(s, d).select("row_id", U.clean_nested(F.when(F.col("row_id") % 3 == 0, '["A &amp; <i>b</i>", null, ["c", true]]').when(F.col("row_id") % 3 == 1, " plain \n x ").otherwise('{"value": {"text": "inner"}, "label": "no"}')).alias("t"))
