@@ -130,9 +130,15 @@ def strip_tags(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+#: White space of any text, as a class of characters.
+ANY_SPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def segment_sentences(text: Column | str) -> Column:
-    """The sentences of a text: cut after ``.!?`` before a capital or ``<``, not after i.e., e.g. and etc."""
-    return F.split(c(text), r"(?<=[.!?])(?<!\b(?i:i\.e\.|e\.g\.|etc\.))\s+(?=[A-Z<])")
+    """The sentences of a text: cut after ``.!?`` before a capital or ``<``, not after i.e., e.g. and etc.; stripped, without empty ones."""
+    trim = lambda v: F.regexp_replace(v, rf"^{ANY_SPACE}+|{ANY_SPACE}+$", "")
+    parts = F.split(trim(c(text)), rf"(?<=[.!?])(?<!\b(?i:i\.e\.|e\.g\.|etc\.)){ANY_SPACE}+(?=[A-Z<])")
+    return F.filter(F.transform(parts, trim), lambda x: x != "")
 
 
 def sentence_records(text: Column | str) -> Column:

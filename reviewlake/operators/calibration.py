@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.functions.text import decide, nonblank, parse_score
+from reviewlake.functions.text import canonical_doi, decide, nonblank, parse_score
 from reviewlake.operators.journal import HUMAN_SCREEN, MACHINE_SCREEN, entries, latest_human
 
 MENU = (0.85, 0.80, 0.75, 0.70, 0.65)
@@ -137,3 +137,9 @@ def coverage(gold: DataFrame, least: int = 5, share: float = 0.80) -> DataFrame:
     ratio = _safe(F.col("evaluated").cast("double"), F.col("total").cast("double"))
     state = F.when((F.col("evaluated") < least) | (ratio < share), "failed").when(F.col("evaluated") < F.col("total"), "partial").otherwise("complete")
     return one.select("total", "evaluated", F.round(ratio, 4).alias("ratio"), state.alias("state"))
+
+
+def with_metadata(gold: DataFrame, candidates: DataFrame, *fields: str, key: str = "row_id") -> DataFrame:
+    """Gold rows (``doi`` among their columns) with fields of the last candidate of the same canonical DOI, null without one."""
+    last = candidates.filter(canonical_doi("doi") != "").groupBy(canonical_doi("doi").alias("_doi")).agg(F.max(F.struct(key, *fields)).alias("x"))
+    return gold.join(last, canonical_doi(gold["doi"]) == F.col("_doi"), "left").select(*gold.columns, *[F.col(f"x.{f}").alias(f) for f in fields])

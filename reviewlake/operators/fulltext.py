@@ -124,3 +124,10 @@ def retrieve(articles: DataFrame, least: int = LEAST) -> DataFrame:
     content = F.coalesce(*[t for _, t in long])
     tier = F.coalesce(*[F.when(t.isNotNull(), F.lit(n)) for n, t in long], F.when(conflict, F.lit("identity_conflict")), F.lit("none"))
     return articles.select("doc", F.when(content.isNotNull(), "retrieved").otherwise("retrieval_failed").alias("decision"), tier.alias("tier"), content.alias("content"))
+
+
+def with_pmc(articles: DataFrame, records: DataFrame) -> DataFrame:
+    """Articles with the PMC record of their address, null without one: ``pmc_doi, pmc_title, pmc_markdown``. ``records`` has ``pmcid, doi, title, markdown``; of several of one number one is taken."""
+    one = records.groupBy(F.upper("pmcid").alias("_pmc")).agg(F.max(F.struct("doi", "title", "markdown")).alias("r"))
+    met = articles.withColumn("_pmc", F.upper(pmcid_of_url("oa_url"))).join(one, "_pmc", "left")
+    return met.select(*articles.columns, F.col("r.doi").alias("pmc_doi"), F.col("r.title").alias("pmc_title"), F.col("r.markdown").alias("pmc_markdown"))

@@ -28,6 +28,12 @@ def review_list(queue: DataFrame, candidates: DataFrame, most: int = 250) -> Dat
     return _with_candidate(queue, candidates, "abstract").select("identity_type", "doc", cut(F.coalesce("abstract", F.lit("")), most).alias("abstract_cut"), bucket.alias("bucket"))
 
 
+def with_abstract(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Documents with ``no_abstract``: whether the last candidate that bears the identity has none, or there is no such candidate."""
+    found = _with_candidate(docs.select("identity_type", "doc").distinct(), candidates, "abstract").select("identity_type", "doc", nonblank("abstract").isNull().alias("no_abstract"))
+    return docs.join(found, ["identity_type", "doc"])
+
+
 def included_rows(included: DataFrame, candidates: DataFrame) -> DataFrame:
     """The candidates that bear any identity of an included document."""
     ids = exploded_identities(candidates).join(included.select(F.col("identity_type").alias("kind"), F.col("doc").alias("value")).distinct(), ["kind", "value"], "left_semi")

@@ -91,27 +91,29 @@ query("query_mode_counts", """SELECT json_extract_string(query, '$.query_mode')
 query("text_digests", "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")))
 
 
-@query("sentence_segments")
-def _sentences(s: SparkSession, d: str) -> DataFrame:
-    """Numbered sentences of every document (a look-behind split has no counterpart in the SQL dialect)."""
-    docs = table(s, d, "documents").filter("text is not null")
-    return docs.select("doc_id", F.explode(X.sentence_records("text")).alias("x")).select("doc_id", "x.source", "x.text")
+_SENTENCES = rf"""list_filter([regexp_replace(x, '^{S.SPACES}|{S.SPACES}$', '', 'g') FOR x IN string_split(regexp_replace(regexp_replace(regexp_replace(text, '^{S.SPACES}|{S.SPACES}$', '', 'g'),
+  '(?i)\b(i\.e\.|e\.g\.|etc\.)({S.SPACES})', '\1' || chr(2) || '\2', 'g'), '([.!?]){S.SPACES}([A-Z<])', '\1' || chr(1) || '\2', 'g'), chr(1))], lambda x: x <> '')"""
 
 
-@query("sentence_round_trip", r"SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS letters FROM documents WHERE text IS NOT NULL")
-def _sentence_round_trip(s: SparkSession, d: str) -> DataFrame:
+@query(
+    "sentence_segments",
+    f"""SELECT doc_id, 'S' || i AS source, replace(ss[i], chr(2), '') AS text FROM (SELECT doc_id, {_SENTENCES} AS ss FROM documents WHERE text IS NOT NULL), unnest(range(1, len(ss) + 1)) t(i)""",
+)
+def _sentences(s: SparkSession, d: str) -> DataFrame:
+    """Numbered sentences of every document. The SQL marks abbreviations first and cuts at marks, as it has no look-behind."""
     docs = table(s, d, "documents").filter("text is not null")
-    return docs.select("doc_id", F.regexp_replace(F.array_join(X.segment_sentences("text"), " "), r"\s+", "").alias("letters"))
+    return docs.select("doc_id", F.explode(X.sentence_records("text")).alias("x")).select("doc_id", "x.source", "x.text")
 
 
 @query("inverted_abstract", r"""SELECT row_id, array_to_string(list_filter(string_split_regex(coalesce(abstract, ''), '\s+'), lambda x: x <> ''), ' ') AS abstract_text FROM candidates""")
 def _inverted(s: SparkSession, d: str) -> DataFrame:
     """Abstracts turned into inverted indexes and rebuilt from them."""
     words = F.filter(F.split(F.coalesce("abstract", F.lit("")), r"\s+"), lambda x: x != "")
-    placed = _c(s, d).select("row_id", F.posexplode(words).alias("p", "w")).groupBy("row_id", "w").agg(F.collect_list("p").alias("ps"))
-    index = placed.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("i"))
-    rebuilt = index.select("row_id", X.reconstruct_abstract("i").alias("abstract_text"))
-    return _c(s, d).select("row_id").join(rebuilt, "row_id", "left").select("row_id", F.coalesce("abstract_text", F.lit("")).alias("abstract_text"))
+    # Each row makes its own index: the places of every distinct word.
+    rows = _c(s, d).select("row_id", words.alias("ws"))
+    places = lambda w: F.filter(F.transform("ws", lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull())
+    index = F.map_from_entries(F.transform(F.array_distinct("ws"), lambda w: F.struct(w.alias("w"), places(w).alias("ps"))))
+    return rows.select("row_id", X.reconstruct_abstract(index).alias("abstract_text"))
 
 
 # ---- identity and merging --------------------------------------------------------------------------------------------
@@ -150,16 +152,38 @@ def _audit(s: SparkSession, d: str) -> DataFrame:
     return out.select("component", "removed", F.array_join("merged_sources", ",").alias("sources"), F.size("merged_dois").cast("long").alias("dois"))
 
 
+#: First-fit groups of equal titles over the rows of ``k`` (row_id, t, y).
+_FOLD = """o AS (SELECT t, y, first, row_number() OVER (PARTITION BY t ORDER BY first) AS i FROM (SELECT t, y, min(row_id) AS first FROM k GROUP BY t, y)),
+fold AS (SELECT t, y, i, first AS component, [{'lo': y, 'hi': y, 'c': first}] AS gs FROM o WHERE i = 1
+  UNION ALL
+  SELECT t, y, i, CASE WHEN p = 0 THEN first ELSE gs[p].c END, CASE WHEN p = 0 THEN list_append(gs, {'lo': y, 'hi': y, 'c': first}) ELSE list_transform(gs, lambda g, j: CASE WHEN j = p THEN {'lo': least(g.lo, y), 'hi': greatest(g.hi, y), 'c': g.c} ELSE g END) END
+  FROM (SELECT o.t, o.y, o.i, o.first, f.gs, coalesce(list_position(list_transform(f.gs, lambda g: o.y IS NULL OR g.lo IS NULL OR (g.hi - o.y <= 1 AND o.y - g.lo <= 1)), TRUE), 0) AS p FROM fold f JOIN o ON o.t = f.t AND o.i = f.i + 1))"""
+_KEYED = f"{S.normal_form('candidates', 'row_id', 'title', 'n', True)}, k AS (SELECT row_id, {S.title('t')} AS t, {S.year('year')} AS y FROM n JOIN candidates USING (row_id) WHERE {S.title('t')} <> '')"
 query(
     "dedup_title_groups",
-    f"""WITH RECURSIVE {S.normal_form('candidates', 'row_id', 'title', 'n', True)}, k AS (SELECT row_id, {S.title('t')} AS t, {S.year('year')} AS y FROM n JOIN candidates USING (row_id) WHERE {S.title('t')} <> ''),
-o AS (SELECT t, y, first, row_number() OVER (PARTITION BY t ORDER BY first) AS i FROM (SELECT t, y, min(row_id) AS first FROM k GROUP BY t, y)),
-fold AS (SELECT t, y, i, first AS component, [{{'lo': y, 'hi': y, 'c': first}}] AS gs FROM o WHERE i = 1
-  UNION ALL
-  SELECT t, y, i, CASE WHEN p = 0 THEN first ELSE gs[p].c END, CASE WHEN p = 0 THEN list_append(gs, {{'lo': y, 'hi': y, 'c': first}}) ELSE list_transform(gs, lambda g, j: CASE WHEN j = p THEN {{'lo': least(g.lo, y), 'hi': greatest(g.hi, y), 'c': g.c}} ELSE g END) END
-  FROM (SELECT o.t, o.y, o.i, o.first, f.gs, coalesce(list_position(list_transform(f.gs, lambda g: o.y IS NULL OR g.lo IS NULL OR (g.hi - o.y <= 1 AND o.y - g.lo <= 1)), TRUE), 0) AS p FROM fold f JOIN o ON o.t = f.t AND o.i = f.i + 1))
+    f"""WITH RECURSIVE {_KEYED},
+{_FOLD}
 SELECT k.row_id, f.component FROM k JOIN fold f ON f.t = k.t AND f.y IS NOT DISTINCT FROM k.y""",
 )(lambda s, d: dedup.title_groups(_c(s, d)))
+query(
+    "title_merge_rate",
+    f"""WITH RECURSIVE {_KEYED}, {_FOLD}, g AS (SELECT k.row_id, f.component FROM k JOIN fold f ON f.t = k.t AND f.y IS NOT DISTINCT FROM k.y), kept AS (SELECT max_by(row_id, {S.QUALITY}) AS best FROM g JOIN candidates USING (row_id) GROUP BY component)
+SELECT source, count(*) AS records, count(*) FILTER (WHERE g.row_id IS NOT NULL AND best IS NULL) AS merged, round(count(*) FILTER (WHERE g.row_id IS NOT NULL AND best IS NULL) / count(*), 6) AS rate, count(*) FILTER (WHERE g.row_id IS NOT NULL AND best IS NULL) / count(*) > 0.1 AS alarm
+FROM candidates c LEFT JOIN g USING (row_id) LEFT JOIN kept ON kept.best = c.row_id GROUP BY source""",
+)(lambda s, d: dedup.merge_rates(_c(s, d), cut(dedup.title_groups(_c(s, d)))))
+query(
+    "merged_by_two_passes",
+    S.COMPONENTS.replace("WITH ids", "WITH RECURSIVE ids", 1)
+    + f""", first_pass AS MATERIALIZED (SELECT max_by(row_id, {S.QUALITY}) AS row_id FROM candidates JOIN components USING (row_id) WHERE coalesce({S.nb('doi')}, {S.nb('source_id')}, {S.nb('oa_url')}) IS NOT NULL GROUP BY component),
+{_KEYED.replace("k AS (SELECT row_id", "k AS (SELECT row_id", 1).replace("JOIN candidates USING (row_id)", "JOIN candidates USING (row_id) JOIN first_pass USING (row_id)")},
+{_FOLD}, g AS (SELECT k.row_id, f.component FROM k JOIN fold f ON f.t = k.t AND f.y IS NOT DISTINCT FROM k.y)
+SELECT max_by(row_id, {S.QUALITY}) AS row_id FROM first_pass JOIN candidates USING (row_id) LEFT JOIN g USING (row_id) GROUP BY coalesce(g.component, row_id)""",
+)(lambda s, d: dedup.deduplicate(_c(s, d).filter(identity.row_identity()["doc"].isNotNull()), fuzzy=False).select("row_id"))
+query(
+    "gold_metadata",
+    f"""{S.GOLD}, last AS (SELECT lower({S.strip("coalesce(doi, '')")}) AS k, max_by({{'y': year, 'p': publication_type}}, row_id) AS x FROM candidates WHERE lower({S.strip("coalesce(doi, '')")}) <> '' GROUP BY 1)
+SELECT doc AS doi, label, x.y AS year, x.p AS publication_type FROM gold LEFT JOIN last ON last.k = lower({S.strip("coalesce(doc, '')")}) WHERE identity_type = 'doi'""",
+)(lambda s, d: cal.with_metadata(_gold(s, d).filter("identity_type = 'doi'").select(F.col("doc").alias("doi"), "label"), _c(s, d), "year", "publication_type"))
 query("fuzzy_title_pairs")(lambda s, d: dedup.similar_title_pairs(_c(s, d)).select("a", "b", F.round("ratio", 6).alias("ratio")))
 
 
@@ -343,10 +367,11 @@ query(
 )(lambda s, d: cal.weighted_confusion(_gold(s, d)))
 query(
     "sensitivity",
-    f"{S.GOLD}, scen AS ("
-    + S.ratios(f"SELECT sc, {S.matrix('CASE WHEN route = $$needs_manual$$ THEN sc ELSE p END')} FROM routed, (VALUES (TRUE), (FALSE)) t(sc) GROUP BY sc")
+    f"{S.GOLD}, ids AS (SELECT kind, value, max(row_id) AS row_id FROM (SELECT row_id, 'doi' AS kind, {S.nb('doi')} AS value FROM candidates UNION ALL SELECT row_id, 'source_id', {S.nb('source_id')} FROM candidates UNION ALL SELECT row_id, 'oa_url', {S.nb('oa_url')} FROM candidates) WHERE value IS NOT NULL GROUP BY 1, 2), "
+    + f"bare AS (SELECT r.*, {S.nb('c.abstract')} IS NULL AS u FROM routed r LEFT JOIN ids ON ids.kind = r.identity_type AND ids.value = r.doc LEFT JOIN candidates c USING (row_id)), scen AS ("
+    + S.ratios(f"SELECT sc, {S.matrix('CASE WHEN u THEN sc ELSE p END')} FROM bare, (VALUES (TRUE), (FALSE)) t(sc) GROUP BY sc")
     + ") SELECT min(recall) AS recall_min, max(recall) AS recall_max, min(precision) AS precision_min, max(precision) AS precision_max FROM scen",
-)(lambda s, d: cal.sensitivity(_gold(s, d), F.col("route") == "needs_manual"))
+)(lambda s, d: cal.sensitivity(rep.with_abstract(_gold(s, d), _c(s, d)), F.col("no_abstract")))
 query(
     "threshold_menu",
     f"{S.GOLD}, {_WEIGHTS}, m AS (SELECT ti::DOUBLE AS ti, ti::DOUBLE - 0.5::DOUBLE AS te FROM (VALUES (0.85), (0.80), (0.75), (0.70), (0.65)) t(ti)), raw AS ("
