@@ -317,3 +317,43 @@ def test_frequent_stretched_spellings_are_restored(spark):
     # One text, however often it is copied, makes no word known.
     assert "matter" not in model.words
     assert {r["doc_id"] for r in abuse.score_documents(df).filter("score >= 0.5").collect()} >= set(range(40, 49))
+
+
+def test_every_stand_in_of_the_table_is_examined(spark):
+    # One word per character that stands in for another by itself, with an ordinary letter before it.
+    chars = [r[0] for r in visual.code_point_rows() if r[4] and r[2] == "wide"][:: 7] + [chr(0x37E), chr(0x387), chr(0x675), chr(0x958), chr(0x13AA), chr(0xA4EE)]
+    df = spark.createDataFrame([(i, f"ab {c} cd") for i, c in enumerate(chars)], "row_id long, title string")
+    examined = {r["row_id"] for r in visual._examined(visual.long_fields(df, "row_id", ["title"]), "row_id").collect()}
+    assert examined == set(range(len(chars)))
+    found = {r["row_id"] for r in visual.find_disguised(spark.createDataFrame([(1, "R" + chr(0xA4EE) + "ting scale"), (2, "a" + chr(0x37E) + "b")], "row_id long, title string"), "row_id", ["title"]).collect()}
+    assert found == {1, 2}
+
+
+def test_spelling_is_mended_alike_whatever_the_size_of_the_list():
+    small = {"anxiety": 9, "reading": 8, "adaptive": 7}
+    rnd = random.Random(3)
+    large = small | {"".join(rnd.choice("bcdfghjklmnpqrstvwxz") for _ in range(9)): 5 for _ in range(12_000)}
+    for counts in (small, large):
+        s = linkage.Spelling(counts, 100_000)
+        assert [s.mend(w) for w in ("anxeity", "raeding", "adpative", "adxptixe", "zzzzzz")] == ["anxiety", "reading", "adaptive", "adaptive", "?zzzzzz"]
+
+
+def test_the_key_filter_loses_nothing(spark):
+    import numpy as np
+
+    keys = [random.Random(1).getrandbits(64) - (1 << 63) for _ in range(500)] + [0, -1, linkage.KEY_BITS - 1, 32767, 32768]
+    bits = linkage.key_filter(spark.createDataFrame([(k,) for k in keys], "k long"))
+    held = linkage._held(np.asarray(keys, np.int64), bits)
+    assert held.tolist() == keys
+    others = np.arange(1, 10**6, 997, dtype=np.int64) * 4096 + 5
+    assert len(linkage._held(others, bits)) < 20
+
+
+def test_links_are_between_classes(spark):
+    schema = "id long, title string, authors string, year string, tail string, source string"
+    left = spark.createDataFrame([(i, "Adaptive coaching for reading in nurses at Veldwick", "Murqwell, J.", "2020", None, None) for i in range(1, 40)], schema)
+    right = spark.createDataFrame([(i, "ADAPTIVE coaching for reading in nurses at Veldwick", "J. Murqwell", "2020", None, None) for i in (1, 2, 3)], schema)
+    pairs, members, items = linkage.link_classes(left, right)
+    (row,) = pairs.collect()
+    assert (row["left_n"], row["right_n"]) == (39, 3) and members.select("cls").distinct().count() == 1 and items.count() == 3
+    assert linkage.link(left, right).count() == 39 * 3
