@@ -375,3 +375,38 @@ def test_contracts_and_guards(spark):
         screening.check_thresholds(0.2, 0.5)
     st = spark.createDataFrame([("complete",), ("capped",), ("odd",)], "status string")
     assert screening.global_status(st).first()[0] == "error" and screening.global_status(st.limit(0)).first()[0] == "complete"
+
+
+def test_block_joins_equal_plain_joins(spark):
+    from reviewlake.operators.skew import join_blocks, join_hot
+
+    rnd = random.Random(6)
+    left = spark.createDataFrame([(i, 0 if rnd.random() < 0.4 else rnd.randrange(20)) for i in range(300)], "a long, k long")
+    right = spark.createDataFrame([(i, 0 if rnd.random() < 0.4 else rnd.randrange(20)) for i in range(200)], "b long, k long")
+    want = sorted((r["a"], r["b"]) for r in left.join(right, "k").collect())
+    for most in (10, 1000, 10**9):
+        assert sorted((r["a"], r["b"]) for r in join_blocks(left, right, "k", "a", "b", most).collect()) == want
+    once = left.groupBy("k").agg(F.count("a").alias("n"))
+    hot = join_hot(left, once, ["k"], "n", "a", 300.0, per_slice=7)
+    assert hot.count() == 300 and join_hot(left.limit(0), once, ["k"], "n", "a", 0.0).count() == 0
+
+
+def test_components_raise_when_rounds_run_out(spark):
+    chain = [{"doi": f"d{i}", "source_id": f"d{i + 1}"} for i in range(40)]
+    rows = cand(spark, [{"doi": c["doi"], "oa_url": None, "source_id": None} for c in chain] + [{"doi": c["doi"], "source_id": f"s{i}"} for i, c in enumerate(chain)] + [{"doi": f"d{i + 1}", "source_id": f"s{i}"} for i in range(39)])
+    assert {r["component"] for r in identity.connected_components(rows).collect()} == {1}
+    with pytest.raises(identity.NotConverged):
+        identity.connected_components(rows, max_rounds=2)
+
+
+def test_cut_tables_can_be_dropped(spark):
+    import os
+
+    from reviewlake.session import cut, forget
+
+    df = cut(spark.range(3))
+    path = df._cut_path.removeprefix("file:")
+    assert os.path.isdir(path) and df.count() == 3
+    forget(df)
+    forget(df)
+    assert not os.path.exists(path)
