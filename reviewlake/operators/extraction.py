@@ -31,12 +31,12 @@ def verifiable_citations(cells: DataFrame, texts: DataFrame, key: str = "text_id
     asked = quotes.groupBy(*ident).agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / BATCH).cast("int").alias("m"))
     held = bodies.groupBy(*ident).agg(F.count(F.lit(1)).alias("texts"))
     both = cut(asked.join(held, ident))
-    batched = join_hot(quotes, both, ident, "n", "citation", float(quotes.count())).withColumn("batch", F.pmod(F.xxhash64("citation"), "m").cast("int"))
+    asked_n, held_n = (float(x or 0) for x in both.agg(F.sum("n"), F.sum("texts")).first())
+    batched = join_hot(quotes, both, ident, "n", "citation", asked_n).withColumn("batch", F.pmod(F.xxhash64("citation"), "m").cast("int"))
     # A batch holds about ``BATCH`` citations, whatever the document.
     batches = batched.groupBy(*ident, "batch").agg(F.collect_list("citation").alias("quotes"), F.first("texts").alias("texts"))
-    total = float(bodies.count())
-    wide = join_hot(bodies, both, ident, "texts", key, total).withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select(*ident, "batch", key, "body")
-    met = join_hot(wide, batches, [*ident, "batch"], "texts", key, total)
+    wide = join_hot(bodies, both, ident, "texts", key, held_n).withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select(*ident, "batch", key, "body")
+    met = join_hot(wide, batches, [*ident, "batch"], "texts", key, held_n)
     found = met.select(*ident, F.explode(F.filter("quotes", lambda q: F.contains("body", q))).alias("citation")).distinct().withColumn("verifiable", F.lit(True))
     return quotes.join(found, [*ident, "citation"], "left").select(*ident, "citation", F.coalesce("verifiable", F.lit(False)).alias("verifiable"))
 
