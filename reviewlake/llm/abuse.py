@@ -18,6 +18,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -301,10 +302,12 @@ def own_text(passage: str) -> tuple[str, bool]:
     return ("", True) if own.strip(" .") == "" or len(own) < len(p) * 0.25 else (own, len(own) != len(p))
 
 
+@lru_cache(maxsize=500_000)
 def _slot(name: str) -> int:
     return zlib.crc32(name.encode()) % SLOTS
 
 
+@lru_cache(maxsize=200_000)
 def _word_slots(word: str) -> list[int]:
     w = f"<{word}>"
     return [_slot("w" + word)] + [_slot("g" + w[i : i + 4]) for i in range(len(w) - 3)]
