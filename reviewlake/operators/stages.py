@@ -83,6 +83,7 @@ def search_manifest(review: str, plan: Mapping[str, dict], meta: DataFrame, upda
 
 def merge_reason(kind: str, members: Column, kinds: Column, sources: Column, score: Column, threshold: float = dedup.THRESHOLD) -> Column:
     """Why a group was merged, in words, by the pass that merged it."""
+    # The texts that the log of merges has.
     n, names = members.cast("string"), F.array_join(sources, ", ")
     if kind == "identity":
         return F.concat(F.lit("identité exacte ("), F.array_join(kinds, ", "), F.lit(") — "), n, F.lit(" copies fusionnées (sources: "), names, F.lit(")"))
