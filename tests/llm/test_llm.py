@@ -349,6 +349,21 @@ def test_the_key_filter_loses_nothing(spark):
     assert len(linkage._held(others, bits)) < 20
 
 
+def test_links_in_passes(spark, monkeypatch):
+    # A filter of fixed size lets everything through when there are more keys than bits.
+    assert linkage.filter_bits(1000) == linkage.KEY_BITS and linkage.filter_bits(20_000_000) >= 16 * 20_000_000 and linkage.filter_bits(10**12) == linkage.MOST_KEY_BITS
+    rnd = random.Random(3)
+    words = ["adaptive", "mobile", "structured"], ["coaching", "feedback", "tutoring"], ["anxiety", "reading", "sleep"], ["nurses", "teachers", "carers"], ["Veldwick", "Hallowmoor", "Brackholm"]
+    works = [" ".join(rnd.choice(w) for w in words) + f" trial {i % 50}" for i in range(80)]
+    schema = "id long, title string, authors string, year string, tail string, source string"
+    left = spark.createDataFrame([(i, w, f"Murq{'abcdefghij'[i % 10]}well, J.", "2020", f"PMID:{1000000 + i}", "pubmed") for i, w in enumerate(works)], schema)
+    right = spark.createDataFrame([(i, w.upper(), f"J. Murq{'abcdefghij'[i % 10]}well", "2020", None, None) for i, w in enumerate(works) if i % 3 == 0], schema)
+    want = linkage.link(left, right).collect()
+    monkeypatch.setattr(linkage, "PASS_KEYS", 700)
+    monkeypatch.setattr(linkage, "PASS_PAIRS", 20)
+    assert sorted(linkage.link(left, right).collect()) == sorted(want) and len(want) >= 27
+
+
 def test_links_are_between_classes(spark):
     schema = "id long, title string, authors string, year string, tail string, source string"
     left = spark.createDataFrame([(i, "Adaptive coaching for reading in nurses at Veldwick", "Murqwell, J.", "2020", None, None) for i in range(1, 40)], schema)
