@@ -410,3 +410,65 @@ def test_cut_tables_can_be_dropped(spark):
     forget(df)
     forget(df)
     assert not os.path.exists(path)
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    import glob
+    import time
+
+    from reviewlake.session import cut
+
+    where = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in where for f in glob.glob(f"{d}/*/shuffle_*")}
+    before = files()
+    out = cut(spark.range(1000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    deadline = time.time() + 10
+    while files() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not files() - before
+    assert out.count() == 7
+
+
+def _common_subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for n, y in enumerate(b, 1):
+            last, row[n] = row[n], last + 1 if x == y else max(row[n], row[n - 1])
+    return row[-1]
+
+
+def test_bounds_of_tiles_are_lossless():
+    rnd = random.Random(11)
+    base = ["effect of coaching on reading in nurses", "sleep quality after training " * 9, "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzz", "каталог a", "x"]
+
+    def titles(n):
+        out = []
+        for _ in range(n):
+            t = list(rnd.choice(base))
+            for _ in range(rnd.randrange(1 + len(t) // 6)):
+                t[rnd.randrange(len(t))] = rnd.choice("abcя ")
+            out.append("".join(t))
+        return out
+
+    one, two = titles(60), titles(50)
+    a, b = dedup.Tile(np.arange(60), one, np.full(60, np.nan)), dedup.Tile(np.arange(60, 110), two, np.full(50, 2020.0))
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(50), indexing="ij"))
+    slots = lambda t: [ord(c) % dedup.SLOTS for c in t]
+    assert dedup._subsequences(a, b, i, j).tolist() == [_common_subsequence(slots(one[x]), slots(two[y])) for x, y in zip(i, j)]
+    for threshold in (0.6, 0.9):
+        want = {(x, 60 + y) for x in range(60) for y in range(50) if U.ratio(two[y], one[x]) >= threshold}
+        assert {(x, y) for x, y, _ in dedup.similar_in_tiles(a, b, False, threshold)} == want and want
+
+
+def test_tiles_are_not_shuffled_for_each_partner(spark, monkeypatch):
+    """The comparison joins tiles without a shuffle of pairs of tiles, and small tiles give the same pairs."""
+    rows = [{"title": f"effect of coaching on reading in group {i % 90} of nurses", "source_id": str(i), "year": str(2000 + i % 3)} for i in range(200)]
+    plans = []
+    real = dedup.cut
+    monkeypatch.setattr(dedup, "cut", lambda df: (plans.append(df._jdf.queryExecution().toString()), real(df))[1])
+    want = sorted(dedup.similar_title_pairs(cand(spark, rows)).collect())
+    monkeypatch.setattr(dedup, "TILE", 5)
+    monkeypatch.setattr(dedup, "PART_TILES", 7)
+    assert sorted(dedup.similar_title_pairs(cand(spark, rows)).collect()) == want and want
+    assert any("CartesianProduct" in p for p in plans)
