@@ -472,3 +472,13 @@ def test_tiles_are_not_shuffled_for_each_partner(spark, monkeypatch):
     monkeypatch.setattr(dedup, "PART_TILES", 7)
     assert sorted(dedup.similar_title_pairs(cand(spark, rows)).collect()) == want and want
     assert any("CartesianProduct" in p for p in plans)
+
+
+def test_deduplicate_removes_the_table_of_the_first_pass(spark, monkeypatch):
+    from reviewlake import session
+
+    made, real = [], dedup.cut
+    monkeypatch.setattr(dedup, "cut", lambda df: made.append(real(df)) or made[-1])
+    out = dedup.deduplicate(cand(spark, [{"title": "A", "source_id": "W1"}, {"title": "A", "source_id": "W1"}, {"title": "B", "source_id": "W2"}]), fuzzy=False)
+    first, second = [x._cut_path for x in made if "abstract" in x.columns]
+    assert first not in session._WRITTEN and second in session._WRITTEN and out.count() == 2
